@@ -14,23 +14,27 @@ EARTH_KM = 6371.0088
 PARITY_EARTH_KM = 6371.0
 
 
-def interpolate(c: str | Column, anchors: Sequence[tuple[float, float]], log: bool = False) -> Column:
-    """Piecewise-linear map through ``anchors``, clamped at both ends, NULL stays NULL.
+def curve_axis(c: str | Column, log: bool = False) -> Column:
+    """Non-null x axis of a curve: log10 with a floor of 1e-6, or the value itself."""
+    x = F.coalesce(col(c).cast("double"), F.lit(1.0))
+    return F.log10(F.greatest(x, F.lit(1e-6))) if log else x
 
-    With ``log`` the x axis is log10 and values are floored at 1e-6 first.
-    """
-    x = col(c)
-    xs = [a for a, _ in anchors]
+
+def piecewise(x: Column, anchors: Sequence[tuple[float, float]], log: bool = False) -> Column:
+    """Piecewise-linear value on a prepared axis; exact at every anchor, clamped at both ends."""
+    xs = [math.log10(a) if log else float(a) for a, _ in anchors]
     ys = [float(q) for _, q in anchors]
-    if log:
-        x = F.log10(F.when(x < 1e-6, F.lit(1e-6)).otherwise(x))
-        xs = [math.log10(a) for a in xs]
-    out = F.when(x.isNull(), F.lit(None).cast("double")).when(x <= float(xs[0]), F.lit(ys[0]))
+    out = F.when(x < xs[0], F.lit(ys[0]))
     for (x0, y0), (x1, y1) in zip(zip(xs, ys), zip(xs[1:], ys[1:])):
-        out = out.when(x <= float(x1), F.lit(y0) + (x - float(x0)) * ((y1 - y0) / (x1 - x0)))
+        out = out.when(x < x1, F.lit((y1 - y0) / (x1 - x0)) * (x - x0) + F.lit(y0))
     return out.otherwise(F.lit(ys[-1]))
 
 
+def interpolate(c: str | Column, anchors: Sequence[tuple[float, float]], log: bool = False) -> Column:
+    """Piecewise-linear map through ``anchors``; NULL stays NULL."""
+    return F.when(col(c).isNotNull(), piecewise(curve_axis(c, log), anchors, log))
+
+
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = EARTH_KM) -> Column:
     dp, dl = F.radians(lat2 - lat1), F.radians(lon2 - lon1)
     a = F.pow(F.sin(dp / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(dl / 2), 2)

@@ -69,3 +69,60 @@ UNION ALL SELECT zone, x0 + CAST(1.28 AS DOUBLE), y0 + CAST(0.66 AS DOUBLE), x0,
 UNION ALL SELECT zone, x0 + CAST(1.28 AS DOUBLE), y0, x0, y0 + CAST(0.66 AS DOUBLE) FROM v_zones WHERE zone % 2 = 1
 UNION ALL SELECT zone, x0, y0 + CAST(0.66 AS DOUBLE), x0, y0 FROM v_zones""",
 }
+
+
+# --- composite index -------------------------------------------------------------------------
+import math  # noqa: E402
+
+from grainwise.operators import composite  # noqa: E402
+
+
+def interpolate_sql(x: str, scale: str, anchors) -> str:
+    """The piecewise-linear curve as a CASE expression."""
+    xs, ys = [a for a, _ in anchors], [float(q) for _, q in anchors]
+    if scale == "log":
+        x, xs = f"log10(greatest({x}, 1e-6))", [math.log10(a) for a in xs]
+    out = f"CASE WHEN {x} IS NULL THEN NULL WHEN {x} < {float(xs[0])!r}::DOUBLE THEN {ys[0]!r}::DOUBLE"
+    for (x0, y0), (x1, y1) in zip(zip(xs, ys), zip(xs[1:], ys[1:])):
+        out += f" WHEN {x} < {float(x1)!r}::DOUBLE THEN ({(y1 - y0) / (x1 - x0)!r}::DOUBLE) * ({x} - {float(x0)!r}::DOUBLE) + {y0!r}::DOUBLE"
+    return out + f" ELSE {ys[-1]!r}::DOUBLE END"
+
+
+def case_null(p: str, body: str) -> str:
+    return f"CASE WHEN {p} IS NOT NULL THEN {body} END"
+
+
+def weighted_mean_sql(weights) -> str:
+    num = " + ".join(f"coalesce(g_{g}, 0) * {w!r}::DOUBLE" for g, w in weights.items())
+    den = " + ".join(f"CASE WHEN g_{g} IS NOT NULL THEN {w!r}::DOUBLE ELSE 0 END" for g, w in weights.items())
+    return f"(({num}) / nullif({den}, 0))"
+
+
+def harmonic_sql(weights) -> str:
+    num = " + ".join(f"CASE WHEN g_{g} IS NOT NULL THEN {w!r}::DOUBLE ELSE 0 END" for g, w in weights.items())
+    den = " + ".join(
+        f"CASE WHEN g_{g} IS NOT NULL THEN {w!r}::DOUBLE / (greatest(100 - g_{g}, 1) * greatest(100 - g_{g}, 1)) ELSE 0 END" for g, w in weights.items()
+    )
+    return f"(100 - sqrt(({num}) / nullif({den}, 0)))"
+
+
+_ALL = ", ".join(f"g_{g}" for g in composite.GROUPS)
+
+SQL_VIEWS.update(
+    {
+        "v_subindex": "SELECT station, sample_id, replicate, ts, water_temp,\n  "
+        + ",\n  ".join(f"{case_null(p, interpolate_sql(p, *c))} AS q_{p}" for p, c in composite.CURVES.items())
+        + "\nFROM v_chemistry",
+        "v_groups": "SELECT station, sample_id, replicate, ts, water_temp, "
+        + ", ".join(f"greatest({', '.join('q_' + p for p in m)}) AS g_{g}" if len(m) > 1 else f"q_{m[0]} AS g_{g}" for g, m in composite.GROUPS.items())
+        + " FROM v_subindex",
+        "v_eligible": "SELECT *, "
+        + " + ".join(f"(g_{g} IS NOT NULL)::BIGINT" for g in composite.GROUPS)
+        + " AS n_groups, ("
+        + " + ".join(f"CASE WHEN g_{g} IS NOT NULL THEN {round(w * 10000)} ELSE 0 END" for g, w in composite.WEIGHTS.items())
+        + f")::DOUBLE / 10000 AS weight_coverage, greatest({_ALL}) AS worst_all FROM v_groups",
+        "v_index": f"""SELECT *, CASE WHEN eligible THEN wm END AS weighted_mean, CASE WHEN eligible THEN 0.6 * wm + 0.4 * worst_all END AS mean_max_blend,
+  CASE WHEN eligible THEN {harmonic_sql(dict.fromkeys(composite.WEIGHTS, 1.0))} END AS harmonic, CASE WHEN eligible THEN {harmonic_sql(composite.WEIGHTS)} END AS weighted_harmonic,
+  CASE WHEN eligible THEN worst_all END AS worst FROM (SELECT *, n_groups >= 3 AND weight_coverage >= 0.5 AS eligible, {weighted_mean_sql(composite.WEIGHTS)} AS wm FROM v_eligible)""",
+    }
+)
