@@ -123,3 +123,74 @@ def persistence_baseline(spark, sf):
     ev = table(spark, sf, "events").select("event_id", "user_id", "event_type", "ts", "value")
     prev = ordering.previous_visit(ev, ["user_id", "event_type"], "ts", "event_id", "value")
     return rounded(rounded(regression_metrics(prev, "value", "prev_value", ["event_type"]), 6, "r2"), 5, "rmse").select("event_type", "n", "r2", "rmse")
+
+
+@query(
+    "loo_influence",
+    """WITH k AS (SELECT l_orderkey, l_linenumber, l_quantity AS x, l_extendedprice AS y FROM lineitem), s AS (SELECT count(*)::DOUBLE AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(y * y) AS syy, sum(x * y) AS sxy FROM k),
+      d AS (SELECT ((sxy - x * y) - (sx - x) * (sy - y) / (n - 1)) / sqrt(((sxx - x * x) - power(sx - x, 2) / (n - 1)) * ((syy - y * y) - power(sy - y, 2) / (n - 1))) AS wo,
+        (sxy - sx * sy / n) / sqrt((sxx - sx * sx / n) * (syy - sy * sy / n)) AS r, n FROM k, s)
+      SELECT 'qty' AS pair, CAST(any_value(n) AS BIGINT) AS n, round(any_value(r), 6) AS pearson, round(arg_max(wo, abs(wo - r)), 6) AS pearson_without, round(max(abs(wo - r)), 8) AS max_abs_delta FROM d""",
+)
+def loo_influence(spark, sf):
+    t = table(spark, sf, "lineitem").select(F.lit("qty").alias("pair"), F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"), "l_orderkey", "l_linenumber")
+    out = a.loo_influence(t, ["pair"], "x", "y", ["l_orderkey", "l_linenumber"]).drop("l_orderkey", "l_linenumber")
+    return rounded(rounded(out, 6, "pearson", "pearson_without"), 8, "max_abs_delta")
+
+
+@query(
+    "binned_profile",
+    """WITH t AS (SELECT l_returnflag AS grp, l_extendedprice AS x, l_quantity AS y FROM lineitem), e AS (SELECT grp, quantile_cont(x, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]) AS q FROM t GROUP BY 1),
+      b AS (SELECT t.grp, x, y, least(greatest(len(list_filter(q, lambda z: z <= x)) - 1, 0), len(q) - 2) AS bin FROM t JOIN e ON t.grp = e.grp)
+      SELECT grp, bin, count(*) AS n, round(median(x), 5) AS x_mid, round(quantile_cont(y, 0.25), 5) AS q1, round(median(y), 5) AS med, round(quantile_cont(y, 0.75), 5) AS q3, round(stddev_samp(y), 5) AS sd,
+        round(1.2533 * stddev_samp(y) / sqrt(count(*)), 5) AS se_med FROM b GROUP BY 1, 2 HAVING count(*) >= 20""",
+)
+def binned_profile(spark, sf):
+    t = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("grp"), F.col("l_extendedprice").alias("x"), F.col("l_quantity").alias("y"))
+    return rounded(a.binned_profile(t, ["grp"], "x", "y"), 5, "x_mid", "q1", "med", "q3", "sd", "se_med")
+
+
+@query("classify_shape")
+def classify_shape(spark, sf):
+    t = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("grp"), F.col("l_extendedprice").alias("x"), F.col("l_quantity").alias("y"))
+    profile = cut_lineage(a.binned_profile(t, ["grp"], "x", "y"))
+    return a.classify_shape(profile, a.robust_scale(t, "y", ["grp"]), ["grp"], ["grp"])
+
+
+@query("conditional_spread")
+def conditional_spread(spark, sf):
+    t = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("grp"), F.col("l_extendedprice").alias("x"), F.col("l_quantity").alias("y"))
+    return a.conditional_spread(cut_lineage(a.binned_profile(t, ["grp"], "x", "y")), ["grp"])
+
+
+@query(
+    "robust_scale",
+    """SELECT event_type, round(CASE WHEN quantile_cont(value, 0.75) > quantile_cont(value, 0.25) THEN quantile_cont(value, 0.75) - quantile_cont(value, 0.25) END, 6) AS scale, 'IQR' AS kind FROM events GROUP BY 1""",
+)
+def robust_scale(spark, sf):
+    return rounded(a.robust_scale(table(spark, sf, "events"), "value", ["event_type"]), 6, "scale")
+
+
+@query(
+    "binned_mi",
+    """WITH t AS (SELECT 'p' AS pair, l_extendedprice AS x, l_quantity AS y FROM lineitem), e AS (SELECT quantile_cont(x, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]) AS qx, quantile_cont(y, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]) AS qy FROM t),
+      b AS (SELECT least(greatest(len(list_filter(qx, lambda z: z <= x)) - 1, 0), len(qx) - 2) AS bx, least(greatest(len(list_filter(qy, lambda z: z <= y)) - 1, 0), len(qy) - 2) AS bb FROM t, e),
+      o AS (SELECT bx, bb, count(*)::DOUBLE AS o FROM b GROUP BY 1, 2), m AS (SELECT *, sum(o) OVER (PARTITION BY bx) AS px, sum(o) OVER (PARTITION BY bb) AS py, sum(o) OVER () AS n FROM o)
+      SELECT 'p' AS pair, CAST(any_value(n) AS BIGINT) AS n, round(sum(o / n * ln(o * n / (px * py))), 6) AS mi_raw, round((count(DISTINCT bx) - 1) * (count(DISTINCT bb) - 1) / (2 * any_value(n)), 6) AS mi_null FROM m""",
+)
+def binned_mi(spark, sf):
+    t = table(spark, sf, "lineitem").select(F.lit("p").alias("pair"), F.col("l_extendedprice").alias("x"), F.col("l_quantity").alias("y"))
+    return rounded(a.binned_mi(t, ["pair"], "x", "y"), 6, "mi_raw", "mi_null").select("pair", "n", "mi_raw", "mi_null")
+
+
+@query("cluster_bootstrap")
+def cluster_bootstrap(spark, sf):
+    t = table(spark, sf, "lineitem").select(F.lit("p").alias("pair"), F.col("l_suppkey").alias("cluster"), F.col("l_extendedprice").alias("x"), F.col("l_quantity").alias("y"))
+    return a.cluster_bootstrap(t, ["pair"], "cluster", "x", "y", replicates=200)
+
+
+@query("feature_blocks")
+def feature_blocks(spark, sf):
+    rho = cut_lineage(a.spearman(a.column_pairs(cut_lineage(views.features(spark, sf)), COLS), "x", "y", ["a", "b"]))
+    nodes = rho.select(F.col("a").alias("feature")).unionByName(rho.select(F.col("b").alias("feature"))).distinct()
+    return a.feature_blocks(rho.where(F.abs("rho") >= 0.35), nodes)
