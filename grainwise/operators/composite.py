@@ -16,6 +16,7 @@ from grainwise.operators import ordering
 from grainwise.operators.association import spearman
 from grainwise.operators.profile import ratio
 from grainwise.operators.reshape import long_form
+from grainwise.session import keep_methods_compilable
 
 # Parameter -> (scale, anchors of value -> sub-index).
 CURVES: dict[str, tuple[str, list[tuple[float, float]]]] = {
@@ -170,7 +171,8 @@ def aggregate_index(df: DataFrame, weights: Mapping[str, float] = WEIGHTS, lam:
 
 
 def score(df: DataFrame) -> DataFrame:
-    """Raw parameters to the adopted index, in one projection."""
+    """Raw parameters to the adopted index: projections only, no shuffle."""
+    keep_methods_compilable(df.sparkSession)
     return aggregate_index(eligibility(group_max(subindex_all(df))))
 
 
