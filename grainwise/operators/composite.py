@@ -16,7 +16,7 @@ from grainwise.operators import ordering
 from grainwise.operators.association import spearman
 from grainwise.operators.profile import ratio
 from grainwise.operators.reshape import long_form
-from grainwise.session import keep_methods_compilable
+from grainwise.session import cut_lineage, keep_methods_compilable
 
 # Parameter -> (scale, anchors of value -> sub-index).
 CURVES: dict[str, tuple[str, list[tuple[float, float]]]] = {
@@ -194,7 +194,7 @@ def rule_scan(df: DataFrame, station: str, min_groups: Sequence[int], min_weight
 def compare_schemes(long: DataFrame, label: str) -> DataFrame:
     """Median, share over the criterion, rank correlation with the baseline and median absolute
     change, for several scorings of the same rows given as (label, v, b = baseline)."""
-    long = long.where("v IS NOT NULL").groupBy(label, "v", "b").agg(F.count("*").alias("c"))
+    long = cut_lineage(long.where("v IS NOT NULL").groupBy(label, "v", "b").agg(F.count("*").alias("c")))
     med = ordering.quantiles_from_counts(ordering.ordered_counts(long, "v", [label], weight="c"), "v", {"median": 0.5}, [label])
     over = long.groupBy(label).agg((100 * ratio(F.sum(F.when(F.col("v") > CRITERION, F.col("c")).otherwise(0)), F.sum("c"))).alias("pct_over"))
     moved = long.select(label, F.abs(F.col("v") - F.col("b")).alias("d"), "c").groupBy(label, "d").agg(F.sum("c").alias("c"))
