@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from grainwise.llm import byte_bpe, quality_rules, simhash, token_counts
+from grainwise.llm import byte_bpe, quality_machine, quality_rules, simhash, token_counts, toxic_spans, warc
+from grainwise.llm.labelled import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,3 +45,34 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counted(table(spark, sf_dir, "documents"), ["doc_id"], public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op7_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = toxic_spans.scored(docs, toxic_spans.fit(docs, table(spark, sf_dir, "labels")), ["doc_id"])
+    held_out = fold(F.col("doc_id"), 4) == 2
+    return rows.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "spans")
+
+
+@query
+def op9_quality_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = quality_machine.scored(docs, quality_machine.fit(docs, table(spark, sf_dir, "labels")), ["doc_id"])
+    held_out = fold(F.col("doc_id"), 5) == 0
+    return rows.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.resolved(warc.captures(table(spark, sf_dir, "pages"))).withColumnRenamed("key", "page_id")
+
+
+ORACLES["op2_warc"] = f"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+     g AS (SELECT d, max(page_id) AS original FROM p WHERE n >= {warc.MIN_REVISIT_BYTES} GROUP BY d)
+SELECT page_id, n AS payload_bytes, p.d AS payload_digest,
+       CASE WHEN page_id <> original THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id <> original THEN original END AS refers_to
+FROM p LEFT JOIN g ON g.d = p.d AND n >= {warc.MIN_REVISIT_BYTES}
+"""
