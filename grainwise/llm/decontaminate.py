@@ -1,6 +1,6 @@
 """Benchmark decontamination by template canonicalisation (operator 10), in DataFrame operations only.
 
-1. Canonical words: numbers, units behind numbers and names (capitalised words inside a sentence) become typed
+1. Canonical words: numbers, units behind numbers and names (capitalised, not shouted, inside a sentence) become typed
    placeholders, other words are lowered; punctuation goes.
 2. Windows of ``WINDOW`` canonical words are hashed and joined to those of the benchmark. Benchmark windows with fewer
    than ``MIN_LITERAL`` literal words aren't indexed: lists of names or numbers would all look alike. The index is a
@@ -29,7 +29,7 @@ MIN_WINDOWS = 4
 #: Units that turn into a placeholder behind a number.
 UNITS = ("%", "€", "£", "mm", "cm", "dm", "km", "m", "mg", "kg", "g", "t", "ml", "cl", "l", "ms", "s", "min", "h", "hours", "hour", "minutes", "minute", "seconds", "days", "day", "weeks", "months", "years", "miles", "mile", "feet", "inches", "yards", "pounds", "ounces", "dollars", "euros", "cents", "percent", "degrees", "litres", "liters", "metres", "meters", "grams", "watts", "volts", "mph", "kmh")
 
-_NAME = r"(?<=[\p{L}\p{N},;:\)] )\p{Lu}[\p{L}\p{M}]*"
+_NAME = r"(?<=[\p{L}\p{N},;:\)] )\p{Lu}\p{Ll}[\p{L}\p{M}]*"
 _NUMBER = r"(?<![\p{L}\p{N}])\p{N}+(?:[.,:/]\p{N}+)*"
 _SPLIT = r"[^\p{L}\p{M}\p{N}@]+"
 
@@ -40,7 +40,7 @@ def canonical(text: Column) -> Column:
     text = F.regexp_replace(text, _NAME, "@p")
     text = F.regexp_replace(text, _NUMBER, "@n ")
     text = F.regexp_replace(text, rf"(?<=@n ) ?(?:{'|'.join(UNITS)})(?!\p{{L}})", "@u ")
-    return F.filter(F.split(F.lower(text), _SPLIT), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), _SPLIT), "")
 
 
 def annotated(text: Column) -> Column:
@@ -49,11 +49,12 @@ def annotated(text: Column) -> Column:
     text = F.regexp_replace(text, _NAME, "@p$0")
     text = F.regexp_replace(text, r"(?<![\p{L}\p{N}])(\p{N}+)(?:[.,:/](\p{N}+))?(?:[.,:/](\p{N}+))?(?:[.,:/]\p{N}+)*", "@n$1x$2x$3 ")
     text = F.regexp_replace(text, rf"(?<=@n\p{{N}}{{1,30}}x\p{{N}}{{0,30}}x\p{{N}}{{0,30}} ) ?({'|'.join(UNITS)})(?!\p{{L}})", "@u$1 ")
-    return F.filter(F.split(F.lower(text), _SPLIT), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), _SPLIT), "")
 
 
 def windows(words: Column) -> Column:
-    """Array of window hashes; element i covers the words from i on."""
+    """Array of window hashes; element i covers the words from i on. ``words`` should be a column made in a projection
+    below, as an expression would be evaluated again for every element."""
     at = lambda i, k: F.get(words, (i + k).cast("int"))
     last = F.size(words) - WINDOW
     return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*(at(i, k) for k in range(WINDOW))))).otherwise(F.array().cast("array<bigint>"))
@@ -79,7 +80,8 @@ def benchmark_index(benchmark: DataFrame) -> DataFrame:
 def candidates(docs: DataFrame, index: DataFrame) -> DataFrame:
     """doc_id, text_key, item_id, item_key, matched and indexed windows, and the offset most windows agree on."""
     text = F.col("text").cast("string")
-    doc_windows = docs.filter(text.isNotNull()).select(*_row_key(), F.posexplode(windows(canonical(text))).alias("pos", "hash"))
+    words = docs.filter(text.isNotNull()).select(*_row_key(), canonical(text).alias("words"))
+    doc_windows = words.select("doc_id", "text_key", F.posexplode(windows(F.col("words"))).alias("pos", "hash"))
     hits = doc_windows.join(index, "hash").select("doc_id", "text_key", "item_id", "item_key", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"))
     keys = ["doc_id", "text_key", "item_id", "item_key"]
     # Per window first: a passage repeated within a document counts once per window.
