@@ -30,26 +30,26 @@ MIN_WINDOWS = 4
 UNITS = ("%", "€", "£", "mm", "cm", "dm", "km", "m", "mg", "kg", "g", "t", "ml", "cl", "l", "ms", "s", "min", "h", "hours", "hour", "minutes", "minute", "seconds", "days", "day", "weeks", "months", "years", "miles", "mile", "feet", "inches", "yards", "pounds", "ounces", "dollars", "euros", "cents", "percent", "degrees", "litres", "liters", "metres", "meters", "grams", "watts", "volts", "mph", "kmh")
 
 _NAME = r"(?<=[\p{L}\p{N},;:\)] )\p{Lu}\p{Ll}[\p{L}\p{M}]*"
-_NUMBER = r"(?<![\p{L}\p{N}])\p{N}+(?:[.,:/]\p{N}+)*"
+_NUMBER = r"(?<![\p{L}\p{N}])(\p{N}+)(?:[.,:/](\p{N}+))?(?:[.,:/](\p{N}+))?(?:[.,:/]\p{N}+)*"
+_MEASURE = rf"{_NUMBER} ?({'|'.join(UNITS)})(?!\p{{L}})"
 _SPLIT = r"[^\p{L}\p{M}\p{N}@]+"
 
 
+def _words(text: Column, name: str, number: str, unit: str) -> Column:
+    """Words of ``text`` with its names, numbers and units replaced; a replaced number isn't one again, as a letter precedes it."""
+    text = F.regexp_replace(F.translate(text, "@", " "), _NAME, name)
+    text = F.regexp_replace(F.regexp_replace(text, _MEASURE, f"{number} {unit} "), _NUMBER, f"{number} ")
+    return F.array_remove(F.split(F.lower(text), _SPLIT), "")
+
+
 def canonical(text: Column) -> Column:
     """Array of canonical words: @p, @n, @u or a lowered word."""
-    text = F.translate(text, "@", " ")
-    text = F.regexp_replace(text, _NAME, "@p")
-    text = F.regexp_replace(text, _NUMBER, "@n ")
-    text = F.regexp_replace(text, rf"(?<=@n ) ?(?:{'|'.join(UNITS)})(?!\p{{L}})", "@u ")
-    return F.array_remove(F.split(F.lower(text), _SPLIT), "")
+    return _words(text, "@p", "@n", "@u")
 
 
 def annotated(text: Column) -> Column:
     """As ``canonical``, word by word, with the value behind each placeholder: @pname, @n3x5x, @ukg."""
-    text = F.translate(text, "@", " ")
-    text = F.regexp_replace(text, _NAME, "@p$0")
-    text = F.regexp_replace(text, r"(?<![\p{L}\p{N}])(\p{N}+)(?:[.,:/](\p{N}+))?(?:[.,:/](\p{N}+))?(?:[.,:/]\p{N}+)*", "@n$1x$2x$3 ")
-    text = F.regexp_replace(text, rf"(?<=@n\p{{N}}{{1,30}}x\p{{N}}{{0,30}}x\p{{N}}{{0,30}} ) ?({'|'.join(UNITS)})(?!\p{{L}})", "@u$1 ")
-    return F.array_remove(F.split(F.lower(text), _SPLIT), "")
+    return _words(text, "@p$0", "@n$1x$2x$3", "@u$4")
 
 
 def windows(words: Column) -> Column:
