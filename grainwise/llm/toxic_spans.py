@@ -1,8 +1,8 @@
 """Toxic spans by a linear-chain conditional random field (operator 7).
 
 Training (driver, on a bounded sample of labelled rows): byte prefixes and whole words are hashed to features; those
-that stand out in toxic texts give the token labels (a token of a toxic text with such a feature is toxic, tokens of
-other texts are not). The field has one weight per feature for the toxic state, and transition weights; full-batch
+that stand out in toxic texts, chosen by covering these texts one feature at a time, give the token labels (a token of a
+toxic text with such a feature is toxic, tokens of other texts are not). The field has one weight per feature for the toxic state, and transition weights; full-batch
 AdaGrad climbs the conditional likelihood, whose gradient comes from forward-backward marginals. Three summaries of a
 text's marginals (largest, expected number, share) go through a logistic calibration to the document score.
 
@@ -33,6 +33,8 @@ from grainwise.llm.shipping import map_arrow
 #: Feature table size (2 ** BITS weights), byte prefixes used besides the whole word.
 BITS = 18
 PREFIXES = (4, 5, 6, 8)
+#: Bytes of a training slice.
+TRAIN_BYTES = 1 << 20
 
 _IS_WORD = np.zeros(256, bool)
 _IS_WORD[65:91] = _IS_WORD[97:123] = _IS_WORD[48:58] = True
@@ -126,55 +128,107 @@ def summaries(toxic: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.ones(n), np.log(largest / (1 - largest)) / 4, np.log(expected + 1e-3), np.log((expected + 1e-3) / (count + 10))], axis=1)
 
 
-def telling_features(features: np.ndarray, text: np.ndarray, label: np.ndarray, min_texts: int, min_gain: float, min_lift: float) -> np.ndarray:
-    """Features found in clearly more toxic than other texts (log-likelihood ratio and lift)."""
-    key = np.unique(text.astype(np.int64)[:, None] * (1 << BITS) + features)
-    doc, feature = key >> BITS, key & ((1 << BITS) - 1)
-    a = np.bincount(feature[label[doc] == 1], minlength=1 << BITS).astype(float)
-    b = np.bincount(feature[label[doc] == 0], minlength=1 << BITS).astype(float)
-    pos, neg = max(1, int((label == 1).sum())), max(1, int((label == 0).sum()))
-    rate = (a + b) / (pos + neg)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        gain = 2 * (np.where(a > 0, a * np.log(a / (pos * rate)), 0) + np.where(b > 0, b * np.log(b / (neg * rate)), 0))
-    lift = ((a + 0.5) / pos) / ((b + 0.5) / neg)
-    return (a >= min_texts) & (gain >= min_gain) & (lift >= min_lift)
+@dataclass
+class Slice:
+    """Tokens of some whole texts: their features, texts, and which of them start a text."""
+
+    features: np.ndarray
+    text: np.ndarray
+    first: np.ndarray
+
+
+def _sample_slices(texts: pa.Array) -> list[Slice]:
+    """The sample in slices, so that training holds the lattice of one slice at a time."""
+    out, before = [], 0
+    for part in tb.slices([pa.RecordBatch.from_arrays([b], names=["text"]) for b in (texts.chunks if isinstance(texts, pa.ChunkedArray) else [texts])], max_bytes=TRAIN_BYTES):
+        _, _, text, features = tokens(*tb.flat(part.column(0)))
+        out.append(Slice(features, text + before, _chain_starts(text)))
+        before += part.num_rows
+    return out
+
+
+def telling_features(parts: list[Slice], label: np.ndarray, min_texts: int, min_gain: float, min_lift: float) -> np.ndarray:
+    """Features that tell toxic texts, chosen one by one by log-likelihood ratio.
+
+    A chosen feature explains its toxic texts, which then no longer count: the other words of a toxic text, or of many
+    copies of one, gain nothing from it.
+    """
+    size = 1 << BITS
+    keys = [np.unique(p.text[:, None] * size + p.features) for p in parts]
+    b = sum((np.bincount((k & (size - 1))[label[k >> BITS] == 0], minlength=size) for k in keys), np.zeros(size))
+    key = np.concatenate([k[label[k >> BITS] == 1] for k in keys])
+    doc, feature = key >> BITS, key & (size - 1)
+    by_feature = np.argsort(feature, kind="stable")
+    at = np.searchsorted(feature[by_feature], np.arange(size + 1))
+    by_doc = np.searchsorted(doc, np.arange(len(label) + 1))
+    a = np.bincount(feature, minlength=size).astype(float)
+    neg = max(1, int((label == 0).sum()))
+    todo = label == 1
+    chosen = np.zeros(size, bool)
+    while (pos := int(todo.sum())) >= min_texts:
+        rate = (a + b) / (pos + neg)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = 2 * (np.where(a > 0, a * np.log(a / (pos * rate)), 0) + np.where(b > 0, b * np.log(b / (neg * rate)), 0))
+        lift = ((a + 0.5) / pos) / ((b + 0.5) / neg)
+        gain[(a < min_texts) | (lift < min_lift) | chosen] = 0
+        best = int(gain.argmax())
+        if gain[best] < min_gain:
+            break
+        chosen[best] = True
+        explained = np.unique(doc[by_feature[at[best] : at[best + 1]]])
+        for d in explained[todo[explained]].tolist():
+            a[feature[by_doc[d] : by_doc[d + 1]]] -= 1
+            todo[d] = False
+    return chosen
 
 
-def train(texts: pa.Array, label: np.ndarray, epochs: int = 30, rate: float = 0.5, ridge: float = 1e-3, clean_ratio: int = 3, min_texts: int = 4, min_gain: float = 12.0, min_lift: float = 4.0) -> Model:
+def train(texts: pa.Array, label: np.ndarray, epochs: int = 40, rate: float = 0.5, ridge: float = 1e-3, clean_ratio: int = 3, min_texts: int = 4, min_gain: float = 12.0, min_lift: float = 4.0) -> Model:
     share = float(label.mean()) if len(label) else 0.0
-    model = Model(np.zeros(1 << BITS, np.float32), np.zeros(2), np.zeros((2, 2)), np.array([np.log((share + 1e-4) / (1 - share + 1e-4)), 0, 0, 0]))
+    size = 1 << BITS
+    model = Model(np.zeros(size, np.float32), np.zeros(2), np.zeros((2, 2)), np.array([np.log((share + 1e-4) / (1 - share + 1e-4)), 0, 0, 0]))
     if share in (0.0, 1.0):
         return model
-    data, offsets = tb.flat(texts)
-    _, _, text, features = tokens(data, offsets)
-    telling = telling_features(features, text, label, min_texts, min_gain, min_lift)
-    toxic_token = telling[features].any(axis=1) & (label[text] == 1)
+    parts = _sample_slices(texts)
+    telling = telling_features(parts, label, min_texts, min_gain, min_lift)
     # All toxic texts and ``clean_ratio`` times as many others teach the field; all sampled texts calibrate it.
     others = np.flatnonzero(label == 0)
     taught = np.zeros(len(label), bool)
     taught[label == 1] = True
     taught[others[: clean_ratio * int((label == 1).sum())]] = True
-    use = taught[text]
-    f, y, t = features[use], toxic_token[use].astype(int), text[use]
-    first = _chain_starts(t)
-    weights, start, move = np.zeros(1 << BITS), np.array([0.0, -4.0]), np.array([[0.0, -4.0], [-1.0, -2.0]])
-    grads = [np.full(1 << BITS, 1e-8), np.full(2, 1e-8), np.full((2, 2), 1e-8)]
-    pairs = np.zeros((2, 2))
-    inner = ~first
-    np.add.at(pairs, (y[:-1][inner[1:]], y[1:][inner[1:]]), 1)
-    flat_f = f.ravel()
+    lessons = []
+    for p in parts:
+        use = taught[p.text]
+        f, text = p.features[use], p.text[use]
+        toxic = (telling[f].any(axis=1) & (label[text] == 1)).astype(np.int64)
+        first = _chain_starts(text)
+        pairs = np.zeros((2, 2))
+        inner = np.flatnonzero(~first)
+        np.add.at(pairs, (toxic[inner - 1], toxic[inner]), 1)
+        lessons.append((f, toxic, first, pairs))
+    n_chains = sum(int(first.sum()) for _, _, first, _ in lessons)
+    weights, start, move = np.zeros(size), np.array([0.0, -4.0]), np.array([[0.0, -4.0], [-1.0, -2.0]])
+    totals = [np.full(size, 1e-8), np.full(2, 1e-8), np.full((2, 2), 1e-8)]
     for _ in range(epochs):
-        p, pair = marginals(weights[f].sum(axis=1), first, start, move)
-        g_w = np.bincount(flat_f, weights=np.repeat(y - p, f.shape[1]), minlength=1 << BITS) - ridge * len(first) ** 0.5 * weights
-        p_first = np.array([(1 - p[first]).sum(), p[first].sum()])
-        g_s = np.array([(y[first] == 0).sum(), (y[first] == 1).sum()]) - p_first
-        g_m = pairs - pair[inner].sum(axis=0)
-        for value, g, total in ((weights, g_w, grads[0]), (start, g_s, grads[1]), (move, g_m, grads[2])):
+        grads = [-ridge * n_chains**0.5 * weights, np.zeros(2), np.zeros((2, 2))]
+        for f, toxic, first, pairs in lessons:
+            if not len(first):
+                continue
+            p, pair = marginals(weights[f].sum(axis=1), first, start, move)
+            grads[0] += np.bincount(f.ravel(), weights=np.repeat(toxic - p, f.shape[1]), minlength=size)
+            grads[1] += [(p[first] - toxic[first]).sum(), (toxic[first] - p[first]).sum()]
+            grads[2] += pairs - pair[~first].sum(axis=0)
+        for value, g, total in zip((weights, start, move), grads, totals, strict=True):
             total += g * g
             value += rate * g / np.sqrt(total)
     model.weights, model.start, model.move = weights.astype(np.float32), start, move
-    p, _ = marginals(model.weights[features].sum(axis=1), _chain_starts(text), start, move)
-    model.calibration = logistic(summaries(p, text, len(label)), label)
+    found = np.zeros((len(label), 4))
+    for p in parts:
+        lo, hi = (int(p.text[0]), int(p.text[-1]) + 1) if len(p.text) else (0, 0)
+        toxic, _ = marginals(model.weights[p.features].astype(float).sum(axis=1), p.first, start, move)
+        found[lo:hi] = summaries(toxic, p.text - lo, hi - lo)
+    blank = found[:, 0] == 0  # texts without tokens
+    found[blank] = summaries(np.zeros(0), np.zeros(0, np.int64), 1)
+    model.calibration = logistic(found, label)
     return model
 
 
@@ -210,7 +264,7 @@ def score_texts(text: pa.Array, model: Model, span_limit: float = 0.5) -> tuple[
     return score, spans
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, max_rows: int = 6000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, max_rows: int = 8000) -> Model:
     rows = sample(docs, labels, "toxic", folds, held_out, max_rows)
     return train(rows.column("text"), rows.column("label").to_numpy().astype(int))
 
