@@ -29,6 +29,8 @@ from grainwise.llm.shipping import map_arrow
 
 WORD_BITS = 16
 BINS = 8
+#: Bytes of a training slice.
+TRAIN_BYTES = 1 << 20
 
 
 @dataclass
@@ -108,10 +110,12 @@ def raw_scores(who: np.ndarray, what: np.ndarray, value: np.ndarray, m: Machine)
 
 
 def train(texts: pa.Array, label: np.ndarray, rank: int = 8, epochs: int = 12, rate: float = 0.1, ridge: float = 1e-4, batch: int = 256, seed: int = 11) -> Machine:
-    data, offsets = tb.flat(texts)
-    n = len(offsets) - 1
+    n = len(label)
     share = float(label.mean()) if n else 0.0
-    stats = statistics(data, offsets) if n else np.zeros((1, statistics(np.zeros(0, np.uint8), np.zeros(2, np.int64)).shape[1]))
+    # In slices, so that the driver holds the working arrays of one at a time.
+    batches = [pa.RecordBatch.from_arrays([b], names=["text"]) for b in (texts.chunks if isinstance(texts, pa.ChunkedArray) else [texts])]
+    parts = [part.column(0) for part in tb.slices(batches, max_bytes=TRAIN_BYTES)]
+    stats = np.concatenate([statistics(*tb.flat(p)) for p in parts]) if n else statistics(np.zeros(0, np.uint8), np.zeros(2, np.int64))
     k = stats.shape[1]
     m = Machine(stats.mean(axis=0), np.maximum(stats.std(axis=0), 1e-6), np.zeros((k, BINS - 1)), float(np.log((share + 1e-4) / (1 - share + 1e-4))), np.zeros(k + k * BINS + (1 << WORD_BITS)), np.zeros((k + k * BINS + (1 << WORD_BITS), rank)))
     m.edges = np.quantile((stats - m.mean) / m.scale, np.arange(1, BINS) / BINS, axis=0).T
@@ -119,18 +123,23 @@ def train(texts: pa.Array, label: np.ndarray, rank: int = 8, epochs: int = 12, r
         return m
     rng = np.random.default_rng(seed)
     m.factors = rng.normal(0, 0.05, m.factors.shape)
-    who, what, value = rows_of(data, offsets, m)
+    rows, before = [], 0
+    for p in parts:
+        who, what, value = rows_of(*tb.flat(p), m)
+        rows.append(((who + before).astype(np.int32), what.astype(np.int32), value.astype(np.float32)))
+        before += len(p)
+    who, what, value = (np.concatenate([r[i] for r in rows]) for i in range(3))
     ends = np.searchsorted(who, np.arange(n + 1))
     g_lin, g_fac, g_bias = np.full(m.linear.shape, 1e-3), np.full(m.factors.shape, 1e-3), 1e-3
     for _ in range(epochs):
         order = rng.permutation(n)
         for lo in range(0, n, batch):
-            rows = order[lo : lo + batch]
-            at = np.concatenate([np.arange(ends[r], ends[r + 1]) for r in rows])
-            size = ends[rows + 1] - ends[rows]
-            doc, f, x = np.repeat(np.arange(len(rows)), size), what[at], value[at]
+            picked = order[lo : lo + batch]
+            at = np.concatenate([np.arange(ends[r], ends[r + 1]) for r in picked])
+            size = ends[picked + 1] - ends[picked]
+            doc, f, x = np.repeat(np.arange(len(picked)), size), what[at], value[at].astype(float)
             logit, sums = raw_scores(doc, f, x, m)
-            err = 1 / (1 + np.exp(-np.clip(logit, -30, 30))) - label[rows]
+            err = 1 / (1 + np.exp(-np.clip(logit, -30, 30))) - label[picked]
             seen, slot = np.unique(f, return_inverse=True)
             gl = np.bincount(slot, weights=err[doc] * x, minlength=len(seen)) + ridge * m.linear[seen]
             each = (err[doc] * x)[:, None] * (sums[doc] - m.factors[f] * x[:, None])

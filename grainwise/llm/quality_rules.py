@@ -27,6 +27,7 @@ from pyspark.sql.window import Window
 
 from grainwise.llm import textblocks as tb
 from grainwise.llm.shipping import map_arrow
+from grainwise.session import scratch_path
 
 #: Byte classes: 0 lower, 1 upper, 2 digit, 3 blank, 4 line end, 5 sentence mark, 6 quote or bracket, 7 dash or slash,
 #: 8 symbol, 9 lead byte of a non-ASCII character, 10 control, 11 continuation byte (not counted).
@@ -173,12 +174,14 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def references(docs: DataFrame, limits: Limits = Limits()) -> References:
     """Language references over all rows; at most 1 / ``min_share`` languages plus the pooled one are collected."""
     narrow = docs.select(F.coalesce(F.col("lang"), F.lit("")).alias("ref_lang"), F.col("text").cast("string").alias("text"))
-    counts = map_arrow(narrow, _count, COUNTS).groupBy("ref_lang", "kind", "item").agg(F.sum("n").alias("n"))
+    path = scratch_path(docs.sparkSession, "language-counts")
+    map_arrow(narrow, _count, COUNTS).groupBy("ref_lang", "kind", "item").agg(F.sum("n").alias("n")).write.parquet(path)
+    counts = docs.sparkSession.read.parquet(path)
     pooled = F.lit(None).cast("string")
-    per_item = counts.groupBy("ref_lang", "kind", "item").agg(F.sum("n").alias("n")).unionByName(counts.groupBy("kind", "item").agg(F.sum("n").alias("n")).withColumn("ref_lang", pooled))
+    per_item = counts.unionByName(counts.groupBy("kind", "item").agg(F.sum("n").alias("n")).withColumn("ref_lang", pooled))
     rows = counts.filter("kind = 0").select("ref_lang", "n")
-    total = rows.agg(F.sum("n").alias("rows"))
-    large = rows.crossJoin(F.broadcast(total)).filter(F.col("n") >= F.col("rows") * limits.min_share).select(F.col("ref_lang").alias("large_lang"))
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    large = rows.filter(F.col("n") >= total * limits.min_share).select(F.col("ref_lang").alias("large_lang"))
     wanted = per_item.filter("kind > 0").join(large, F.col("ref_lang") == F.col("large_lang"), "left").filter("large_lang is not null or ref_lang is null")
     rank = F.row_number().over(Window.partitionBy("ref_lang", "kind").orderBy((F.col("item") < 0).desc(), F.desc("n"), "item"))
     top = wanted.withColumn("place", rank).filter(F.col("place") <= limits.common_words + 1)
