@@ -1,8 +1,8 @@
 """Toxic spans by a linear-chain conditional random field (operator 7).
 
 Training (driver, on a bounded sample of labelled rows): byte prefixes and whole words are hashed to features; those
-that stand out in toxic texts, chosen by covering these texts one feature at a time, give the token labels (a token of a
-toxic text with such a feature is toxic, tokens of other texts are not). The field has one weight per feature for the toxic state, and transition weights; full-batch
+that stand out in toxic texts, near copies counted once, give the token labels (a token of a toxic text with such a
+feature is toxic, tokens of other texts are not). The field has one weight per feature for the toxic state, and transition weights; full-batch
 AdaGrad climbs the conditional likelihood, whose gradient comes from forward-backward marginals. Three summaries of a
 text's marginals (largest, expected number, share) go through a logistic calibration to the document score.
 
@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 from grainwise.llm import textblocks as tb
 from grainwise.llm.labelled import sample
 from grainwise.llm.shipping import map_arrow
+from grainwise.llm.simhash import roots
 
 #: Feature table size (2 ** BITS weights), byte prefixes used besides the whole word.
 BITS = 18
@@ -147,42 +148,53 @@ def _sample_slices(texts: pa.Array) -> list[Slice]:
     return out
 
 
-def telling_features(parts: list[Slice], label: np.ndarray, min_texts: int, min_gain: float, min_lift: float) -> np.ndarray:
-    """Features that tell toxic texts, chosen one by one by log-likelihood ratio.
-
-    A chosen feature explains its toxic texts, which then no longer count: the other words of a toxic text, or of many
-    copies of one, gain nothing from it.
-    """
-    size = 1 << BITS
-    keys = [np.unique(p.text[:, None] * size + p.features) for p in parts]
-    b = sum((np.bincount((k & (size - 1))[label[k >> BITS] == 0], minlength=size) for k in keys), np.zeros(size))
-    key = np.concatenate([k[label[k >> BITS] == 1] for k in keys])
-    doc, feature = key >> BITS, key & (size - 1)
-    by_feature = np.argsort(feature, kind="stable")
-    at = np.searchsorted(feature[by_feature], np.arange(size + 1))
-    by_doc = np.searchsorted(doc, np.arange(len(label) + 1))
-    a = np.bincount(feature, minlength=size).astype(float)
-    neg = max(1, int((label == 0).sum()))
-    todo = label == 1
-    chosen = np.zeros(size, bool)
-    while (pos := int(todo.sum())) >= min_texts:
-        rate = (a + b) / (pos + neg)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            gain = 2 * (np.where(a > 0, a * np.log(a / (pos * rate)), 0) + np.where(b > 0, b * np.log(b / (neg * rate)), 0))
-        lift = ((a + 0.5) / pos) / ((b + 0.5) / neg)
-        gain[(a < min_texts) | (lift < min_lift) | chosen] = 0
-        best = int(gain.argmax())
-        if gain[best] < min_gain:
-            break
-        chosen[best] = True
-        explained = np.unique(doc[by_feature[at[best] : at[best + 1]]])
-        for d in explained[todo[explained]].tolist():
-            a[feature[by_doc[d] : by_doc[d + 1]]] -= 1
-            todo[d] = False
-    return chosen
+def one_of_each(parts: list[Slice], n: int, size: int = 5, signatures: int = 3) -> np.ndarray:
+    """Marks one text of each group of near copies: texts that share a least hash of their 5-token windows."""
+    labels = np.arange(n)
+    keys, texts = [], []
+    for p in parts:
+        word = tb.mix(p.features[:, 0].astype(np.uint64) + np.uint64(1))
+        m = len(word) - size + 1
+        if m <= 0:
+            continue
+        rolled = np.zeros(m, np.uint64)
+        for k in range(size):
+            rolled = tb.mix(rolled * np.uint64(0xFF51AFD7ED558CCD) + word[k : k + m])
+        inside = p.text[:m] == p.text[size - 1 :]
+        keys.append(rolled[inside])
+        texts.append(p.text[:m][inside])
+    if not keys:
+        return np.ones(n, bool)
+    key, text = np.concatenate(keys), np.concatenate(texts)
+    for s in range(signatures):
+        hashed = tb.mix(key ^ tb.mix(np.array([s + 1], np.uint64)))
+        least = np.full(n, ~np.uint64(0))
+        np.minimum.at(least, text, hashed)
+        order = np.argsort(least, kind="stable")
+        same = (least[order][1:] == least[order][:-1]) & (least[order][1:] != ~np.uint64(0))
+        labels = roots(labels, order[1:][same], order[:-1][same])
+    return labels == np.arange(n)
 
 
-def train(texts: pa.Array, label: np.ndarray, epochs: int = 40, rate: float = 0.5, ridge: float = 1e-3, clean_ratio: int = 3, min_texts: int = 4, min_gain: float = 12.0, min_lift: float = 4.0) -> Model:
+def telling_features(parts: list[Slice], label: np.ndarray, min_texts: int, min_gain: float, min_lift: float) -> np.ndarray:
+    """Features found in clearly more toxic than other texts (log-likelihood ratio and lift); near copies count once."""
+    size = 1 << BITS
+    counted = one_of_each(parts, len(label))
+    a, b = np.zeros(size), np.zeros(size)
+    for p in parts:
+        key = np.unique(p.text[:, None] * size + p.features)
+        doc, feature = key >> BITS, key & (size - 1)
+        a += np.bincount(feature[counted[doc] & (label[doc] == 1)], minlength=size)
+        b += np.bincount(feature[counted[doc] & (label[doc] == 0)], minlength=size)
+    pos, neg = max(1, int((counted & (label == 1)).sum())), max(1, int((counted & (label == 0)).sum()))
+    rate = (a + b) / (pos + neg)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = 2 * (np.where(a > 0, a * np.log(a / (pos * rate)), 0) + np.where(b > 0, b * np.log(b / (neg * rate)), 0))
+    lift = ((a + 0.5) / pos) / ((b + 0.5) / neg)
+    return (a >= min_texts) & (gain >= min_gain) & (lift >= min_lift)
+
+
+def train(texts: pa.Array, label: np.ndarray, epochs: int = 40, rate: float = 0.5, ridge: float = 1e-3, clean_ratio: int = 3, min_texts: int = 5, min_gain: float = 20.0, min_lift: float = 4.0) -> Model:
     share = float(label.mean()) if len(label) else 0.0
     size = 1 << BITS
     model = Model(np.zeros(size, np.float32), np.zeros(2), np.zeros((2, 2)), np.array([np.log((share + 1e-4) / (1 - share + 1e-4)), 0, 0, 0]))
