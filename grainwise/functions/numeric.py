@@ -114,9 +114,17 @@ def smape_term(y: str | Column, p: str | Column) -> Column:
     return F.when(den == 0, F.lit(0.0)).otherwise(200.0 * F.abs(col(y) - col(p)) / den)
 
 
+#: ``key_hash`` lies in [0, HASH_SPAN).
+HASH_SPAN = 1 << 60
+
+
 def key_hash(key: Column, seed: int = 0) -> Column:
-    """Multiplicative hash of a BIGINT key on 32 bits: the same integers in any SQL engine."""
-    return F.pmod(F.pmod(key, F.lit(2147483648)) * F.lit(2654435761) + F.lit(seed), F.lit(4294967296))
+    """Seeded 60-bit hash of a key of any type, by its text: the same integers in any SQL engine with md5."""
+    return F.conv(F.substring(F.md5(F.concat(key.cast("string"), F.lit(f":{seed}"))), 1, 15), 16, 10).cast("long")
+
+
+def key_hash_sql(key: str, seed: int = 0) -> str:
+    return f"CAST('0x' || substr(md5(CAST({key} AS VARCHAR) || ':{seed}'), 1, 15) AS BIGINT)"
 
 
 # Acklam's rational approximation of the standard normal quantile.

@@ -6,13 +6,15 @@ in; everything else is a group-by of sums. No statistic collects rows or forms r
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from grainwise.functions.numeric import key_hash, two_sided_p
+from grainwise.functions.numeric import HASH_SPAN, key_hash, two_sided_p
 from grainwise.operators import ordering
 
 
@@ -218,8 +220,21 @@ def cluster_robust_rho(df: DataFrame, by: Sequence[str], cluster: str, x: str, y
     )
 
 
-# Cumulative Poisson(1) probabilities for weights 0..6.
-POISSON_CDF = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183)
+def poisson_thresholds() -> list[int]:
+    """Hash values from which a Poisson(1) weight exceeds 0, 1, 2, ...: all that a hash below HASH_SPAN can reach."""
+    out, term, total, k = [], Fraction(1), Fraction(0), 0
+    scale = Fraction(math.exp(-1))
+    while True:
+        total += term
+        threshold = math.ceil(total * scale * HASH_SPAN)
+        k += 1
+        term /= k
+        if threshold >= HASH_SPAN or (out and threshold <= out[-1]):
+            return out
+        out.append(threshold)
+
+
+POISSON = poisson_thresholds()
 
 
 def cluster_bootstrap(df: DataFrame, by: Sequence[str], cluster: str, x: str, y: str, replicates: int, seed: int = 7) -> DataFrame:
@@ -235,8 +250,8 @@ def cluster_bootstrap(df: DataFrame, by: Sequence[str], cluster: str, x: str, y:
         F.sum(c).alias("n"), F.sum(c * dx).alias("sx"), F.sum(c * dy).alias("sy"), F.sum(c * dx * dx).alias("sxx"), F.sum(c * dy * dy).alias("syy"), F.sum(c * dx * dy).alias("sxy")
     )
     b = per.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    u = key_hash(key_hash(F.col(cluster) * replicates + F.col("b"), seed) + 7919 * F.col("b"), seed) / F.lit(4294967296.0)
-    weight = sum(((u >= p).cast("int") for p in POISSON_CDF), F.lit(0))
+    u = key_hash(F.concat_ws("#", F.col(cluster).cast("string"), F.col("b").cast("string")), seed)
+    weight = sum(((u >= p).cast("int") for p in POISSON), F.lit(0))
     sums = b.withColumn("w", weight).where("w > 0").groupBy(*by, "b").agg(*[F.sum(F.col("w") * F.col(k)).alias(k) for k in ("n", "sx", "sy", "sxx", "syy", "sxy")])
     boots = sums.withColumn("r", corr_from_sums(*[F.col(k) for k in ("n", "sx", "sy", "sxx", "syy", "sxy")]))
     q = ordering.exact_quantiles(boots, "r", {"ci_lo": 0.025, "ci_hi": 0.975}, by).withColumnRenamed("n", "replicates")
@@ -423,23 +438,27 @@ def corr_ceiling(rho: DataFrame, reported: DataFrame, target: str) -> DataFrame:
     return best.join(reported, target, "left").withColumn("headroom", F.col("model_r2") - F.col("ceiling"))
 
 
-def feature_blocks(pairs: DataFrame, nodes: DataFrame, node: str = "feature", max_rounds: int = 50) -> DataFrame:
+def feature_blocks(pairs: DataFrame, nodes: DataFrame, node: str = "feature") -> DataFrame:
     """Connected components of a pair table (a, b): every node takes its smallest reachable label.
 
-    Lineage is cut in the shared folder each round, so a lost executor does not replay the loop.
+    Each round takes the least label of the neighbours and then the label of that label, so rounds grow
+    with the logarithm of the longest path; they end when nothing changes. Lineage is cut in the shared
+    folder each round, so a lost executor does not replay the loop.
     """
     from grainwise.session import cut_lineage
 
     edges = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     edges = cut_lineage(edges)
     labels = cut_lineage(nodes.select(node, F.col(node).alias("block")))
-    for _ in range(max_rounds):
+    while True:
         near = edges.join(labels, edges["b"] == labels[node]).groupBy("a").agg(F.min("block").alias("_m"))
-        step = labels.join(near, labels[node] == near["a"], "left").select(
-            node, F.least("block", F.coalesce("_m", "block")).alias("block"), (F.col("_m") < F.col("block")).alias("_changed")
-        )
+        hooked = labels.join(near, labels[node] == near["a"], "left").select(node, "block", F.least("block", F.coalesce("_m", "block")).alias("_to"))
+        # A node whose label moved tells it to that label as well, so that whole trees move at once.
+        told = hooked.where("_to < block").groupBy(F.col("block").alias("_root")).agg(F.min("_to").alias("_hint"))
+        step = hooked.join(told, hooked[node] == told["_root"], "left").select(node, "block", F.least("_to", F.coalesce("_hint", "_to")).alias("_to"))
         step = cut_lineage(step)
-        labels = step.drop("_changed")
-        if not step.where("_changed").take(1):
+        jump = step.select(F.col(node).alias("_n"), F.col("_to").alias("_up"))
+        after = cut_lineage(step.join(jump, step["_to"] == jump["_n"]).select(node, F.least("_to", "_up").alias("_new"), F.col("block").alias("_old")))
+        labels = after.select(node, F.col("_new").alias("block"))
+        if not after.where("_new <> _old").take(1):
             return labels
-    raise RuntimeError("labels did not settle")

@@ -17,15 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from grainwise.functions.numeric import key_hash, normal_quantile, whole_days
-
-MAX_BUCKETS = 1024
-
+from grainwise.functions.numeric import HASH_SPAN, key_hash, normal_quantile, whole_days
+from grainwise.session import scratch_path
 
 def value_edges(df: DataFrame, value: str, buckets: int | None = None) -> list[float]:
-    """Strictly increasing inner edges that cut ``value`` into about equal shares of rows."""
+    """Strictly increasing inner edges that cut the rows of ``df`` into about equal shares, one per shuffle partition."""
     if buckets is None:
-        buckets = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MAX_BUCKETS)
+        buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if buckets <= 1:
         return []
     probs = [i / buckets for i in range(1, buckets)]
@@ -47,16 +45,21 @@ def ordered_counts(
 ) -> DataFrame:
     """One row per distinct (by, value): ``cnt``, ``cum_before`` (rows below it) and group size ``n``.
 
-    NULL values and NULL group keys are left out, as in the statistics built on this.
+    NULL values and NULL group keys are left out, as in the statistics built on this. The counts are
+    stored once in the shared folder: edges, running counts and totals read that table, so the input
+    itself is read a single time. Edges balance distinct values, which is what the work grows with.
     """
     by = list(by)
     rows = df.where(F.col(value).isNotNull())
     for k in by:
         rows = rows.where(F.col(k).isNotNull())
-    if edges is None:
-        edges = value_edges(rows, value)
     count = F.count("*") if weight is None else F.sum(weight)
-    hist = with_bucket(rows.groupBy(*by, value).agg(count.alias("cnt")), value, edges)
+    path = scratch_path(df.sparkSession, "counts")
+    rows.groupBy(*by, value).agg(count.alias("cnt")).write.parquet(path)
+    stored = df.sparkSession.read.parquet(path)
+    if edges is None:
+        edges = value_edges(stored, value)
+    hist = with_bucket(stored, value, edges)
     inside = W.partitionBy(*by, "_bucket").orderBy(value)
     hist = hist.withColumn("_in", F.sum("cnt").over(inside) - F.col("cnt"))
     totals = hist.groupBy(*by, "_bucket").agg(F.sum("cnt").alias("_t"))
@@ -90,7 +93,11 @@ def exact_quantiles(
 
 
 def median_by(df: DataFrame, value: str, by: Sequence[str], out: str | None = None) -> DataFrame:
-    return exact_quantiles(df, value, {out or value: 0.5}, by).drop("n")
+    """Exact medians of *small* groups (replicates of one sample) in one aggregation.
+
+    Its state holds a group's distinct values; use ``exact_quantiles`` where groups grow with the data.
+    """
+    return df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.median(value).alias(out or value))
 
 
 def average_ranks(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "avg_rank") -> DataFrame:
@@ -166,17 +173,22 @@ def previous_visit(
 
 
 def group_ranks(df: DataFrame, group: str, seed: int = 0, by_size: bool = False) -> DataFrame:
-    """Distinct groups in a seeded random order: 0-based ``rank`` and the group count ``n``."""
+    """Distinct groups in a seeded random order: 0-based ``rank`` and the group count ``n``.
+
+    Keys may have any type; ranks are unique, as equal hashes are ordered by the key itself.
+    """
     h = key_hash(F.col(group), seed)
-    if by_size:
-        groups = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("_size"))
-        order = h - F.col("_size") * F.lit(4294967296)
-    else:
-        groups = df.where(F.col(group).isNotNull()).select(group).distinct()
-        order = h
-    groups = groups.select(group, order.alias("_order"))
-    counts = ordered_counts(groups, "_order")
-    return groups.join(counts, "_order").select(group, F.col("cum_before").alias("rank"), "n")
+    groups = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("_size"))
+    # Larger groups first: the size in front of the hash, as one exact decimal.
+    order = h.cast("decimal(38,0)") - F.col("_size").cast("decimal(18,0)") * F.lit(HASH_SPAN).cast("decimal(19,0)") if by_size else h
+    return unique_ranks(groups.select(group, order.alias("_order")), group, "_order")
+
+
+def unique_ranks(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """key, 0-based unique ``rank`` by (order, key), and the row count ``n``."""
+    counts = ordered_counts(rows, order).select(order, "cum_before", "n")
+    tie = F.row_number().over(W.partitionBy(order).orderBy(key)) - 1
+    return rows.join(counts, order).select(key, (F.col("cum_before") + tie).cast("long").alias("rank"), "n")
 
 
 def group_split(df: DataFrame, group: str, fraction: float, seed: int = 0) -> DataFrame:

@@ -12,7 +12,7 @@ from itertools import combinations_with_replacement
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grainwise.functions.numeric import cut, key_hash, season, smape_term
+from grainwise.functions.numeric import HASH_SPAN, cut, key_hash, season, smape_term
 from grainwise.operators import ordering
 from grainwise.operators.reshape import long_form
 
@@ -306,7 +306,7 @@ def variance_decomposition(df: DataFrame, group: str, columns: Sequence[str], st
 
 def split_leakage(df: DataFrame, group: str, row_key: str, fraction: float, seed: int) -> DataFrame:
     """Share of randomly held-out rows whose group also has training rows: no self-join needed."""
-    test = key_hash(F.col(row_key), seed) < F.lit(int(fraction * 4294967296))
+    test = key_hash(F.col(row_key), seed) < F.lit(int(fraction * HASH_SPAN))
     per = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count_if(test).alias("t"), F.count_if(~test).alias("r"))
     return per.agg(
         F.sum("t").alias("n_test"), F.count_if(F.col("t") > 0).alias("n_test_groups"), F.count("*").alias("n_groups"),

@@ -9,12 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grainwise.functions.numeric import EARTH_KM, haversine_km, planar_degrees, radian_euclidean_km
+from grainwise.operators import ordering
 from grainwise.operators.profile import ratio
 from grainwise.session import cut_lineage
 
 METRICS = {"haversine": haversine_km, "radian_euclidean": radian_euclidean_km, "planar": planar_degrees}
-# Cell sizes in degrees, fine to coarse; the last one covers the globe in one block of cells.
-LEVELS = (0.25, 1.0, 4.0, 16.0, 64.0, 360.0)
+# Cell sizes in degrees, fine to coarse, all parts of a full turn; the last one covers the globe in one block of cells.
+LEVELS = (0.25, 1.0, 4.0, 15.0, 60.0, 360.0)
 
 
 def _cell(c: Column, size: float) -> Column:
@@ -44,7 +45,10 @@ def nearest_neighbor(
     shuffle, so neither side of a dense cell is ever collected.
     """
     dist = METRICS[metric]
-    pts = src.select(F.col(src_id).alias("_s"), F.col("lat").alias("_la"), F.col("lon").alias("_lo")).where("_la IS NOT NULL AND _lo IS NOT NULL")
+    every = src.select(F.col(src_id).alias("_s"), F.col("lat").alias("_la"), F.col("lon").alias("_lo"))
+    pts = every.where("_la IS NOT NULL AND _lo IS NOT NULL")
+    # On the sphere, cells wrap at +-180 degrees.
+    turn = lambda c, size: F.pmod(c, F.lit(round(360 / size)).cast("long")) if metric == "haversine" else c
     sites = tgt.where("lat IS NOT NULL AND lon IS NOT NULL")
     if not exclude_self:
         sites = sites.groupBy("lat", "lon").agg(F.min(tgt_id).alias(tgt_id))
@@ -53,8 +57,10 @@ def nearest_neighbor(
         last = i == len(levels) - 1
         near = F.array(*[F.lit(d).cast("long") for d in (-1, 0, 1)])
         probe = open_points.withColumn("_dx", F.explode(near)).withColumn("_dy", F.explode(near))
-        probe = probe.select("_s", "_la", "_lo", (_cell(F.col("_la"), size) + F.col("_dy")).alias("_cy"), (_cell(F.col("_lo"), size) + F.col("_dx")).alias("_cx"))
-        cells = sites.select(F.col(tgt_id).alias("_t"), F.col("lat").alias("_ta"), F.col("lon").alias("_to"), _cell(F.col("lat"), size).alias("_cy"), _cell(F.col("lon"), size).alias("_cx"))
+        probe = probe.select("_s", "_la", "_lo", (_cell(F.col("_la"), size) + F.col("_dy")).alias("_cy"), turn(_cell(F.col("_lo"), size) + F.col("_dx"), size).alias("_cx"))
+        if size >= 120:  # fewer than three cells around
+            probe = probe.distinct()
+        cells = sites.select(F.col(tgt_id).alias("_t"), F.col("lat").alias("_ta"), F.col("lon").alias("_to"), _cell(F.col("lat"), size).alias("_cy"), turn(_cell(F.col("lon"), size), size).alias("_cx"))
         met = probe.join(cells, ["_cy", "_cx"])
         if exclude_self:
             met = met.where("_s <> _t")
@@ -68,7 +74,9 @@ def nearest_neighbor(
         open_points = level.where("NOT _done").select("_s", "_la", "_lo")
         if not open_points.take(1):
             break
-    return settled.select(F.col("_s").alias(src_id), F.col("_b.t").alias(tgt_id), F.col("_b.d").alias("distance"))
+    # Points without coordinates, or without any target, stay with NULL.
+    out = every.select("_s").join(settled, "_s", "left")
+    return out.select(F.col("_s").alias(src_id), F.col("_b.t").alias(tgt_id), F.col("_b.d").alias("distance"))
 
 
 def inside_ring(lon: Column, lat: Column, ring: Column) -> Column:
@@ -116,12 +124,23 @@ def idw_grid(sites: DataFrame, value: str, origin: tuple[float, float], step: fl
 
     Every site adds its weight to the grid nodes within ``radius`` steps - a fixed number of rows per
     site - and nodes sum them with map-side combine. A site on a node counts with a tiny distance.
+    Every node of the grid is in the result; those beyond all sites have a NULL value.
     """
     ix, iy = F.rint((F.col("lon") - origin[0]) / step).cast("long"), F.rint((F.col("lat") - origin[1]) / step).cast("long")
     offsets = F.sequence(F.lit(-radius).cast("long"), F.lit(radius).cast("long"))
     s = sites.where(F.col(value).isNotNull()).select("lat", "lon", F.col(value).alias("v"), ix.alias("ix"), iy.alias("iy"), F.explode(offsets).alias("dx"))
     s = s.withColumn("dy", F.explode(offsets)).select("lat", "lon", "v", (F.col("ix") + F.col("dx")).alias("gx"), (F.col("iy") + F.col("dy")).alias("gy"))
+    grid = sites.sparkSession.range(shape[0] * shape[1]).select((F.col("id") % shape[0]).alias("gx"), F.expr(f"id div {shape[0]}").alias("gy"))
     s = s.where(F.col("gx").between(0, shape[0] - 1) & F.col("gy").between(0, shape[1] - 1))
     d2 = F.pow(F.col("lon") - (origin[0] + F.col("gx") * step), F.lit(2.0)) + F.pow(F.col("lat") - (origin[1] + F.col("gy") * step), F.lit(2.0))
     w = 1.0 / F.greatest(d2, F.lit(1e-9))
-    return s.groupBy("gx", "gy").agg(F.count("*").alias("n_sites"), (F.sum(w * F.col("v")) / F.sum(w)).alias("value"))
+    near = s.groupBy("gx", "gy").agg(F.count("*").alias("n_sites"), (F.sum(w * F.col("v")) / F.sum(w)).alias("value"))
+    return grid.join(near, ["gx", "gy"], "left").withColumn("n_sites", F.coalesce("n_sites", F.lit(0).cast("long")))
+
+
+def display_range(surface: DataFrame, value: str = "value", low: float = 0.02, high: float = 0.98) -> DataFrame:
+    """The surface with its values clipped to the given quantiles, so that a few extremes don't set the colour scale."""
+    q = ordering.exact_quantiles(surface, value, {"_low": low, "_high": high}).select("_low", "_high").first()
+    if q is None:
+        return surface
+    return surface.withColumn(value, F.when(F.col(value).isNotNull(), F.greatest(F.least(F.col(value), F.lit(q["_high"])), F.lit(q["_low"]))))

@@ -4,18 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from grainwise.functions.numeric import normal_quantile_sql
+from grainwise.functions.numeric import key_hash_sql, normal_quantile_sql
 from grainwise.operators import ordering as o
 from grainwise.operators import setops
 from grainwise.plans.registry import query
 from grainwise.sources import views
 from grainwise.sources.tables import table
 
-HASH_SQL = "((({k}) % 2147483648) * 2654435761 + {seed}) % 4294967296"
-
-
-def hash_sql(key: str, seed: int = 0) -> str:
-    return HASH_SQL.format(k=key, seed=seed)
+hash_sql = key_hash_sql
 
 
 @query(

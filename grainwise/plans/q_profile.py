@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from grainwise.operators import profile as p
+from grainwise.functions.numeric import HASH_SPAN
 from grainwise.plans.q_ordering import hash_sql
 from grainwise.plans.registry import query
 from grainwise.sources import views
@@ -302,7 +303,7 @@ def variance_decomposition(spark, sf):
 
 @query(
     "split_leakage",
-    f"""WITH t AS (SELECT o_custkey, {hash_sql('o_orderkey', 42)} < 858993459 AS test FROM orders), g AS (SELECT o_custkey, count(*) FILTER (WHERE test) AS t, count(*) FILTER (WHERE NOT test) AS r FROM t GROUP BY 1)
+    f"""WITH t AS (SELECT o_custkey, {hash_sql('o_orderkey', 42)} < {int(0.2 * HASH_SPAN)} AS test FROM orders), g AS (SELECT o_custkey, count(*) FILTER (WHERE test) AS t, count(*) FILTER (WHERE NOT test) AS r FROM t GROUP BY 1)
        SELECT CAST(sum(t) AS BIGINT) AS n_test, count(*) FILTER (WHERE t > 0) AS n_test_groups, count(*) AS n_groups, round(100 * sum(t) FILTER (WHERE r > 0) / sum(t), 6) AS pct_leaked FROM g""",
 )
 def split_leakage(spark, sf):

@@ -82,9 +82,11 @@ def sample_grid(spark, sf):
     "idw_grid",
     """WITH s AS (SELECT lat, lon, balance AS v, CAST(round_even((lon + 96.6::DOUBLE) / 0.2::DOUBLE, 0) AS BIGINT) AS ix, CAST(round_even((lat - 40.4::DOUBLE) / 0.2::DOUBLE, 0) AS BIGINT) AS iy FROM v_station),
        o AS (SELECT unnest(range(-2, 3)) AS d), g AS (SELECT lat, lon, v, ix + a.d AS gx, iy + b.d AS gy FROM s, o a, o b),
-       w AS (SELECT *, 1 / greatest(power(lon - (-96.6::DOUBLE + gx * 0.2::DOUBLE), 2) + power(lat - (40.4::DOUBLE + gy * 0.2::DOUBLE), 2), 1e-9) AS w FROM g WHERE gx BETWEEN 0 AND 32 AND gy BETWEEN 0 AND 16)
-       SELECT gx, gy, count(*) AS n_sites, round(sum(w * v) / sum(w), 4) AS value FROM w GROUP BY 1, 2""",
+       w AS (SELECT *, 1 / greatest(power(lon - (-96.6::DOUBLE + gx * 0.2::DOUBLE), 2) + power(lat - (40.4::DOUBLE + gy * 0.2::DOUBLE), 2), 1e-9) AS w FROM g WHERE gx BETWEEN 0 AND 32 AND gy BETWEEN 0 AND 16),
+       n AS (SELECT gx, gy, count(*) AS n_sites, sum(w * v) / sum(w) AS value FROM w GROUP BY 1, 2), q AS (SELECT quantile_cont(value, 0.02) AS lo, quantile_cont(value, 0.98) AS hi FROM n),
+       f AS (SELECT x.gx, y.gy FROM (SELECT unnest(range(0, 33)) AS gx) x, (SELECT unnest(range(0, 17)) AS gy) y)
+       SELECT f.gx, f.gy, coalesce(n_sites, 0) AS n_sites, round(CASE WHEN value IS NOT NULL THEN greatest(least(value, hi), lo) END, 4) AS value FROM f LEFT JOIN n ON f.gx = n.gx AND f.gy = n.gy, q""",
 )
 def idw_grid(spark, sf):
     out = spatial.idw_grid(views.station(spark, sf), "balance", (-96.6, 40.4), 0.2, (33, 17), 2)
-    return out.withColumn("value", F.round("value", 4))
+    return spatial.display_range(out).withColumn("value", F.round("value", 4))
