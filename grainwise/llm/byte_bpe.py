@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import tempfile
 from collections.abc import Iterable, Iterator
 
 import duckdb
@@ -35,9 +36,9 @@ from grainwise.llm.caches import Generations
 from grainwise.llm.shipping import map_arrow
 
 #: Texts worked on at once: larger slices give the recursive query more words a call.
-ENCODE_BYTES = 4 << 20
+ENCODE_BYTES = 2 << 20
 #: Words of one generation of a worker's memory; results don't depend on it.
-KEPT_WORDS = 350_000
+KEPT_WORDS = 120_000
 #: Words of one recursive query.
 QUERY_WORDS = 20_000
 LONG_WORD = 48
@@ -82,7 +83,7 @@ class DuckBpe:
 
     def __init__(self, path: str):
         self.ranks = read_ranks(path)
-        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB", "preserve_insertion_order": False})
+        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "150MB", "preserve_insertion_order": False, "temp_directory": tempfile.gettempdir()})
         lft, rgt, whole = [], [], []
         ranks = self.ranks
         for b, r in ranks.items():
