@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from grainwise.functions.numeric import key_hash_sql
 from grainwise.operators import association as a
 from grainwise.operators import ordering
 from grainwise.plans.q_profile import rounded
@@ -150,17 +151,45 @@ def binned_profile(spark, sf):
     return rounded(a.binned_profile(t, ["grp"], "x", "y"), 5, "x_mid", "q1", "med", "q3", "sd", "se_med")
 
 
-@query("classify_shape")
+# The binned profile of the query above, unrounded.
+PROFILE_SQL = """t AS (SELECT l_returnflag AS grp, l_extendedprice AS x, l_quantity AS y FROM lineitem), e AS (SELECT grp, quantile_cont(x, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]) AS q FROM t GROUP BY 1),
+      b AS (SELECT t.grp, x, y, least(greatest(len(list_filter(q, lambda z: z <= x)) - 1, 0), len(q) - 2) AS bin FROM t JOIN e ON t.grp = e.grp),
+      pr AS (SELECT grp, bin, count(*) AS n, quantile_cont(y, 0.25) AS q1, median(y) AS med, quantile_cont(y, 0.75) AS q3, 1.2533 * stddev_samp(y) / sqrt(count(*)) AS se_med FROM b GROUP BY 1, 2 HAVING count(*) >= 20)"""
+
+
+def bin_trend_sql(value):
+    """Rank correlation of the bin order with a per-bin value."""
+    return f"""SELECT grp, corr(k, r) AS trend FROM (SELECT grp, row_number() OVER (PARTITION BY grp ORDER BY bin) AS k,
+        rank() OVER (PARTITION BY grp ORDER BY {value}) + (count(*) OVER (PARTITION BY grp, {value}) - 1) / 2.0::DOUBLE AS r FROM pr) GROUP BY 1"""
+
+
+@query(
+    "classify_shape",
+    f"""WITH {PROFILE_SQL}, st AS (SELECT *, abs(med - lag(med) OVER (PARTITION BY grp ORDER BY bin)) AS step FROM pr), tr AS ({bin_trend_sql('med')}),
+      sc AS (SELECT grp, CASE WHEN quantile_cont(y, 0.75) > quantile_cont(y, 0.25) THEN quantile_cont(y, 0.75) - quantile_cont(y, 0.25) WHEN quantile_cont(y, 0.9) > quantile_cont(y, 0.1) THEN quantile_cont(y, 0.9) - quantile_cont(y, 0.1)
+        ELSE nullif(stddev_samp(y), 0) END AS scale FROM t GROUP BY 1),
+      ag AS (SELECT grp, count(*) AS levels, max(med) AS hi, min(med) AS lo, arg_min(med, bin) AS f, arg_max(med, bin) AS l, min(bin) AS b0, max(bin) AS b1, arg_max(bin, (med, -bin)) AS b_hi, arg_min(bin, (med, bin)) AS b_lo,
+        max(step) AS ms, sum(step) AS ss, 2 * median(se_med) AS noise FROM st GROUP BY 1)
+      SELECT grp, levels, CASE WHEN levels < {a.MIN_LEVELS} OR scale IS NULL OR scale <= 0 THEN 'too few levels' WHEN (hi - lo) / scale < {a.FLAT_SHARE} OR hi - lo < noise THEN 'flat'
+          WHEN b_hi > b0 AND b_hi < b1 AND hi - greatest(f, l) >= greatest({a.ARM_SHARE} * (hi - lo), noise) THEN 'hump' WHEN b_lo > b0 AND b_lo < b1 AND least(f, l) - lo >= greatest({a.ARM_SHARE} * (hi - lo), noise) THEN 'valley'
+          WHEN abs(trend) >= {a.MONOTONE_RHO} AND ms >= {a.STEP_SHARE} * ss THEN 'threshold' WHEN trend >= {a.MONOTONE_RHO} THEN 'monotone up' WHEN trend <= -{a.MONOTONE_RHO} THEN 'monotone down' ELSE 'irregular' END AS shape,
+        round((hi - lo) / scale, 6) AS median_range_over_scale
+      FROM ag JOIN tr USING (grp) JOIN sc USING (grp)""",
+)
 def classify_shape(spark, sf):
     t = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("grp"), F.col("l_extendedprice").alias("x"), F.col("l_quantity").alias("y"))
     profile = cut_lineage(a.binned_profile(t, ["grp"], "x", "y"))
-    return a.classify_shape(profile, a.robust_scale(t, "y", ["grp"]), ["grp"], ["grp"])
+    return rounded(a.classify_shape(profile, a.robust_scale(t, "y", ["grp"]), ["grp"], ["grp"]), 6, "median_range_over_scale")
 
 
-@query("conditional_spread")
+@query(
+    "conditional_spread",
+    f"""WITH {PROFILE_SQL.replace("pr AS (SELECT", "pr0 AS (SELECT")}, pr AS (SELECT *, q3 - q1 AS iqr FROM pr0), tr AS ({bin_trend_sql('iqr')})
+      SELECT grp, n_bins, round(hi / lo, 6) AS iqr_ratio, round(trend, 6) AS iqr_trend FROM (SELECT grp, count(*) AS n_bins, max(iqr) AS hi, min(iqr) AS lo FROM pr GROUP BY 1) JOIN tr USING (grp) WHERE n_bins >= 6 AND lo > 0""",
+)
 def conditional_spread(spark, sf):
     t = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("grp"), F.col("l_extendedprice").alias("x"), F.col("l_quantity").alias("y"))
-    return a.conditional_spread(cut_lineage(a.binned_profile(t, ["grp"], "x", "y")), ["grp"])
+    return rounded(a.conditional_spread(cut_lineage(a.binned_profile(t, ["grp"], "x", "y")), ["grp"]), 6, "iqr_ratio", "iqr_trend")
 
 
 @query(
@@ -183,13 +212,33 @@ def binned_mi(spark, sf):
     return rounded(a.binned_mi(t, ["pair"], "x", "y"), 6, "mi_raw", "mi_null").select("pair", "n", "mi_raw", "mi_null")
 
 
-@query("cluster_bootstrap")
+REPLICATES = 400
+
+
+@query(
+    "cluster_bootstrap",
+    f"""WITH r AS (SELECT l_suppkey AS cluster, rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2.0::DOUBLE - (count(*) OVER () + 1) / 2.0::DOUBLE AS dx,
+        rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0::DOUBLE - (count(*) OVER () + 1) / 2.0::DOUBLE AS dy FROM lineitem),
+      c AS (SELECT cluster, count(*)::DOUBLE AS n, sum(dx) AS sx, sum(dy) AS sy, sum(dx * dx) AS sxx, sum(dy * dy) AS syy, sum(dx * dy) AS sxy FROM r GROUP BY 1),
+      u AS (SELECT c.*, b, {key_hash_sql("cluster || '#' || b", 7)} AS u FROM c, (SELECT unnest(range(0, {REPLICATES})) AS b)),
+      w AS (SELECT *, ({" + ".join(f"(u >= {p})::INT" for p in a.POISSON)})::DOUBLE AS w FROM u),
+      s AS (SELECT b, sum(w * n) AS n, sum(w * sx) AS sx, sum(w * sy) AS sy, sum(w * sxx) AS sxx, sum(w * syy) AS syy, sum(w * sxy) AS sxy FROM w WHERE w > 0 GROUP BY 1),
+      q AS (SELECT (sxy - sx * sy / n) / sqrt((sxx - sx * sx / n) * (syy - sy * sy / n)) AS r FROM s)
+      SELECT 'p' AS pair, count(*) AS replicates, round(quantile_cont(r, 0.025), 6) AS ci_lo, round(quantile_cont(r, 0.975), 6) AS ci_hi, round(stddev_samp(r), 6) AS se_bootstrap FROM q""",
+)
 def cluster_bootstrap(spark, sf):
     t = table(spark, sf, "lineitem").select(F.lit("p").alias("pair"), F.col("l_suppkey").alias("cluster"), F.col("l_extendedprice").alias("x"), F.col("l_quantity").alias("y"))
-    return a.cluster_bootstrap(t, ["pair"], "cluster", "x", "y", replicates=200)
+    out = a.cluster_bootstrap(t, ["pair"], "cluster", "x", "y", replicates=REPLICATES)
+    return rounded(out, 6, "ci_lo", "ci_hi", "se_bootstrap")
 
 
-@query("feature_blocks")
+@query(
+    "feature_blocks",
+    "WITH RECURSIVE l AS (" + " UNION ALL ".join(f"SELECT '{x}' AS a, '{y}' AS b, {x} AS x, {y} AS y FROM v_features" for i, x in enumerate(COLS) for y in COLS[i + 1:]) + """),
+      r AS (SELECT a, b, rank() OVER (PARTITION BY a, b ORDER BY x) + (count(*) OVER (PARTITION BY a, b, x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (PARTITION BY a, b ORDER BY y) + (count(*) OVER (PARTITION BY a, b, y) - 1) / 2.0::DOUBLE AS ry FROM l),
+      s AS (SELECT a, b FROM r GROUP BY 1, 2 HAVING abs(corr(rx, ry)) >= 0.35), e AS (SELECT a, b FROM s UNION SELECT b, a FROM s), n AS (SELECT DISTINCT a AS f FROM l UNION SELECT DISTINCT b FROM l),
+      c AS (SELECT f AS feature, f AS other FROM n UNION SELECT c.feature, e.b FROM c JOIN e ON c.other = e.a) SELECT feature, min(other) AS block FROM c GROUP BY 1""",
+)
 def feature_blocks(spark, sf):
     rho = cut_lineage(a.spearman(a.column_pairs(cut_lineage(views.features(spark, sf)), COLS), "x", "y", ["a", "b"]))
     nodes = rho.select(F.col("a").alias("feature")).unionByName(rho.select(F.col("b").alias("feature"))).distinct()

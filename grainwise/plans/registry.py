@@ -43,6 +43,8 @@ def with_views(sql: str) -> str:
         return sql.strip()
     ctes = ",\n".join(f"{v} AS ({SQL_VIEWS[v].strip()})" for v in needed)
     body = sql.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
