@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from grainwise.llm import pretokens
+from grainwise.llm import caches, pretokens
 from grainwise.llm import textblocks as tb
 from grainwise.llm.caches import Generations
 from grainwise.llm.shipping import map_arrow
@@ -42,6 +42,7 @@ KEPT_WORDS = 120_000
 #: Words of one recursive query.
 QUERY_WORDS = 20_000
 LONG_WORD = 48
+OWNER = "byte_bpe"
 #: Bytes of a piece of a long word.
 PIECE = 32
 
@@ -203,10 +204,17 @@ class DuckBpe:
 _tools: dict[str, DuckBpe] = {}
 
 
+def _close() -> None:
+    for bpe in _tools.values():
+        bpe.con.close()
+    _tools.clear()
+
+
 def tool(path: str) -> DuckBpe:
     """The worker's database for a vocabulary file, kept between tasks."""
     if path not in _tools:
         _tools[path] = DuckBpe(path)
+        caches.hold(OWNER, _close)
     return _tools[path]
 
 
@@ -254,4 +262,4 @@ def encoded(docs: DataFrame, columns: list[str], path: str, with_ids: bool = Fal
             out = pa.RecordBatch.from_arrays([*part.columns[: len(columns)], *more], names=arrow.names)
             yield out.cast(arrow)
 
-    return map_arrow(narrow, run, schema)
+    return map_arrow(narrow, run, schema, OWNER)

@@ -2,6 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+
+_held: dict[str, Callable[[], None]] = {}
+
+
+def hold(owner: str, release: Callable[[], None]) -> None:
+    """Note that this worker keeps memory for ``owner``, and how to give it back."""
+    _held[owner] = release
+
+
+def claim(owner: str) -> None:
+    """Called when a task of ``owner`` starts: what other operators' tasks left in this worker goes."""
+    for name in [n for n in _held if n != owner]:
+        _held.pop(name)()
+
 
 class Generations:
     """A map of bounded size: when the young generation is full it becomes the old one, and the former old one goes."""

@@ -30,7 +30,14 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def map_arrow(df: DataFrame, fn: Callable, schema: T.StructType | str) -> DataFrame:
-    """``mapInArrow`` whose function may import this package."""
+def map_arrow(df: DataFrame, fn: Callable, schema: T.StructType | str, owner: str = "") -> DataFrame:
+    """``mapInArrow`` whose function may import this package; ``owner`` names what its worker may keep between tasks."""
     ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def task(batches):
+        from grainwise.llm import caches
+
+        caches.claim(owner)
+        yield from fn(batches)
+
+    return df.mapInArrow(task, schema)

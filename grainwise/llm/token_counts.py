@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from grainwise.llm import pretokens
+from grainwise.llm import caches, pretokens
 from grainwise.llm import textblocks as tb
 from grainwise.llm.caches import Generations
 from grainwise.llm.shipping import map_arrow
@@ -34,6 +34,7 @@ from grainwise.llm.shipping import map_arrow
 KEPT_WORDS = 200_000
 #: Transitions kept by a worker before it compiles afresh; results don't depend on it.
 KEPT_TRANSITIONS = 400_000
+OWNER = "token_counts"
 
 
 def byte_symbols() -> dict[str, int]:
@@ -206,6 +207,7 @@ def compiled(path: str) -> MergeTransducer:
     """The worker's transducer of a file; a pure function of the file, kept between tasks."""
     if path not in _compiled:
         _compiled[path] = MergeTransducer(path)
+        caches.hold(OWNER, _compiled.clear)
     return _compiled[path]
 
 
@@ -264,4 +266,4 @@ def counted(docs: DataFrame, columns: list[str], path: str, limit: int = 1024) -
             size, tokens = count_tokens(part.column("__text"), path)
             yield pa.RecordBatch.from_arrays([*part.columns[: len(columns)], pa.array(size), pa.array(tokens), pa.array(tokens > limit)], schema=arrow)
 
-    return map_arrow(narrow, run, schema)
+    return map_arrow(narrow, run, schema, OWNER)
