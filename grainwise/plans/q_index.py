@@ -12,28 +12,33 @@ from grainwise.operators import ordering
 from grainwise.plans.q_profile import rounded
 from grainwise.plans.registry import query
 from grainwise.plans.sqlviews import weighted_mean_sql
-from grainwise.session import cut_lineage
+from grainwise.session import scratch_path
 from grainwise.sources import views
 from grainwise.sources.tables import table
 
 
 def scored(spark, sf):
-    """The stored index table: scored once, written to the shared folder, read by every report."""
-    cols = ["station", "sample_id", "replicate", "ts", "water_temp", "n_groups", "weight_coverage", "eligible", *FOUR, "worst"]
+    """The scored samples, stored once as Parquet in the shared folder: reports read only the columns they use.
+
+    A report that inlined the curves would compile them again in each of its stages, which takes longer than the store.
+    """
+    cols = ["station", "sample_id", "replicate", "ts", "covariate", "water_temp", "n_groups", "weight_coverage", "eligible", *FOUR, "worst"]
     groups = [f"{k}_{g}" for k in ("g", "has") for g in ci.GROUPS]
-    return cut_lineage(ci.score(views.chemistry(spark, sf)).select(*cols, *groups))
+    path = scratch_path(spark, "index")
+    ci.score(views.chemistry(spark, sf)).select(*cols, *groups).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 FOUR = ["weighted_mean", "mean_max_blend", "harmonic", "weighted_harmonic"]
 
 
-QS = ["dissolved_oxygen", "ph", "e_coli", "nitrate", "turbidity"]
+QS = list(ci.CURVES)
 
 
-@query("subindex", "SELECT sample_id, replicate, station, " + ", ".join(f"round(q_{p}, 6) AS q_{p}" for p in QS) + " FROM v_subindex")
+@query("subindex", "SELECT sample_id, replicate, station, " + ", ".join(f"round(q_{p}, 9) AS q_{p}" for p in QS) + " FROM v_subindex")
 def subindex(spark, sf):
     out = ci.subindex_all(views.chemistry(spark, sf), {p: ci.CURVES[p] for p in QS})
-    return rounded(out, 6, *[f"q_{p}" for p in QS]).select("sample_id", "replicate", "station", *[f"q_{p}" for p in QS])
+    return rounded(out, 9, *[f"q_{p}" for p in QS]).select("sample_id", "replicate", "station", *[f"q_{p}" for p in QS])
 
 
 @query(
@@ -183,18 +188,14 @@ def index_benchmark(spark, sf):
 
 @query(
     "decile_profile",
-    """WITH t AS (SELECT l_extendedprice AS x, i.mean_max_blend AS v FROM (SELECT l_extendedprice, l_orderkey, l_linenumber, l_suppkey FROM lineitem) l JOIN
-         (SELECT sample_id, replicate, station, mean_max_blend FROM v_index WHERE eligible AND sample_id IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) = 1)) i
-         ON l.l_orderkey = i.sample_id),
+    """WITH t AS (SELECT covariate AS x, mean_max_blend AS v FROM v_index WHERE eligible),
        e AS (SELECT quantile_cont(x, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]) AS q FROM t)
        SELECT bin, count(*) AS n, round(quantile_cont(v, 0.25), 5) AS q1, round(median(v), 5) AS median, round(quantile_cont(v, 0.75), 5) AS q3
        FROM (SELECT greatest(len(list_filter(q, lambda z: z < x)) - 1, 0) AS bin, v FROM t, e) GROUP BY 1""",
 )
 def decile_profile(spark, sf):
-    """Index by decile of a covariate (the sample's value), for orders with a single sample."""
-    li = table(spark, sf, "lineitem")
-    single = li.groupBy("l_orderkey").agg(F.count("*").alias("c"), F.max("l_extendedprice").alias("x")).where("c = 1").select(F.col("l_orderkey").alias("sample_id"), "x")
-    rows = scored(spark, sf).where("eligible").select("sample_id", "mean_max_blend").join(single, "sample_id")
+    """Index by decile of a covariate that lies in the sample's own row."""
+    rows = scored(spark, sf).where("eligible").select(F.col("covariate").alias("x"), "mean_max_blend")
     edges = ordering.exact_quantiles(rows, "x", {f"e{i}": i / 10 for i in range(11)}).select(F.array_distinct(F.array(*[f"e{i}" for i in range(11)]))).first()[0]
     binned = rows.withColumn("bin", assoc.right_closed_bin(F.col("x"), F.lit(edges)))
     return rounded(ci.profile_by(binned, "bin", "mean_max_blend"), 5, "q1", "median", "q3")
@@ -260,12 +261,11 @@ def temporal_features(spark, sf):
 @query(
     "haversine",
     """SELECT s.station, round(2 * 6371.0088 * asin(sqrt(least(power(sin(radians(g.lat - s.lat) / 2), 2) + cos(radians(s.lat)) * cos(radians(g.lat)) * power(sin(radians(g.lon - s.lon) / 2), 2), 1))), 5) AS km
-       FROM v_station s JOIN v_gauge g ON s.station % 100 = g.gauge""",
+       FROM v_station s, (SELECT 42.03::DOUBLE AS lat, -93.58::DOUBLE AS lon) g""",
 )
 def haversine(spark, sf):
-    st = views.station(spark, sf).select("station", "lat", "lon", (F.col("station") % 100).alias("gauge"))
-    ga = views.gauge(spark, sf).select("gauge", F.col("lat").alias("glat"), F.col("lon").alias("glon"))
-    return st.join(ga, "gauge").select("station", F.round(num.haversine_km(F.col("lat"), F.col("lon"), F.col("glat"), F.col("glon")), 5).alias("km"))
+    """Distance of every station from a fixed point."""
+    return views.station(spark, sf).select("station", F.round(num.haversine_km(F.col("lat"), F.col("lon"), F.lit(42.03), F.lit(-93.58)), 5).alias("km"))
 
 
 @query(
@@ -312,16 +312,25 @@ def quantile_bins(spark, sf):
     )
 
 
+# Every rule set in turn, then a target without rules.
+RULED = [*display.LABEL_RULES, "Alkalinity"]
+
+
+def label_sql(target, value):
+    out = f"CASE WHEN {value} IS NULL THEN 'Unknown'"
+    for name, (limits, beyond) in display.LABEL_RULES.items():
+        out += "".join(f" WHEN {target} = '{name}' AND {value} {'<=' if inclusive else '<'} {limit} THEN '{label}'" for limit, inclusive, label in limits) + f" WHEN {target} = '{name}' THEN '{beyond}'"
+    return out + " ELSE 'Measured' END"
+
+
 @query(
     "classify_value",
-    """SELECT event_id, CASE event_type WHEN 'click' THEN CASE WHEN value < 5 THEN 'Low Oxygen' WHEN value < 7 THEN 'Fair' WHEN value <= 19 THEN 'Healthy' ELSE 'Very High' END
-         WHEN 'error' THEN CASE WHEN value < 126 THEN 'Low' WHEN value < 235 THEN 'Elevated' ELSE 'High Concern' END WHEN 'purchase' THEN CASE WHEN value < 5 THEN 'Clear' WHEN value < 25 THEN 'Moderate' ELSE 'Very Turbid' END
-         WHEN 'signup' THEN CASE WHEN value < 5 THEN 'Very Cold' WHEN value <= 20 THEN 'Moderate' WHEN value <= 28 THEN 'Warm' ELSE 'Very Warm' END ELSE CASE WHEN event_id % 7 = 0 THEN 'Unknown' ELSE 'Measured' END END AS label
-       FROM events""",
+    f"""SELECT event_id, {label_sql('target', 'value')} AS label FROM (SELECT event_id, list_extract({RULED!r}, CAST(event_id % {len(RULED)} + 1 AS INT)) AS target,
+       CASE WHEN event_id % 11 <> 0 THEN value / (1 + event_id % 9) END AS value FROM events)""",
 )
 def classify_value(spark, sf):
-    target = F.create_map(*[F.lit(x) for kv in {"click": "Dissolved Oxygen", "error": "E. coli", "purchase": "Turbidity", "signup": "Water Temperature", "view": "Alkalinity"}.items() for x in kv])
-    ev = table(spark, sf, "events").select("event_id", target[F.col("event_type")].alias("target"), F.expr("CASE WHEN event_type <> 'view' OR event_id % 7 <> 0 THEN value END").alias("value"))
+    target = F.get(F.array(*[F.lit(x) for x in RULED]), (F.col("event_id") % len(RULED)).cast("int"))
+    ev = table(spark, sf, "events").select("event_id", target.alias("target"), F.expr("CASE WHEN event_id % 11 <> 0 THEN value / (1 + event_id % 9) END").alias("value"))
     return ev.select("event_id", display.classify_value("target", "value").alias("label"))
 
 

@@ -16,7 +16,7 @@ def rounded(df, digits, *columns):
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
-CHEM_COLS = ["dissolved_oxygen", "e_coli", "nitrite", "total_phosphorus"]
+CHEM_COLS = list(views.CHEMISTRY)
 CHEM_LONG = "(" + " UNION ALL ".join(f"SELECT '{c}' AS variable, {c} AS value FROM v_chemistry WHERE {c} IS NOT NULL" for c in CHEM_COLS) + ")"
 LINE_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 LINE_LONG = "(" + " UNION ALL ".join(f"SELECT '{c}' AS variable, {c} AS value FROM lineitem" for c in LINE_COLS) + ")"

@@ -48,7 +48,7 @@ FROM lineitem""",
     "v_pixels": """
 SELECT l_suppkey AS zone, l_partkey % 20 AS code, year(l_shipdate) AS year FROM lineitem""",
     "v_chemistry": "SELECT l_suppkey AS station, l_orderkey AS sample_id, CAST(l_linenumber AS BIGINT) AS replicate, "
-    "l_shipdate AS ts,\n  "
+    "l_shipdate AS ts, l_extendedprice AS covariate,\n  "
     + ",\n  ".join(f"CASE WHEN {present} THEN {expr} END AS {name}" for name, (expr, present) in CHEMISTRY.items())
     + "\nFROM lineitem",
     "v_features": """
@@ -110,10 +110,10 @@ _ALL = ", ".join(f"g_{g}" for g in composite.GROUPS)
 
 SQL_VIEWS.update(
     {
-        "v_subindex": "SELECT station, sample_id, replicate, ts, water_temp,\n  "
+        "v_subindex": "SELECT station, sample_id, replicate, ts, covariate, water_temp,\n  "
         + ",\n  ".join(f"{case_null(p, interpolate_sql(p, *c))} AS q_{p}" for p, c in composite.CURVES.items())
         + "\nFROM v_chemistry",
-        "v_groups": "SELECT station, sample_id, replicate, ts, water_temp, "
+        "v_groups": "SELECT station, sample_id, replicate, ts, covariate, water_temp, "
         + ", ".join(f"greatest({', '.join('q_' + p for p in m)}) AS g_{g}" if len(m) > 1 else f"q_{m[0]} AS g_{g}" for g, m in composite.GROUPS.items())
         + " FROM v_subindex",
         "v_eligible": "SELECT *, "

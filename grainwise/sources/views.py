@@ -134,7 +134,7 @@ def chemistry(spark: SparkSession, sf: str) -> DataFrame:
     """Wide sample table with twenty gappy water-quality parameters and a temperature."""
     return table(spark, sf, "lineitem").selectExpr(
         "l_suppkey AS station", "l_orderkey AS sample_id", "CAST(l_linenumber AS BIGINT) AS replicate",
-        "l_shipdate AS ts",
+        "l_shipdate AS ts", "l_extendedprice AS covariate",
         *[f"CASE WHEN {present} THEN {expr} END AS {name}" for name, (expr, present) in CHEMISTRY.items()],
     )
 
