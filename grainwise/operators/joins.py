@@ -48,7 +48,7 @@ def asof_backward(
     Both sides are stacked and the right payload is carried forward in time order. History is cut
     into chunks of ``t``: the carry inside a chunk is a window over (key, chunk), the carry from
     earlier chunks comes from a table of one row per (key, chunk). A hot key is thus spread over
-    its chunks, and nothing is collected.
+    its chunks, and nothing is collected. Of right rows at one time, the one with the largest payload counts.
     """
     at = F.col(t) if cap is None else F.least(F.col(t), F.lit(cap))
     chunk = chunk if chunk is not None else F.floor(F.col("_at") / 10)
@@ -56,9 +56,9 @@ def asof_backward(
     l = left.select(F.struct(*left.columns).alias("_row"), *by, at.alias("_at"), F.lit(1).alias("_side"))
     r = right.select(F.lit(None).alias("_row"), *by, F.col(t).alias("_at"), F.lit(0).alias("_side"), base.alias("_base"))
     both = l.unionByName(r, allowMissingColumns=True).withColumn("_chunk", chunk)
-    inside = W.partitionBy(*by, "_chunk").orderBy("_at", "_side").rowsBetween(W.unboundedPreceding, W.currentRow)
+    inside = W.partitionBy(*by, "_chunk").orderBy("_at", "_side", "_base").rowsBetween(W.unboundedPreceding, W.currentRow)
     both = both.withColumn("_near", F.last("_base", ignorenulls=True).over(inside))
-    ends = r.withColumn("_chunk", chunk).groupBy(*by, "_chunk").agg(F.max_by("_base", "_at").alias("_end"))
+    ends = r.withColumn("_chunk", chunk).groupBy(*by, "_chunk").agg(F.max_by("_base", F.struct("_at", "_base")).alias("_end"))
     chunks = both.select(*by, "_chunk").distinct().join(ends, [*by, "_chunk"], "left")
     before = W.partitionBy(*by).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     chunks = chunks.select(*by, "_chunk", F.last("_end", ignorenulls=True).over(before).alias("_far"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from grainwise.functions.numeric import key_hash_sql
+from grainwise.functions.numeric import key_hash_sql, two_sided_p_sql
 from grainwise.operators import association as a
 from grainwise.operators import ordering
 from grainwise.plans.q_profile import rounded
@@ -39,12 +39,15 @@ def pairwise_spearman(spark, sf):
       m AS (SELECT target, feature, count(*) AS n, avg(xs * ys) AS rho FROM s GROUP BY 1, 2),
       p AS (SELECT s.target, s.feature, s.cluster, m.n, m.rho, sum(xs * ys - 0.5 * m.rho * (xs * xs + ys * ys)) AS c, sum(power(xs * ys - 0.5 * m.rho * (xs * xs + ys * ys), 2)) AS i
         FROM s JOIN m ON s.target = m.target AND s.feature = m.feature GROUP BY 1, 2, 3, 4, 5)
-      SELECT target, feature, n, count(*) AS n_clusters, round(rho, 6) AS rho, round(sqrt(sum(i)) / n, 6) AS se_iid, round(sqrt(sum(c * c)) / n, 6) AS se_cluster, round(sum(c * c) / sum(i), 4) AS design_effect
+      SELECT target, feature, n, count(*) AS n_clusters, round(rho, 6) AS rho, round(sqrt(sum(i)) / n, 6) AS se_iid, round(sqrt(sum(c * c)) / n, 6) AS se_cluster, round(sum(c * c) / sum(i), 4) AS design_effect,
+        round(n / (sum(c * c) / sum(i)), 1) AS n_eff, round(rho - 1.96 * sqrt(sum(c * c)) / n, 6) AS ci_lo, round(rho + 1.96 * sqrt(sum(c * c)) / n, 6) AS ci_hi, round("""
+    + two_sided_p_sql("(rho * n / sqrt(sum(i)))") + ", 5) AS p_iid, round(" + two_sided_p_sql("(rho * n / sqrt(sum(c * c)))") + """, 5) AS p_cluster
       FROM p GROUP BY target, feature, n, rho""",
 )
 def cluster_robust_rho(spark, sf):
     out = a.cluster_robust_rho(stored_pairs(spark, sf), BY, "cluster", "x", "y")
-    return rounded(rounded(out, 6, "rho", "se_iid", "se_cluster"), 4, "design_effect").select(*BY, "n", "n_clusters", "rho", "se_iid", "se_cluster", "design_effect")
+    out = rounded(rounded(out, 6, "rho", "se_iid", "se_cluster", "ci_lo", "ci_hi"), 4, "design_effect")
+    return rounded(rounded(out, 1, "n_eff"), 5, "p_iid", "p_cluster").select(*BY, "n", "n_clusters", "rho", "se_iid", "se_cluster", "design_effect", "n_eff", "ci_lo", "ci_hi", "p_iid", "p_cluster")
 
 
 @query(
@@ -52,12 +55,13 @@ def cluster_robust_rho(spark, sf):
     RANKED.replace("FROM v_pairs", "FROM (SELECT * FROM v_pairs QUALIFY count(*) OVER (PARTITION BY target, feature, cluster) >= 5)") + """,
       g AS (SELECT *, avg(rx) OVER w AS mx, avg(ry) OVER w AS my FROM r WINDOW w AS (PARTITION BY target, feature, cluster)),
       b AS (SELECT target, feature, count(*) AS n_clusters, corr(mx, my) AS between_rho FROM (SELECT DISTINCT target, feature, cluster, mx, my FROM g) GROUP BY 1, 2)
-      SELECT g.target, g.feature, count(*) AS n, any_value(n_clusters) AS n_clusters, round(corr(rx, ry), 6) AS overall, round(any_value(between_rho), 6) AS "between", round(corr(rx - mx, ry - my), 6) AS within
+      SELECT g.target, g.feature, count(*) AS n, any_value(n_clusters) AS n_clusters, round(corr(rx, ry), 6) AS overall, round(any_value(between_rho), 6) AS "between", round(corr(rx - mx, ry - my), 6) AS within, false AS cluster_invariant,
+        sign(any_value(between_rho)) <> sign(corr(rx - mx, ry - my)) AND abs(any_value(between_rho)) > 0.1 AND abs(corr(rx - mx, ry - my)) > 0.1 AS sign_flip
       FROM g JOIN b ON g.target = b.target AND g.feature = b.feature GROUP BY 1, 2""",
 )
 def between_within_corr(spark, sf):
     out = a.between_within_corr(stored_pairs(spark, sf), BY, "cluster", "x", "y")
-    return rounded(out, 6, "overall", "between", "within").select(*BY, "n", "n_clusters", "overall", "between", "within")
+    return rounded(out, 6, "overall", "between", "within").select(*BY, "n", "n_clusters", "overall", "between", "within", "cluster_invariant", "sign_flip")
 
 
 CATS = [("l_returnflag", "l_linestatus"), ("l_returnflag", "l_linenumber"), ("l_linestatus", "l_linenumber")]
@@ -130,12 +134,13 @@ def persistence_baseline(spark, sf):
     "loo_influence",
     """WITH k AS (SELECT l_orderkey, l_linenumber, l_quantity AS x, l_extendedprice AS y FROM lineitem), s AS (SELECT count(*)::DOUBLE AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(y * y) AS syy, sum(x * y) AS sxy FROM k),
       d AS (SELECT ((sxy - x * y) - (sx - x) * (sy - y) / (n - 1)) / sqrt(((sxx - x * x) - power(sx - x, 2) / (n - 1)) * ((syy - y * y) - power(sy - y, 2) / (n - 1))) AS wo,
-        (sxy - sx * sy / n) / sqrt((sxx - sx * sx / n) * (syy - sy * sy / n)) AS r, n FROM k, s)
-      SELECT 'qty' AS pair, CAST(any_value(n) AS BIGINT) AS n, round(any_value(r), 6) AS pearson, round(arg_max(wo, abs(wo - r)), 6) AS pearson_without, round(max(abs(wo - r)), 8) AS max_abs_delta FROM d""",
+        (sxy - sx * sy / n) / sqrt((sxx - sx * sx / n) * (syy - sy * sy / n)) AS r, n, l_orderkey, l_linenumber FROM k, s)
+      SELECT 'qty' AS pair, CAST(any_value(n) AS BIGINT) AS n, round(any_value(r), 6) AS pearson, round(arg_max(wo, abs(wo - r)), 6) AS pearson_without, round(max(abs(wo - r)), 8) AS max_abs_delta,
+        arg_max(l_orderkey, (round(abs(wo - r), 12), -l_orderkey, -l_linenumber)) AS l_orderkey, arg_max(l_linenumber, (round(abs(wo - r), 12), -l_orderkey, -l_linenumber)) AS l_linenumber FROM d""",
 )
 def loo_influence(spark, sf):
     t = table(spark, sf, "lineitem").select(F.lit("qty").alias("pair"), F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"), "l_orderkey", "l_linenumber")
-    out = a.loo_influence(t, ["pair"], "x", "y", ["l_orderkey", "l_linenumber"]).drop("l_orderkey", "l_linenumber")
+    out = a.loo_influence(t, ["pair"], "x", "y", ["l_orderkey", "l_linenumber"])
     return rounded(rounded(out, 6, "pearson", "pearson_without"), 8, "max_abs_delta")
 
 
@@ -205,11 +210,12 @@ def robust_scale(spark, sf):
     """WITH t AS (SELECT 'p' AS pair, l_extendedprice AS x, l_quantity AS y FROM lineitem), e AS (SELECT quantile_cont(x, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]) AS qx, quantile_cont(y, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]) AS qy FROM t),
       b AS (SELECT least(greatest(len(list_filter(qx, lambda z: z <= x)) - 1, 0), len(qx) - 2) AS bx, least(greatest(len(list_filter(qy, lambda z: z <= y)) - 1, 0), len(qy) - 2) AS bb FROM t, e),
       o AS (SELECT bx, bb, count(*)::DOUBLE AS o FROM b GROUP BY 1, 2), m AS (SELECT *, sum(o) OVER (PARTITION BY bx) AS px, sum(o) OVER (PARTITION BY bb) AS py, sum(o) OVER () AS n FROM o)
-      SELECT 'p' AS pair, CAST(any_value(n) AS BIGINT) AS n, round(sum(o / n * ln(o * n / (px * py))), 6) AS mi_raw, round((count(DISTINCT bx) - 1) * (count(DISTINCT bb) - 1) / (2 * any_value(n)), 6) AS mi_null FROM m""",
+      SELECT 'p' AS pair, CAST(any_value(n) AS BIGINT) AS n, round(sum(o / n * ln(o * n / (px * py))), 6) AS mi_raw, round((count(DISTINCT bx) - 1) * (count(DISTINCT bb) - 1) / (2 * any_value(n)), 6) AS mi_null,
+        round(greatest(sum(o / n * ln(o * n / (px * py))) - (count(DISTINCT bx) - 1) * (count(DISTINCT bb) - 1) / (2 * any_value(n)), 0), 6) AS mi FROM m""",
 )
 def binned_mi(spark, sf):
     t = table(spark, sf, "lineitem").select(F.lit("p").alias("pair"), F.col("l_extendedprice").alias("x"), F.col("l_quantity").alias("y"))
-    return rounded(a.binned_mi(t, ["pair"], "x", "y"), 6, "mi_raw", "mi_null").select("pair", "n", "mi_raw", "mi_null")
+    return rounded(a.binned_mi(t, ["pair"], "x", "y"), 6, "mi_raw", "mi_null", "mi").select("pair", "n", "mi_raw", "mi_null", "mi")
 
 
 REPLICATES = 400
