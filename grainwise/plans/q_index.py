@@ -126,7 +126,7 @@ def lambda_scan(spark, sf):
     return rounded(rounded(out, 5, "median", "median_abs_change", "rho"), 4, "pct_over")
 
 
-SCHEMES = {**ci.NAMED_SCHEMES, **ci.jittered_schemes(30, seed=20260805)}
+SCHEMES = {**ci.NAMED_SCHEMES, **ci.jittered_schemes(30, seed=5)}
 
 
 @query("weight_sensitivity", scheme_sql("scheme", {k: f"(0.6 * {weighted_mean_sql(w)} + 0.4 * worst)" for k, w in SCHEMES.items()}))
