@@ -36,9 +36,9 @@ from grainwise.llm.caches import Generations
 from grainwise.llm.shipping import map_arrow
 
 #: Texts worked on at once: larger slices give the recursive query more words a call.
-ENCODE_BYTES = 2 << 20
+ENCODE_BYTES = 4 << 20
 #: Words of one generation of a worker's memory; results don't depend on it.
-KEPT_WORDS = 120_000
+KEPT_WORDS = 250_000
 #: Words of one recursive query.
 QUERY_WORDS = 20_000
 LONG_WORD = 48
@@ -84,7 +84,7 @@ class DuckBpe:
 
     def __init__(self, path: str):
         self.ranks = read_ranks(path)
-        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "150MB", "preserve_insertion_order": False, "temp_directory": tempfile.gettempdir()})
+        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "250MB", "preserve_insertion_order": False, "temp_directory": tempfile.gettempdir()})
         lft, rgt, whole = [], [], []
         ranks = self.ranks
         for b, r in ranks.items():
