@@ -6,12 +6,14 @@
    than ``MIN_LITERAL`` literal words aren't indexed: lists of names or numbers would all look alike. The index is a
    stored table: Spark broadcasts it below its size threshold and shuffles beyond.
 3. A document is a candidate for an item if it has at least half of the item's indexed windows (all of them, where the
-   item has up to four). Candidates are aligned at the offset most windows agree on, and the values behind aligned
-   placeholders must map one to one: an exact copy maps them to themselves, a re-parameterised one consistently.
+   item has up to four). Every offset is checked by itself: the values behind the placeholders inside its matched windows
+   must map one to one: an exact copy maps them to themselves, a re-parameterised one consistently. The windows of an
+   offset count together with those of the offsets whose values agree with its own (a copy with an inserted word lies at
+   two offsets), and the item is reported if they are enough for any offset.
 
 Defined cases: null or empty texts match nothing; an item with no indexed window (fewer than ``WINDOW`` words, or names
 and numbers only) is never matched; repeated items are reported each, repeated documents with equal text are reported
-once; a null doc_id is reported as null; ties between offsets go to the smallest.
+once; a null doc_id is reported as null; of several offsets that pass, the figures are those of the one with most windows.
 """
 
 from __future__ import annotations
@@ -78,21 +80,41 @@ def benchmark_index(benchmark: DataFrame) -> DataFrame:
 
 
 def candidates(docs: DataFrame, index: DataFrame) -> DataFrame:
-    """doc_id, text_key, item_id, item_key, matched and indexed windows, and the offset most windows agree on."""
+    """doc_id, text_key, item_id, item_key, indexed and least windows, and the windows found at each offset."""
     text = F.col("text").cast("string")
     words = docs.filter(text.isNotNull()).select(*_row_key(), canonical(text).alias("words"))
     doc_windows = words.select("doc_id", "text_key", F.posexplode(windows(F.col("words"))).alias("pos", "hash"))
     hits = doc_windows.join(index, "hash").select("doc_id", "text_key", "item_id", "item_key", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"))
     keys = ["doc_id", "text_key", "item_id", "item_key"]
     # Per window first: a passage repeated within a document counts once per window.
-    per_shift = hits.groupBy(*keys, "shift").agg(F.collect_set("item_pos").alias("found"))
-    per_item = per_shift.groupBy(*keys).agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("found")))).alias("matched"),
-        F.max_by(F.col("shift"), F.struct(F.size("found"), -F.col("shift"))).alias("shift"),
-    )
+    per_shift = hits.groupBy(*keys, "shift").agg(F.sort_array(F.collect_set("item_pos")).alias("found"))
+    per_item = per_shift.groupBy(*keys).agg(F.collect_list(F.struct("shift", "found")).alias("offsets"))
     sizes = index.groupBy("item_id", "item_key").agg(F.count_distinct("item_pos").alias("indexed"))
     least = F.greatest(F.ceil(F.col("indexed") * MIN_SHARE), F.least(F.col("indexed"), F.lit(MIN_WINDOWS)))
-    return per_item.join(sizes, on=(per_item.item_id.eqNullSafe(sizes.item_id)) & (per_item.item_key == sizes.item_key)).select(*(per_item[k] for k in keys), "matched", "indexed", "shift").filter(F.col("matched") >= least)
+    rows = per_item.join(sizes, on=(per_item.item_id.eqNullSafe(sizes.item_id)) & (per_item.item_key == sizes.item_key))
+    rows = rows.select(*(per_item[k] for k in keys), "indexed", least.alias("least"), "offsets")
+    return rows.filter(F.size(_together(F.col("offsets"))) >= F.col("least"))
+
+
+def _together(offsets: Column) -> Column:
+    """The windows found at any of ``offsets``."""
+    return F.array_distinct(F.flatten(F.transform(offsets, lambda o: o["found"])))
+
+
+def _slots(shift: Column, places: Column) -> Column:
+    """The distinct pairs of values behind the placeholders at ``places`` of the item and ``shift`` further in the document."""
+    pairs = F.transform(places, lambda i: F.struct(F.get("item_words", i.cast("int")).alias("item"), F.get("doc_words", (i + shift).cast("int")).alias("doc")))
+    return F.array_distinct(F.filter(pairs, lambda p: F.startswith(p["item"], F.lit("@"))))
+
+
+def _consistent(slots: Column) -> Column:
+    one_to_one = lambda side: F.size(F.array_distinct(F.transform(slots, lambda p: p[side]))) == F.size(slots)
+    return one_to_one("item") & one_to_one("doc")
+
+
+def _covered(found: Column) -> Column:
+    """Places of the words inside the windows ``found``."""
+    return F.array_distinct(F.flatten(F.transform(found, lambda p: F.sequence(p, p + WINDOW - 1))))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -107,12 +129,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     texts = docs.select(F.xxhash64(text).alias("t_key"), text.alias("t")).join(wanted, F.col("t_key") == F.col("wanted"), "left_semi")
     texts = texts.groupBy("t_key").agg(F.min("t").alias("t")).select("t_key", annotated(F.col("t")).alias("doc_words"))
     rows = found.join(items, found.item_id.eqNullSafe(items.b_id) & (found.item_key == items.b_key)).join(texts, F.col("text_key") == F.col("t_key"))
-    pair = F.transform("item_words", lambda w, i: F.struct(w.alias("item"), F.get("doc_words", (i + F.col("shift")).cast("int")).alias("doc")))
-    slots = F.array_distinct(F.filter(pair, lambda p: F.startswith(p["item"], F.lit("@")) & p["doc"].isNotNull() & (F.substring(p["item"], 1, 2) == F.substring(p["doc"], 1, 2))))
-    one_to_one = lambda side: F.size(F.array_distinct(F.transform("slots", lambda p: p[side]))) == F.size("slots")
-    rows = rows.withColumn("slots", slots).filter(one_to_one("item") & one_to_one("doc"))
-    changed = F.exists("slots", lambda p: p["item"] != p["doc"])
-    return rows.select("doc_id", "text_key", "item_id", "matched", "indexed", F.size("slots").alias("slots"), changed.alias("re_parameterised"))
+    # Offsets with equal windows and values are one.
+    checked = F.transform("offsets", lambda o: F.struct(o["found"].alias("found"), _slots(o["shift"], _covered(o["found"])).alias("slots")))
+    sound = F.filter(F.array_distinct(checked), lambda o: _consistent(o["slots"]))
+    path = scratch_path(spark, "benchmark-aligned")
+    # Stored, as Spark would push the last filter below and evaluate all this again for each element.
+    rows.select("doc_id", "text_key", "item_id", "item_key", "indexed", "least", sound.alias("sound")).write.parquet(path)
+    rows = spark.read.parquet(path)
+    # An offset that is enough by itself needs no others; they are looked at only where none is.
+    alone = F.filter("sound", lambda o: F.size(o["found"]) >= F.col("least"))
+    agreeing = lambda o: F.filter("sound", lambda x: _consistent(F.array_union(o["slots"], x["slots"])))
+    joined = lambda o: F.struct(_together(agreeing(o)).alias("found"), o["slots"].alias("slots"))
+    several = F.when(F.size(_together(F.col("sound"))) >= F.col("least"), F.filter(F.transform("sound", joined), lambda o: F.size(o["found"]) >= F.col("least")))
+    rows = rows.withColumn("passed", F.when(F.size(alone) > 0, alone).otherwise(several)).filter(F.size("passed") > 0)
+    ranked = F.transform("passed", lambda o: F.struct(F.size(o["found"]).alias("matched"), o["slots"].alias("slots")))
+    rows = rows.withColumn("best", F.array_max(ranked))
+    changed = F.exists("best.slots", lambda p: p["item"] != p["doc"])
+    return rows.select("doc_id", "text_key", "item_id", F.col("best.matched").alias("matched"), "indexed", F.size("best.slots").alias("slots"), changed.alias("re_parameterised"))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -155,6 +155,19 @@ def test_leaks_and_slots(spark):
     assert decontaminate.leaks(docs.filter("false"), bench).count() == decontaminate.leaks(docs, bench.filter("false")).count() == 0
 
 
+def found_leaks(spark, items, texts):
+    """(document, item) to re_parameterised; both are numbered from 0."""
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r.doc_id, r.item_id): r.re_parameterised for r in decontaminate.leaks(docs, bench).collect()}
+
+
+def test_every_offset_is_checked(spark):
+    broken = DOCS[2][1]
+    texts = [broken, broken + " Then: " + QUESTION, broken + " Then: " + DOCS[1][1], QUESTION.replace("of apples", "of red apples"), broken.replace("of apples", "of red apples")]
+    assert found_leaks(spark, [QUESTION], texts) == {(1, 0): False, (2, 0): True, (3, 0): False}
+
+
 def test_canonical_and_annotated_words_align(spark):
     random.seed(4)
     pieces = ["The", "farm", "Mary", "Ann", "3", "3.5", "1,000.25:7", "kg", "5kg", "%", "Model3", "x_y", "@", ". ", ", ", " ", "\n", "ÉTÉ", "12345678901234567890123456789012345 km", "-", "m"]
