@@ -3,13 +3,15 @@
 1. Canonical words: numbers, units behind numbers and names (capitalised, not shouted, inside a sentence) become typed
    placeholders, other words are lowered; punctuation goes.
 2. Windows of ``WINDOW`` canonical words are hashed and joined to those of the benchmark. Benchmark windows with fewer
-   than ``MIN_LITERAL`` literal words aren't indexed: lists of names or numbers would all look alike. The index is a
-   stored table: Spark broadcasts it below its size threshold and shuffles beyond.
+   than ``MIN_LITERAL`` literal words aren't indexed: lists of names or numbers would all look alike. The first window is
+   indexed twice, as a capitalised first word becomes a name where a copy stands inside a sentence. The index is a stored
+   table: Spark broadcasts it below its size threshold and shuffles beyond.
 3. A document is a candidate for an item if it has at least half of the item's indexed windows (all of them, where the
    item has up to four). Every offset is checked by itself: the values behind the placeholders inside its matched windows
    must map one to one: an exact copy maps them to themselves, a re-parameterised one consistently. The windows of an
    offset count together with those of the offsets whose values agree with its own (a copy with an inserted word lies at
    two offsets), and the item is reported if they are enough for any offset.
+4. ``RUN_WORDS`` aligned words in a row, with consistent values, are a leak however long the item is.
 
 Defined cases: null or empty texts match nothing; an item with no indexed window (fewer than ``WINDOW`` words, or names
 and numbers only) is never matched; repeated items are reported each, repeated documents with equal text are reported
@@ -27,6 +29,7 @@ WINDOW = 5
 MIN_LITERAL = 3
 MIN_SHARE = 0.5
 MIN_WINDOWS = 4
+RUN_WORDS = 13
 
 #: Units that turn into a placeholder behind a number.
 UNITS = ("%", "€", "£", "mm", "cm", "dm", "km", "m", "mg", "kg", "g", "t", "ml", "cl", "l", "ms", "s", "min", "h", "hours", "hour", "minutes", "minute", "seconds", "days", "day", "weeks", "months", "years", "miles", "mile", "feet", "inches", "yards", "pounds", "ounces", "dollars", "euros", "cents", "percent", "degrees", "litres", "liters", "metres", "meters", "grams", "watts", "volts", "mph", "kmh")
@@ -71,11 +74,13 @@ def benchmark_index(benchmark: DataFrame) -> DataFrame:
     """item (a row number within the benchmark's items), item_id, words, hash and position of each indexed window, stored."""
     spark = benchmark.sparkSession
     path = scratch_path(spark, "benchmark-windows")
-    words = canonical(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    rows = benchmark.select("item_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct().withColumn("words", words)
+    rows = benchmark.select("item_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct().withColumn("words", canonical(F.col("text")))
+    inside = F.slice(canonical(F.concat(F.lit("a "), F.ltrim("text"))), 2, WINDOW)  # the first words as they are behind a word
     literal = lambda i: F.aggregate(F.slice("words", (i + 1).cast("int"), F.lit(WINDOW)), F.lit(0), lambda n, w: n + F.when(F.startswith(w, F.lit("@")), 0).otherwise(1))
-    each = rows.withColumn("hashes", windows(F.col("words"))).select("item_id", F.xxhash64("text").alias("item_key"), "words", F.posexplode("hashes").alias("item_pos", "hash"))
-    each.filter(literal(F.col("item_pos")) >= MIN_LITERAL).select("item_id", "item_key", "item_pos", "hash").write.parquet(path)
+    rows = rows.withColumn("inside", inside).withColumn("hashes", windows(F.col("words"))).withColumn("first", F.get(windows(F.col("inside")), F.lit(0)))
+    each = rows.select("item_id", F.xxhash64("text").alias("item_key"), "words", "first", F.posexplode("hashes").alias("item_pos", "hash")).filter(literal(F.col("item_pos")) >= MIN_LITERAL)
+    both = F.when(F.col("item_pos") == 0, F.array_distinct(F.array("hash", "first"))).otherwise(F.array("hash"))
+    each.select("item_id", "item_key", "item_pos", F.explode(both).alias("hash")).write.parquet(path)
     return spark.read.parquet(path)
 
 
@@ -93,7 +98,8 @@ def candidates(docs: DataFrame, index: DataFrame) -> DataFrame:
     least = F.greatest(F.ceil(F.col("indexed") * MIN_SHARE), F.least(F.col("indexed"), F.lit(MIN_WINDOWS)))
     rows = per_item.join(sizes, on=(per_item.item_id.eqNullSafe(sizes.item_id)) & (per_item.item_key == sizes.item_key))
     rows = rows.select(*(per_item[k] for k in keys), "indexed", least.alias("least"), "offsets")
-    return rows.filter(F.size(_together(F.col("offsets"))) >= F.col("least"))
+    run = F.exists(F.transform("offsets", lambda o: _covered(o["found"])), lambda places: F.size(_run_starts(places)) > 0)
+    return rows.filter((F.size(_together(F.col("offsets"))) >= F.col("least")) | run)
 
 
 def _together(offsets: Column) -> Column:
@@ -113,10 +119,15 @@ def _consistent(slots: Column) -> Column:
 
 
 def _covered(found: Column) -> Column:
-    """Places of the words inside the windows ``found``."""
+    """Places of the words inside the windows ``found``, in order."""
     return F.array_distinct(F.flatten(F.transform(found, lambda p: F.sequence(p, p + WINDOW - 1))))
 
 
+def _run_starts(places: Column) -> Column:
+    """Those of the ordered, distinct ``places`` at which ``RUN_WORDS`` places in a row begin."""
+    return F.filter(places, lambda p, i: F.coalesce(F.get(places, i + RUN_WORDS - 1) == p + RUN_WORDS - 1, F.lit(False)))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, text_key, item_id, matched, indexed, slots and re_parameterised of each (document, item) that leaks."""
     spark = docs.sparkSession
@@ -129,15 +140,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     texts = docs.select(F.xxhash64(text).alias("t_key"), text.alias("t")).join(wanted, F.col("t_key") == F.col("wanted"), "left_semi")
     texts = texts.groupBy("t_key").agg(F.min("t").alias("t")).select("t_key", annotated(F.col("t")).alias("doc_words"))
     rows = found.join(items, found.item_id.eqNullSafe(items.b_id) & (found.item_key == items.b_key)).join(texts, F.col("text_key") == F.col("t_key"))
+    placed = F.transform("offsets", lambda o: F.struct(o["found"].alias("found"), o["shift"].alias("shift"), _covered(o["found"]).alias("places")))
+    in_run = lambda o: F.exists(_run_starts(o["places"]), lambda p: _consistent(_slots(o["shift"], F.sequence(p, p + RUN_WORDS - 1))))
+    checked = F.transform(placed, lambda o: F.struct(o["found"].alias("found"), _slots(o["shift"], o["places"]).alias("slots"), in_run(o).alias("run")))
     # Offsets with equal windows and values are one.
-    checked = F.transform("offsets", lambda o: F.struct(o["found"].alias("found"), _slots(o["shift"], _covered(o["found"])).alias("slots")))
-    sound = F.filter(F.array_distinct(checked), lambda o: _consistent(o["slots"]))
+    aligned = F.transform(F.array_distinct(checked), lambda o: F.struct(o["found"].alias("found"), o["slots"].alias("slots"), o["run"].alias("run"), _consistent(o["slots"]).alias("sound")))
     path = scratch_path(spark, "benchmark-aligned")
     # Stored, as Spark would push the last filter below and evaluate all this again for each element.
-    rows.select("doc_id", "text_key", "item_id", "item_key", "indexed", "least", sound.alias("sound")).write.parquet(path)
-    rows = spark.read.parquet(path)
+    rows.select("doc_id", "text_key", "item_id", "item_key", "indexed", "least", aligned.alias("aligned")).write.parquet(path)
     # An offset that is enough by itself needs no others; they are looked at only where none is.
-    alone = F.filter("sound", lambda o: F.size(o["found"]) >= F.col("least"))
+    rows = spark.read.parquet(path).withColumn("sound", F.filter("aligned", lambda o: o["sound"]))
+    alone = F.filter("aligned", lambda o: o["run"] | (o["sound"] & (F.size(o["found"]) >= F.col("least"))))
+    alone = F.transform(alone, lambda o: F.struct(o["found"].alias("found"), o["slots"].alias("slots")))
     agreeing = lambda o: F.filter("sound", lambda x: _consistent(F.array_union(o["slots"], x["slots"])))
     joined = lambda o: F.struct(_together(agreeing(o)).alias("found"), o["slots"].alias("slots"))
     several = F.when(F.size(_together(F.col("sound"))) >= F.col("least"), F.filter(F.transform("sound", joined), lambda o: F.size(o["found"]) >= F.col("least")))

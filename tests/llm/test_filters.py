@@ -168,6 +168,18 @@ def test_every_offset_is_checked(spark):
     assert found_leaks(spark, [QUESTION], texts) == {(1, 0): False, (2, 0): True, (3, 0): False}
 
 
+def test_runs_of_long_items_and_items_inside_a_sentence(spark):
+    long_item = " ".join(f"word{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}" for i in range(100))
+    words = long_item.split()
+    short = "Cats often sleep near rivers"
+    texts = ["so " + " ".join(words[40:53]) + " end", " ".join(words[40:52]), "We know that " + short + " at night.", short, "We know that cats seldom sleep near rivers."]
+    assert found_leaks(spark, [long_item, short], texts) == {(0, 0): False, (2, 1): False, (3, 1): False}
+    # Values inside the run count, others don't.
+    item = "Ann said that the man who came to town from the north is here with Ann and so we told Ann of it"
+    text = "Well Ann said that the man who came to town from the north is here with Bob and so we told Cid of it"
+    assert found_leaks(spark, [item], [text]) == {(0, 0): True}
+
+
 def test_canonical_and_annotated_words_align(spark):
     random.seed(4)
     pieces = ["The", "farm", "Mary", "Ann", "3", "3.5", "1,000.25:7", "kg", "5kg", "%", "Model3", "x_y", "@", ". ", ", ", " ", "\n", "ÉTÉ", "12345678901234567890123456789012345 km", "-", "m"]
