@@ -5,8 +5,10 @@ language. Both are compared with the language's reference, gathered over all tex
 (base 2, 0 to 1). A text is rejected when it fails the base rules or when a distance exceeds its limit; histograms of
 texts below the minimum lengths aren't compared.
 
-References: a language holding at least ``min_share`` of all rows has its own (so at most 1 / ``min_share`` of them
-reach the driver); texts of rarer or null languages are held against the pooled reference.
+References: every language with at least ``min_reference_chars`` characters in all its texts has its own, however small
+its share of the rows; texts without a language count as one. A language with less text isn't compared, and its texts keep
+the base verdict: a reference of other languages would reject every text in another script. A reference is a kilobyte;
+one per language reaches the driver.
 
 Defined cases: null text counts as no words (it fails ``n_words``); empty tables give empty results; repeated rows are
 judged each; other columns are neither read nor touched.
@@ -61,7 +63,7 @@ class Limits:
     min_chars: int = 300
     min_letters_words: int = 60
     common_words: int = 48
-    min_share: float = 0.01
+    min_reference_chars: int = 20_000
     max_class_distance: float = 0.30
     max_word_distance: float = 0.45
 
@@ -172,22 +174,19 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def references(docs: DataFrame, limits: Limits = Limits()) -> References:
-    """Language references over all rows; at most 1 / ``min_share`` languages plus the pooled one are collected."""
+    """Language references over all rows, of the languages with at least ``min_reference_chars`` characters."""
     narrow = docs.select(F.coalesce(F.col("lang"), F.lit("")).alias("ref_lang"), F.col("text").cast("string").alias("text"))
     path = scratch_path(docs.sparkSession, "language-counts")
     map_arrow(narrow, _count, COUNTS).groupBy("ref_lang", "kind", "item").agg(F.sum("n").alias("n")).write.parquet(path)
     counts = docs.sparkSession.read.parquet(path)
-    pooled = F.lit(None).cast("string")
-    per_item = counts.unionByName(counts.groupBy("kind", "item").agg(F.sum("n").alias("n")).withColumn("ref_lang", pooled))
-    rows = counts.filter("kind = 0").select("ref_lang", "n")
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    large = rows.filter(F.col("n") >= total * limits.min_share).select(F.col("ref_lang").alias("large_lang"))
-    wanted = per_item.filter("kind > 0").join(large, F.col("ref_lang") == F.col("large_lang"), "left").filter("large_lang is not null or ref_lang is null")
+    chars = counts.filter("kind = 1").groupBy("ref_lang").agg(F.sum("n").alias("chars"))
+    large = chars.filter(F.col("chars") >= limits.min_reference_chars).select("ref_lang")
+    wanted = counts.filter("kind > 0").join(large, "ref_lang", "left_semi")
     rank = F.row_number().over(Window.partitionBy("ref_lang", "kind").orderBy((F.col("item") < 0).desc(), F.desc("n"), "item"))
     top = wanted.withColumn("place", rank).filter(F.col("place") <= limits.common_words + 1)
     all_words = wanted.filter("kind = 2").groupBy("ref_lang").agg(F.sum("n").alias("n"))
     found = References()
-    words_of: dict[str | None, list[tuple[int, int]]] = {}
+    words_of: dict[str, list[tuple[int, int]]] = {}
     for r in top.select("ref_lang", "kind", "item", "n").collect():
         if r.kind == 1:
             found.classes.setdefault(r.ref_lang, np.zeros(CLASSES))[r.item] = r.n
