@@ -10,8 +10,8 @@ one per identifier and joined to responses and revisits; one nested row comes ou
 to the response they refer to.
 
 Defined cases: null payload counts as empty; a null url leaves out the header and reads back as null; line ends inside a
-url are percent-encoded; rows that repeat key, url and payload have equal record identifiers and are one capture; a null
-key is always a response. Payloads may hold record ends or headers of their own.
+url are percent-encoded; rows that repeat key, url and payload have equal record identifiers and are one capture, rows
+that differ in any of them are captures of their own; a null key is always a response. Payloads may hold record ends or headers of their own.
 """
 
 from __future__ import annotations
@@ -57,13 +57,13 @@ def _record(kind: str | Column, headers: list[tuple[str, Column]], block: Column
 
 
 def planned(pages: DataFrame, key: str, url: str, payload: str) -> DataFrame:
-    """key, url, payload, size, digest and the key of the response that a row revisits (null: it is a response)."""
+    """key, url, payload, size, digest, and the key and url of the response that a row revisits (null key: it is a response)."""
     spark = pages.sparkSession
     rows = pages.select(F.col(key).alias("key"), F.regexp_replace(F.regexp_replace(F.col(url).cast("string"), "\r", "%0D"), "\n", "%0A").alias("url"), F.coalesce(F.col(payload).cast("string"), F.lit("")).alias("payload"))
     rows = rows.select("*", F.octet_length("payload").cast("long").alias("size"), F.sha1("payload").alias("digest"))
     path = scratch_path(spark, "warc-copies")
-    copies = rows.filter(F.col("size") >= MIN_REVISIT_BYTES).groupBy("digest").agg(F.max("key").alias("original"), F.count("*").alias("n"))
-    copies.filter("n > 1 and original is not null").select("digest", "original").write.parquet(path)
+    copies = rows.filter(F.col("size") >= MIN_REVISIT_BYTES).groupBy("digest").agg(F.max(F.struct("key", "url")).alias("top"), F.count("*").alias("n"))
+    copies.filter("n > 1 and top.key is not null").select("digest", F.col("top.key").alias("original"), F.col("top.url").alias("original_url")).write.parquet(path)
     # A stored table of known size: Spark broadcasts it below its threshold and sorts both sides beyond.
     joined = rows.join(spark.read.parquet(path), "digest", "left")
     return joined.withColumn("original", F.when((F.col("size") >= MIN_REVISIT_BYTES) & (F.col("key") != F.col("original")), F.col("original")))
@@ -71,9 +71,9 @@ def planned(pages: DataFrame, key: str, url: str, payload: str) -> DataFrame:
 
 def write_archives(pages: DataFrame, path: str, key: str, url: str, payload: str, captured_at: str = "2024-01-01T00:00:00Z") -> None:
     rows = planned(pages, key, url, payload)
-    # A response is named by key and payload only, so that its revisits can name it.
-    response_id = _urn(F.lit("response"), F.col("key"), F.col("digest"))
-    original_id = _urn(F.lit("response"), F.col("original"), F.col("digest"))
+    # A response is named by key, url and payload; revisits know those of the response they refer to.
+    response_id = _urn(F.lit("response"), F.col("key"), F.col("url"), F.col("digest"))
+    original_id = _urn(F.lit("response"), F.col("original"), F.col("original_url"), F.col("digest"))
     own_id = F.when(F.col("original").isNull(), response_id).otherwise(_urn(F.lit("revisit"), F.col("key"), F.col("url"), F.col("digest")))
     date = F.lit(captured_at)
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit(RECORD_END))
