@@ -8,7 +8,8 @@
    table: Spark broadcasts it below its size threshold and shuffles beyond.
 3. A document is a candidate for an item if it has at least half of the item's indexed windows (all of them, where the
    item has up to four). Every offset is checked by itself: the values behind the placeholders inside its matched windows
-   must map one to one: an exact copy maps them to themselves, a re-parameterised one consistently. The windows of an
+   must be consistent: each value of the item has one value in the document. Two values of the item may share one, as
+   small numbers often do in a re-parameterised copy. The windows of an
    offset count together with those of the offsets whose values agree with its own (a copy with an inserted word lies at
    two offsets), and the item is reported if they are enough for any offset.
 4. ``RUN_WORDS`` aligned words in a row, with consistent values, are a leak however long the item is.
@@ -114,8 +115,8 @@ def _slots(shift: Column, places: Column) -> Column:
 
 
 def _consistent(slots: Column) -> Column:
-    one_to_one = lambda side: F.size(F.array_distinct(F.transform(slots, lambda p: p[side]))) == F.size(slots)
-    return one_to_one("item") & one_to_one("doc")
+    """Whether each value of the item has one value in the document."""
+    return F.size(F.array_distinct(F.transform(slots, lambda p: p["item"]))) == F.size(slots)
 
 
 def _covered(found: Column) -> Column:
