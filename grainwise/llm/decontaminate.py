@@ -3,7 +3,8 @@
 1. Canonical words: numbers, units behind numbers and names (capitalised, not shouted, inside a sentence) become typed
    placeholders, other words are lowered; punctuation goes.
 2. Windows of ``WINDOW`` canonical words are hashed and joined to those of the benchmark. Benchmark windows with fewer
-   than ``MIN_LITERAL`` literal words aren't indexed: lists of names or numbers would all look alike. The first window is
+   than ``MIN_LITERAL`` literal words aren't indexed: lists of names or numbers would all look alike. Items with such
+   windows, or shorter than one, are also looked up verbatim, see ``verbatim``. The first window is
    indexed twice, as a capitalised first word becomes a name where a copy stands inside a sentence. The index is a stored
    table: Spark broadcasts it below its size threshold and shuffles beyond.
 3. A document is a candidate for an item if it has at least half of the item's indexed windows (all of them, where the
@@ -15,7 +16,7 @@
 4. ``RUN_WORDS`` aligned words in a row, with consistent values, are a leak however long the item is.
 
 Defined cases: null or empty texts match nothing; an item with no indexed window (fewer than ``WINDOW`` words, or names
-and numbers only) is never matched; repeated items are reported each, repeated documents with equal text are reported
+and numbers only) is matched verbatim only; an item of a single word needs a line of its own; repeated items are reported each, repeated documents with equal text are reported
 once; a null doc_id is reported as null; of several offsets that pass, the figures are those of the one with most windows.
 """
 
@@ -66,6 +67,22 @@ def windows(words: Column) -> Column:
     return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*(at(i, k) for k in range(WINDOW))))).otherwise(F.array().cast("array<bigint>"))
 
 
+_EDGE = r"[\p{P}&&[^-%/*#&@]]*"
+_LINE = r"\r\n|\r|\n"
+
+
+def plain_words(text: Column) -> Column:
+    """Array of lowered words between blanks, without the punctuation around them; signs like + or = are words."""
+    return F.array_remove(F.split(F.concat(F.lit(" "), F.lower(text), F.lit(" ")), rf"{_EDGE}[\s\p{{Z}}]+{_EDGE}"), "")
+
+
+def _plain_windows(words: Column, size: int) -> Column:
+    """As ``windows``, over ``size`` plain words; the size is part of the hash."""
+    at = lambda i, k: F.get(words, (i + k).cast("int"))
+    last = F.size(words) - size
+    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.lit(size), *(at(i, k) for k in range(size))))).otherwise(F.array().cast("array<bigint>"))
+
+
 def _row_key(doc_id: str = "doc_id") -> list[Column]:
     """Rows with equal id and text have equal verdicts; this names them."""
     return [F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_key")]
@@ -85,6 +102,48 @@ def benchmark_index(benchmark: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def verbatim_index(benchmark: DataFrame) -> DataFrame:
+    """item_id, item_key, number of windows, size, position and hash of the plain windows of each item that has a window of
+    too few literal words or none at all, stored. An item below ``WINDOW`` plain words is one window."""
+    spark = benchmark.sparkSession
+    path = scratch_path(spark, "benchmark-verbatim")
+    rows = benchmark.select("item_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
+    rows = rows.select("item_id", F.xxhash64("text").alias("item_key"), canonical(F.col("text")).alias("words"), plain_words(F.col("text")).alias("plain"))
+    few = lambda i: F.size(F.filter(F.slice("words", i + 1, WINDOW), lambda w: ~F.startswith(w, F.lit("@")))) < MIN_LITERAL
+    poor = (F.size("words") < WINDOW) | F.exists(F.sequence(F.lit(0), F.greatest(F.size("words") - WINDOW, F.lit(0))), few)
+    rows = rows.filter(poor & (F.size("plain") > 0)).withColumn("size", F.least(F.size("plain"), F.lit(WINDOW)))
+    hashes = _plain_windows(F.col("plain"), WINDOW)
+    for k in range(1, WINDOW):
+        hashes = F.when(F.col("size") == k, _plain_windows(F.col("plain"), k)).otherwise(hashes)
+    rows = rows.withColumn("hashes", hashes).select("item_id", "item_key", "size", F.size("hashes").alias("indexed"), F.posexplode("hashes").alias("item_pos", "hash"))
+    rows.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def verbatim(docs: DataFrame, index: DataFrame) -> DataFrame | None:
+    """doc_id, text_key, item_id, item_key, matched and indexed of each pair whose plain words are equal in enough windows or
+    in ``RUN_WORDS`` words in a row; None where the index is empty."""
+    sizes = sorted(r["size"] for r in index.select("size").distinct().collect())
+    if not sizes:
+        return None
+    text = F.col("text").cast("string")
+    words = docs.filter(text.isNotNull()).select(*_row_key(), plain_words(text).alias("plain"), (F.split(text, _LINE) if 1 in sizes else F.array().cast("array<string>")).alias("lines"))
+    single = F.transform(F.filter(F.transform("lines", plain_words), lambda w: F.size(w) == 1), lambda w: F.xxhash64(F.lit(1), F.get(w, F.lit(0))))
+    placed = lambda hashes: F.transform(hashes, lambda h, i: F.struct(i.alias("pos"), h.alias("hash")))
+    each = words.select("doc_id", "text_key", F.inline(F.concat(*(placed(single if k == 1 else _plain_windows(F.col("plain"), k)) for k in sizes))))
+    keys = ["doc_id", "text_key", "item_id", "item_key", "indexed"]
+    hits = each.join(index, "hash").select(*keys, "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"))
+    per_shift = hits.groupBy(*keys, "shift").agg(F.sort_array(F.collect_set("item_pos")).alias("found"))
+    run = F.exists(F.transform(F.array("found"), _covered), lambda places: F.size(_run_starts(places)) > 0)
+    per_item = per_shift.groupBy(*keys).agg(F.size(F.array_distinct(F.flatten(F.collect_list("found")))).alias("matched"), F.max(run).alias("run"))
+    return per_item.filter((F.col("matched") >= _least()) | F.col("run")).drop("run")
+
+
+def _least() -> Column:
+    """How many of an item's ``indexed`` windows are enough."""
+    return F.greatest(F.ceil(F.col("indexed") * MIN_SHARE), F.least(F.col("indexed"), F.lit(MIN_WINDOWS)))
+
+
 def candidates(docs: DataFrame, index: DataFrame) -> DataFrame:
     """doc_id, text_key, item_id, item_key, indexed and least windows, and the windows found at each offset."""
     text = F.col("text").cast("string")
@@ -96,9 +155,8 @@ def candidates(docs: DataFrame, index: DataFrame) -> DataFrame:
     per_shift = hits.groupBy(*keys, "shift").agg(F.sort_array(F.collect_set("item_pos")).alias("found"))
     per_item = per_shift.groupBy(*keys).agg(F.collect_list(F.struct("shift", "found")).alias("offsets"))
     sizes = index.groupBy("item_id", "item_key").agg(F.count_distinct("item_pos").alias("indexed"))
-    least = F.greatest(F.ceil(F.col("indexed") * MIN_SHARE), F.least(F.col("indexed"), F.lit(MIN_WINDOWS)))
     rows = per_item.join(sizes, on=(per_item.item_id.eqNullSafe(sizes.item_id)) & (per_item.item_key == sizes.item_key))
-    rows = rows.select(*(per_item[k] for k in keys), "indexed", least.alias("least"), "offsets")
+    rows = rows.select(*(per_item[k] for k in keys), "indexed", _least().alias("least"), "offsets")
     run = F.exists(F.transform("offsets", lambda o: _covered(o["found"])), lambda places: F.size(_run_starts(places)) > 0)
     return rows.filter((F.size(_together(F.col("offsets"))) >= F.col("least")) | run)
 
@@ -160,7 +218,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ranked = F.transform("passed", lambda o: F.struct(F.size(o["found"]).alias("matched"), o["slots"].alias("slots")))
     rows = rows.withColumn("best", F.array_max(ranked))
     changed = F.exists("best.slots", lambda p: p["item"] != p["doc"])
-    return rows.select("doc_id", "text_key", "item_id", F.col("best.matched").alias("matched"), "indexed", F.size("best.slots").alias("slots"), changed.alias("re_parameterised"))
+    figures = [F.col("best.matched").alias("matched"), F.col("indexed").cast("long").alias("indexed"), F.size("best.slots").alias("slots"), changed.alias("re_parameterised")]
+    keys = ["doc_id", "text_key", "item_id", "item_key"]
+    rows = rows.select(*keys, *figures)
+    exact = verbatim(docs, verbatim_index(benchmark))
+    if exact is not None:
+        exact = exact.select(*keys, "matched", F.col("indexed").cast("long").alias("indexed"), F.lit(0).alias("slots"), F.lit(False).alias("re_parameterised"))
+        both = rows.withColumn("way", F.lit(0)).unionByName(exact.withColumn("way", F.lit(1)))
+        columns = ["matched", "indexed", "slots", "re_parameterised"]
+        rows = both.groupBy(*keys).agg(F.min(F.struct("way", *columns)).alias("one")).select(*keys, *(F.col(f"one.{c}").alias(c) for c in columns))
+    return rows.drop("item_key")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
