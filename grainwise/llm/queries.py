@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from grainwise.llm import byte_bpe, chat, credentials, decontaminate, quality_machine, quality_rules, simhash, token_counts, toxic_spans, warc
+from grainwise.llm import byte_bpe, chat, credentials, decontaminate, merkle, quality_machine, quality_rules, simhash, token_counts, toxic_spans, warc
 from grainwise.llm.labelled import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,49 @@ FROM e GROUP BY conv_id
 @query
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
+
+
+@query
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(table(spark, sf_dir, "documents"))
+
+
+def _encoded_sql(*columns: str) -> str:
+    return " || ".join(f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR), '-')" for c in columns)
+
+
+# CRC-32 of the decimal id: each byte is mixed in once, then eight shifts follow.
+ORACLES["op13_merkle"] = f"""
+WITH RECURSIVE
+rows_in AS (SELECT row_number() OVER () AS r, doc_id, {_encoded_sql("lang")} AS g, lang,
+                   sha256({_encoded_sql("doc_id", "source", "lang", "n_chars", "text")}) AS leaf,
+                   sha256({_encoded_sql("doc_id", "source", "lang", "n_chars + 1", "text")}) AS altered,
+                   xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(
+                       string_split(coalesce(CAST(doc_id AS VARCHAR), ''), ''), lambda c: CASE WHEN c = '' THEN CAST([] AS BIGINT[]) ELSE [CAST(ord(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0] END))),
+                       lambda c, b: CASE WHEN xor(c, b) & 1 = 1 THEN xor(xor(c, b) >> 1, 3988292384) ELSE xor(c, b) >> 1 END)) AS crc
+            FROM documents),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM rows_in),
+nodes(g, h, i, n, d) AS (
+  SELECT g, 0, i, n, leaf FROM leaves
+  UNION ALL SELECT g, h + 1, i // 2, (n + 1) // 2, sha256(string_agg(d, '' ORDER BY i)) FROM nodes WHERE n > 1 GROUP BY g, h, i // 2, n),
+subroots AS (SELECT s.g, s.d, row_number() OVER (ORDER BY l.lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n
+             FROM nodes s JOIN (SELECT g, any_value(lang) AS lang FROM leaves GROUP BY g) l ON l.g = s.g WHERE s.n = 1),
+tops(h, i, n, d) AS (
+  SELECT 0, i, n, d FROM subroots
+  UNION ALL SELECT h + 1, i // 2, (n + 1) // 2, sha256(string_agg(d, '' ORDER BY i)) FROM tops WHERE n > 1 GROUP BY h, i // 2, n),
+steps AS (
+  SELECT l.r, v.h AS step, (l.i >> v.h) & 1 AS side, s.d
+  FROM leaves l JOIN (SELECT DISTINCT g, h FROM nodes WHERE n > 1) v ON v.g = l.g
+  LEFT JOIN nodes s ON s.g = l.g AND s.h = v.h AND s.i = xor(l.i >> v.h, 1)
+  UNION ALL
+  SELECT l.r, 1000 + v.h, (q.i >> v.h) & 1, s.d
+  FROM leaves l JOIN subroots q ON q.g = l.g JOIN (SELECT DISTINCT h FROM tops WHERE n > 1) v ON true
+  LEFT JOIN tops s ON s.h = v.h AND s.i = xor(q.i >> v.h, 1)),
+proofs AS (SELECT r, coalesce(string_agg(d, '' ORDER BY step), '') AS siblings,
+                  list(CASE WHEN d IS NULL THEN '-' WHEN side = 0 THEN '0' || d ELSE '1' || d END ORDER BY step) AS path FROM steps GROUP BY r),
+folds AS (SELECT l.doc_id, l.leaf, q.d AS subroot, t.d AS root, sha256(coalesce(p.siblings, '')) AS proof_sha256,
+                 list_reduce(list_prepend(CASE WHEN l.crc % 7 = 0 THEN l.altered ELSE l.leaf END, coalesce(p.path, CAST([] AS VARCHAR[]))),
+                             lambda a, c: sha256(CASE WHEN c[1] = '0' THEN a || c[2:] WHEN c[1] = '1' THEN c[2:] || a ELSE a END)) AS folded_root
+          FROM leaves l JOIN subroots q ON q.g = l.g JOIN tops t ON t.n = 1 LEFT JOIN proofs p ON p.r = l.r)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM folds
+"""
