@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from grainwise.llm import byte_bpe, chat, credentials, decontaminate, merkle, quality_machine, quality_rules, simhash, token_counts, toxic_spans, warc
+from grainwise.llm import byte_bpe, chat, credentials, decontaminate, merkle, quality_machine, quality_rules, runs, simhash, token_counts, toxic_spans, warc
 from grainwise.llm.labelled import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,3 +156,24 @@ folds AS (SELECT l.doc_id, l.leaf, q.d AS subroot, t.d AS root, sha256(coalesce(
           FROM leaves l JOIN subroots q ON q.g = l.g JOIN tops t ON t.n = 1 LEFT JOIN proofs p ON p.r = l.r)
 SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM folds
 """
+
+
+@query
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", runs.planted(F.col("text"), F.col("doc_id")).alias("text"))
+    rows = runs.detected(docs, ["doc_id"])
+    # Greatest length first; ties by smallest start, then period.
+    top = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    line = lambda r: F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period")))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    rows = rows.withColumn("top", top)
+    return rows.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("top.start")).alias("start"),
+        F.col("top.length").alias("length"),
+        (-F.col("top.period")).alias("period"),
+        F.call_function("div", F.col("top.length") * 1000, -F.col("top.period")).alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )

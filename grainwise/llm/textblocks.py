@@ -102,5 +102,20 @@ def hash_segments(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def solid_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Byte segments (in order, not overlapping) as a binary array."""
+    size = ends - starts
+    at = np.zeros(len(size) + 1, np.int64)
+    np.cumsum(size, out=at[1:])
+    where = np.repeat(starts - at[:-1], size) + np.arange(at[-1])
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data[where]))])
+
+
+def numbered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """(number of each segment's bytes, the distinct byte strings); equal numbers mean equal bytes."""
+    coded = solid_words(data, starts, ends).dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+
+
 def per_text(index: np.ndarray, n: int, weights: np.ndarray | None = None) -> np.ndarray:
     return np.bincount(index, weights=weights, minlength=n).astype(np.int64) if len(index) else np.zeros(n, np.int64)

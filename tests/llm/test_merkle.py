@@ -33,6 +33,8 @@ def tree(digests, arity):
 
 
 def brute(rows, arity=2):
+    if not rows:
+        return []
     langs = sorted({r[2] for r in rows}, key=lambda x: (x is not None, (x or "").encode()))
     members = {x: sorted((r for r in rows if r[2] == x), key=lambda r: (r[0] is not None, r[0] or 0, leaf_of(r))) for x in langs}
     trees = {x: tree([leaf_of(r) for r in members[x]], arity) for x in langs}
