@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from grainwise.llm import byte_bpe, chat, credentials, decontaminate, merkle, quality_machine, quality_rules, runs, simhash, token_counts, toxic_spans, warc
+from grainwise.llm import byte_bpe, chat, credentials, decontaminate, merkle, quality_machine, quality_rules, runs, simhash, suffix_dedup, token_counts, toxic_spans, warc
 from grainwise.llm.labelled import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -177,3 +177,8 @@ def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(listed, 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@query
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
