@@ -12,7 +12,7 @@ the same row. Strings lie inside one text; what is a repeat is judged on the inp
    difference cover: sampled triples sorted and named, names ordered by recursion, the other suffixes merged
    (:mod:`suffix_order`). Neighbours that agree in ``length`` bytes are repeats of the one that starts first.
 4. Anchors with more than ``hot_contexts`` open contexts don't go to one task: their strings are grouped by digest with
-   partial aggregation, and all but the least of a group are repeats.
+   partial aggregation, and all but the least of a group are repeats: a context is split at those.
 
 Anchors that many rows share are dealt with a salt. Where an equal context may lie in another task or batch, the context
 stays open, so that dealing changes no result. Digests of contexts are keyed BLAKE2b values of 64 bits beside the
@@ -213,7 +213,7 @@ def _settled(found: DataFrame) -> DataFrame:
 
 def _cut(rows: DataFrame, places: DataFrame, length: int) -> DataFrame:
     """The open contexts with their bytes; those of hot anchors string by string, with a digest instead of an anchor."""
-    schema = T.StructType([T.StructField("anchor", LONG), T.StructField("name", T.BinaryType()), T.StructField("key", rows.schema["key"].dataType), T.StructField("row", LONG), T.StructField("start", LONG), T.StructField("bytes", T.BinaryType())])
+    schema = T.StructType([T.StructField("anchor", LONG), T.StructField("name", T.BinaryType()), T.StructField("key", rows.schema["key"].dataType), T.StructField("row", LONG), T.StructField("start", LONG), T.StructField("context", LONG), T.StructField("bytes", T.BinaryType())])
     arrow = _arrow(schema)
     per_row = places.groupBy("row").agg(F.collect_list(F.struct("anchor", "start", "end", "hot")).alias("places"))
 
@@ -229,7 +229,7 @@ def _cut(rows: DataFrame, places: DataFrame, length: int) -> DataFrame:
             pieces = [bytes(raw[s:e]) for s, e in zip((base + start)[cold].tolist(), (base + end)[cold].tolist(), strict=True)]
             key = part.column("key")
             yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor[cold]), pa.nulls(len(cold), pa.binary()), key.take(pa.array(which[cold])), pa.array(ids[which[cold]]), pa.array(start[cold]), pa.array(pieces, pa.binary())], names=arrow.names
+                [pa.array(anchor[cold]), pa.nulls(len(cold), pa.binary()), key.take(pa.array(which[cold])), pa.array(ids[which[cold]]), pa.array(start[cold]), pa.array(start[cold]), pa.array(pieces, pa.binary())], names=arrow.names
             ).cast(arrow)
             warm = np.flatnonzero(hot)
             for some in np.array_split(warm, len(warm) // 4096 + 1):
@@ -239,7 +239,7 @@ def _cut(rows: DataFrame, places: DataFrame, length: int) -> DataFrame:
                 names = np.frombuffer(_digests(raw, base[of] + at, base[of] + at + length, 16), "S16") if len(of) else []
                 digests = pa.array([bytes(x).ljust(16, b"\0") for x in names], pa.binary())
                 none = pa.nulls(len(of))
-                yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), digests, key.take(pa.array(which[of])), pa.array(ids[which[of]]), pa.array(at), none.cast(pa.binary())], names=arrow.names).cast(arrow)
+                yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), digests, key.take(pa.array(which[of])), pa.array(ids[which[of]]), pa.array(at), pa.array(start[of]), none.cast(pa.binary())], names=arrow.names).cast(arrow)
 
     return map_arrow(rows.join(per_row, "row"), run, schema)
 
@@ -315,9 +315,14 @@ def repeated_spans(rows: DataFrame, length: int = 100, hot_contexts: int = 2000)
     places = open_.join(hot, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     cut = stored(_cut(rows, places, length), "open")
     ordered = _ordered(cut.filter("anchor is not null"), length)
-    strings = cut.filter("anchor is null").select("name", "key", "row", "start")
-    least = strings.groupBy("name").agg(F.min(F.struct("key", "row", "start")).alias("least")).select("least.row", "least.start")
-    later = strings.join(least, ["row", "start"], "left_anti").select("row", "start", (F.col("start") + length).alias("end"))
+    # Of the strings of hot anchors only the first of each digest starts no repeat; a context is split at these.
+    strings = cut.filter("anchor is null")
+    least = strings.groupBy("name").agg(F.min(F.struct("key", "row", "start", "context")).alias("least"))
+    firsts = least.groupBy(F.col("least.row").alias("row"), F.col("least.context").alias("start")).agg(F.collect_list("least.start").alias("firsts"))
+    split = places.filter("hot").join(firsts, ["row", "start"], "left")
+    bounds = F.concat(F.array(F.col("start") - 1), F.sort_array(F.coalesce("firsts", F.array().cast("array<long>"))), F.array(F.col("end") - length + 1))
+    gaps = F.transform(F.sequence(F.lit(1), F.size("bounds") - 1), lambda k: F.struct((F.element_at("bounds", k) + 1).alias("start"), (F.element_at("bounds", k + 1) + (length - 1)).alias("end")))
+    later = split.select("row", bounds.alias("bounds")).select("row", F.inline(F.filter(gaps, lambda g: g["end"] - g["start"] >= length)))
     return found.filter("anchor is null").select("row", "start", "end").unionByName(ordered).unionByName(later)
 
 

@@ -4,10 +4,11 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from grainwise.llm import queries, suffix_dedup
+from grainwise.llm import queries, suffix_dedup, textblocks
 from grainwise.llm.suffix_order import repeats, suffix_ranks
 
 SCHEMA = "doc_id long, text string"
@@ -72,14 +73,31 @@ def test_bounded_suffix_ranks():
         assert len(set(names)) == len({(n, data[p : p + 10].tobytes()) for n, p in zip(names, at, strict=True)}) == len({data[p : p + 10].tobytes() for p in at})
 
 
-@pytest.mark.parametrize(("seed", "hot", "block", "order"), [(1, 2000, 1 << 18, 1 << 19), (2, 3, 1 << 18, 1 << 19), (3, 2000, 150, 1 << 19), (4, 5, 333, 2000), (5, 0, 1 << 18, 1)])
-def test_rows_against_brute_force(spark, monkeypatch, seed, hot, block, order):
-    # Small blocks, slices and limits, in the workers too: the settings travel with the functions.
-    for name, value in (("BLOCK", block), ("ORDER_BYTES", order), ("SAMPLE", 2)):
+def test_anchors_depend_on_the_string_alone(monkeypatch):
+    texts = [t for _, t in corpus(6)]
+    data, offsets = textblocks.flat(pa.array(texts, pa.string()))
+
+    def anchors():
+        text, start, end, anchor = suffix_dedup.contexts(data, offsets, 100)
+        return {int(p): (int(t), int(a)) for t, s, e, a in zip(text, start, end, anchor, strict=True) for p in range(s, e - 99)}
+
+    whole = anchors()
+    assert sorted(whole) == [p for lo, hi in zip(offsets, offsets[1:], strict=False) for p in range(lo, hi - 99)]
+    by_string = {}
+    for p, (t, a) in whole.items():
+        assert offsets[t] <= p < offsets[t + 1]
+        assert by_string.setdefault(data[p : p + 100].tobytes(), a) == a
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 150)
+    assert anchors() == whole
+
+
+@pytest.mark.parametrize(("seed", "hot", "order"), [(1, 2000, 1 << 19), (2, 3, 1 << 19), (4, 5, 2000), (5, 0, 1)])
+def test_rows_against_brute_force(spark, monkeypatch, seed, hot, order):
+    # Small slices and samples: these settings travel with the functions.
+    for name, value in (("ORDER_BYTES", order), ("SAMPLE", 2)):
         monkeypatch.setattr(suffix_dedup, name, value)
     rows = corpus(seed)
-    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    docs = docs.sparkSession.createDataFrame(docs.collect(), SCHEMA)
+    docs = spark.createDataFrame(rows, SCHEMA)
     assert result(suffix_dedup.removed(docs, hot_contexts=hot)) == brute(rows)
 
 
