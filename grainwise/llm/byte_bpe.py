@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from grainwise.llm import caches, pretokens
 from grainwise.llm import textblocks as tb
 from grainwise.llm.caches import Generations
-from grainwise.llm.shipping import map_arrow
+from grainwise.llm.shipping import free_name, map_arrow
 
 #: Texts worked on at once: larger slices give the recursive query more words a call.
 ENCODE_BYTES = 4 << 20
@@ -224,9 +224,8 @@ def encode_texts(text: pa.Array, path: str) -> Iterator[tuple[bytes, bytes]]:
     data, offsets = tb.flat(text)
     n = len(offsets) - 1
     starts, ends, owner = pretokens.split(data, offsets)
-    _, first, which = np.unique(tb.hash_segments(data, starts, ends), return_index=True, return_inverse=True)
-    raw = data.tobytes()
-    found = bpe.words([raw[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
+    which, distinct = tb.numbered(data, starts, ends)
+    found = bpe.words(distinct.to_pylist())
     ids = [f[0] for f in found]
     decoded = [f[1] for f in found]
     cut = np.searchsorted(owner, np.arange(n + 1)).tolist()
@@ -240,7 +239,8 @@ def encoded(docs: DataFrame, columns: list[str], path: str, with_ids: bool = Fal
     """``columns`` of every row plus n_tokens, ids_sha256, decoded_sha256 and, if asked for, the ids themselves."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    narrow = docs.select(*columns, F.col("text").cast("string").alias("__text"))
+    held = free_name(columns, "text")
+    narrow = docs.select(*columns, F.col("text").cast("string").alias(held))
     extra = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     if with_ids:
         extra.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
@@ -248,9 +248,9 @@ def encoded(docs: DataFrame, columns: list[str], path: str, with_ids: bool = Fal
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in tb.slices(batches, "__text", ENCODE_BYTES):
+        for part in tb.slices(batches, held, ENCODE_BYTES):
             n, a, b, lists = [], [], [], []
-            for ids, text in encode_texts(part.column("__text"), path):
+            for ids, text in encode_texts(part.column(held), path):
                 n.append(ids.count(b",") + 1 if ids else 0)
                 a.append(hashlib.sha256(ids).hexdigest())
                 b.append(hashlib.sha256(text).hexdigest())

@@ -2,13 +2,12 @@
 
 Base spans (assignments, access identifiers, long hex runs) are always reported. Beside them a text may hold weak parts:
 identifiers (user names, client or key ids), secrets (mixed-case random runs, values of password-like names) and
-endpoints (URLs, addresses). A weak part is reported only where a complementary part lies within ``reach`` code points
-of it in the same scope (paragraph): an identifier needs a secret, a secret needs an identifier or an endpoint, an
-endpoint needs a secret. Base spans count as parts (access: identifier, assign and hex: secret).
+endpoints (URLs, addresses). A weak part is reported only where a complementary part lies in the same scope, the interval
+between two blank lines: an identifier needs a secret, a secret needs an identifier or an endpoint, an endpoint needs a
+secret. Base spans count as parts (access: identifier, assign and hex: secret).
 
-The parts of all rows are joined as intervals: rows of a text meet in cells of ``reach`` code points, so that a text with
-very many parts is split over tasks, and a cell holds few parts as parts have a least length. The join is a semi-join
-and emits no pairs.
+Parts and scopes are joined as intervals: a scope is one row with the roles that occur in it, and its weak parts are kept
+by a semi-join with that row. No pairs of parts are formed, however many a scope holds.
 
 Defined cases: null text counts as empty; an empty table gives an empty result; repeated rows are scanned each; offsets
 are code points, the end is exclusive; columns of the input may have any names.
@@ -18,7 +17,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from grainwise.llm import textblocks as tb
-from grainwise.llm.shipping import map_arrow
+from grainwise.llm.shipping import free_name, map_arrow
 from grainwise.session import scratch_path
 
 #: Kinds in the order in which equal starts are listed: the base ones, then those of the method.
@@ -68,6 +69,16 @@ def _named(text: str, low: str, pattern: re.Pattern, group: int, least: int) ->
                 yield m
 
 
+def _apart(parts: list[Span], spans: list[Span]) -> list[Span]:
+    """The ``parts`` that overlap none of ``spans``: by the furthest end of the spans that start before a part ends."""
+    if not spans:
+        return parts
+    spans = sorted(spans, key=lambda p: p[1])
+    starts = [s for _, s, _ in spans]
+    ends = list(accumulate((e for _, _, e in spans), max))
+    return [p for p in parts if not (k := bisect_left(starts, p[2])) or ends[k - 1] <= p[1]]
+
+
 def scan_texts(column: pa.Array) -> tuple[list[list[Span]], list[list[Span]]]:
     """(base spans, weak parts) of each text, each in listed order; weak parts that overlap a base span are left out."""
     data, offsets = tb.flat(column)
@@ -96,7 +107,7 @@ def scan_texts(column: pa.Array) -> tuple[list[list[Span]], list[list[Span]]]:
         if "://" in value or value.count(".") > 2:
             weak[i] += [("endpoint", *m.span()) for m in WEAK_ENDPOINT.finditer(value)]
         if weak[i]:
-            weak[i] = [p for p in dict.fromkeys(weak[i]) if not any(p[1] < e and s < p[2] for _, s, e in base[i])]
+            weak[i] = _apart(list(dict.fromkeys(weak[i])), base[i])
     order = lambda spans: sorted(spans, key=lambda p: (p[1], KINDS.index(p[0]), p[2]))
     return [order(b) for b in base], [order(w) for w in weak]
 
@@ -113,13 +124,14 @@ def scanned(docs: DataFrame, columns: list[str], prefix: str = "") -> DataFrame:
     """``columns`` of every row, the base figures and the parts (weak ones only where a complement could exist)."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    narrow = docs.select(*columns, F.col("text").cast("string").alias("__text"))
+    held = free_name(columns, "text")
+    narrow = docs.select(*columns, F.col("text").cast("string").alias(held))
     schema = T.StructType([*docs.select(*columns).schema.fields, *(T.StructField(prefix + f.name, f.dataType) for f in SCAN)])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in tb.slices(batches, "__text"):
-            texts = part.column("__text")
+        for part in tb.slices(batches, held):
+            texts = part.column(held)
             found = {c: [] for c in ("n_assign", "n_access", "n_hex", "base_sha256", "parts")}
             for text, base, weak in zip(texts.to_pylist(), *scan_texts(texts), strict=True):
                 for kind in KINDS[:3]:
@@ -136,23 +148,12 @@ def _role(kind: Column) -> Column:
     return F.when(kind.isin("access", "identifier"), "identifier").when(kind == "endpoint", "endpoint").otherwise("secret")
 
 
-def linked(parts: DataFrame, reach: int = 160) -> DataFrame:
-    """The weak rows of ``parts`` (row, kind, start, end, scope) that have a complementary part within reach."""
-    parts = parts.withColumn("role", _role(F.col("kind")))
-    weak = parts.filter(F.col("kind").isin(*KINDS[3:])).withColumn("cell", F.explode(F.expr(f"sequence(greatest(start - {reach}, 0) div {reach}, (end + {reach}) div {reach})")))
-    # A long part lies in several cells on both sides, so that every close pair shares one.
-    other = parts.select(
-        F.col("row").alias("o_row"),
-        F.col("scope").alias("o_scope"),
-        F.explode(F.expr(f"sequence(start div {reach}, end div {reach})")).alias("o_cell"),
-        F.col("start").alias("o_start"),
-        F.col("end").alias("o_end"),
-        F.col("role").alias("o_role"),
-    )
-    close = (F.col("o_start") - F.col("end") <= reach) & (F.col("start") - F.col("o_end") <= reach)
-    complementary = ((F.col("role") == "secret") & (F.col("o_role") != "secret")) | ((F.col("role") != "secret") & (F.col("o_role") == "secret"))
-    same = (F.col("row") == F.col("o_row")) & (F.col("scope") == F.col("o_scope")) & (F.col("cell") == F.col("o_cell"))
-    return weak.join(other, same & close & complementary, "left_semi").select("row", "kind", "start", "end").distinct()
+def linked(parts: DataFrame) -> DataFrame:
+    """The weak rows of ``parts`` (row, kind, start, end, scope) whose scope has a complementary part."""
+    secret = _role(F.col("kind")) == "secret"
+    scopes = parts.groupBy("row", "scope").agg(F.bool_or(secret).alias("has_secret"), F.bool_or(~secret).alias("has_other"))
+    both = scopes.filter("has_secret and has_other").select("row", "scope")
+    return parts.filter(F.col("kind").isin(*KINDS[3:])).join(both, ["row", "scope"], "left_semi").select("row", "kind", "start", "end").distinct()
 
 
 def _listed(spans: Column) -> Column:
@@ -162,7 +163,7 @@ def _listed(spans: Column) -> Column:
     return F.array_sort(keyed)
 
 
-def found(docs: DataFrame, columns: list[str], reach: int = 160, mark: str = "__secret_") -> DataFrame:
+def found(docs: DataFrame, columns: list[str], mark: str = "__secret_") -> DataFrame:
     """``columns`` of every row, its base figures, and ``spans``: base and linked weak spans in listed order."""
     spark = docs.sparkSession
     path = scratch_path(spark, "secrets")
@@ -173,7 +174,7 @@ def found(docs: DataFrame, columns: list[str], reach: int = 160, mark: str = "__
     parts = stage.select(F.col(row).alias("row"), F.col(mark + "parts").alias("parts"))
     is_weak = lambda p: p["kind"].isin(*KINDS[3:])
     open_rows = parts.filter(F.exists("parts", is_weak) & (F.size(F.array_distinct(F.transform("parts", lambda p: _role(p["kind"])))) > 1))
-    links = linked(open_rows.select("row", F.inline("parts")), reach)
+    links = linked(open_rows.select("row", F.inline("parts")))
     per_row = links.groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("weak"))
     base = F.transform(F.filter(mark + "parts", lambda p: ~is_weak(p)), lambda p: F.struct(p["kind"].alias("kind"), p["start"].alias("start"), p["end"].alias("end")))
     joined = stage.join(per_row.select(F.col("row").alias(row), F.col("weak").alias(mark + "weak")), row, "left")
@@ -181,25 +182,40 @@ def found(docs: DataFrame, columns: list[str], reach: int = 160, mark: str = "__
     return joined.select(*columns, *(F.col(mark + c).alias(mark + c) for c in ("n_assign", "n_access", "n_hex", "base_sha256")), spans.alias(mark + "spans"))
 
 
-def redact(docs: DataFrame, reach: int = 160, shown: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every span replaced; overlapping spans are replaced once. Columns as in ``docs``; n_chars follows."""
+def redact(docs: DataFrame, shown: str = "[SECRET]") -> DataFrame:
+    """``docs`` with every span replaced; spans that overlap are replaced once. Columns as in ``docs``; n_chars follows."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
     mark = "__secret_"
     while any(c.lower().startswith(mark) for c in docs.columns):
         mark += "_"
-    rows = found(docs, docs.columns, reach, mark)
-    spans, text = F.col(mark + "spans"), F.col("text")
-    state = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-    step = lambda acc, p: F.when(p["end"] <= acc["at"], acc).otherwise(
-        F.struct(
-            F.concat(
-                acc["out"],
-                F.when(p["start"] >= acc["at"], F.concat(F.substring(text, (acc["at"] + 1).cast("int"), (p["start"] - acc["at"]).cast("int")), F.lit(shown))).otherwise(F.lit("")),
-            ).alias("out"),
-            p["end"].alias("at"),
-        )
-    )
-    last = lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.lit(2**31 - 1)))
-    clean = F.when((F.size(spans) > 0) & text.isNotNull(), F.aggregate(spans, state, step, last)).otherwise(text)
-    rows = rows.withColumn(mark + "clean", clean)
-    fresh = {"text": F.col(mark + "clean"), "n_chars": F.when(F.size(spans) > 0, F.char_length(mark + "clean").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
-    return rows.select(*(fresh[c].cast(docs.schema[c].dataType).alias(c) if fresh.get(c) is not None else F.col(c) for c in docs.columns))
+    rows = found(docs, docs.columns, mark)
+    spans = F.when(F.size(mark + "spans") > 0, F.transform(mark + "spans", lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"))))
+    arrow = to_arrow_schema(docs.schema)
+
+    def clean(text: str, spans: list[dict]) -> str:
+        pieces, at = [], 0
+        for p in spans:
+            if p["start"] >= at:
+                pieces += [text[at : p["start"]], shown]
+            at = max(at, p["end"])
+        return "".join([*pieces, text[at:]])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in tb.slices(batches):
+            columns = dict(zip(arrow.names, part.columns[:-1], strict=True))
+            hit = [k for k, p in enumerate(part.column(len(arrow.names)).to_pylist()) if p]
+            if hit:
+                listed = part.column(len(arrow.names))
+                texts = columns["text"].cast(pa.string()).to_pylist()
+                sizes = columns["n_chars"].to_pylist() if "n_chars" in columns else None
+                for k in hit:
+                    texts[k] = clean(texts[k], listed[k].as_py())
+                    if sizes:
+                        sizes[k] = len(texts[k])
+                columns["text"] = pa.array(texts, pa.string())
+                if sizes:
+                    columns["n_chars"] = pa.array(sizes).cast(arrow.field("n_chars").type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=arrow.names).cast(arrow)
+
+    return map_arrow(rows.select(*docs.columns, spans.alias(mark + "spans")), run, docs.schema)

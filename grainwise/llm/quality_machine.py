@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from grainwise.llm import quality_rules as qr
 from grainwise.llm import textblocks as tb
 from grainwise.llm.labelled import sample
-from grainwise.llm.shipping import map_arrow
+from grainwise.llm.shipping import free_name, map_arrow
 
 WORD_BITS = 16
 BINS = 8
@@ -171,12 +171,13 @@ def scored(docs: DataFrame, machine: Machine, columns: list[str]) -> DataFrame:
     """``columns`` of every row plus score."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    narrow = docs.select(*columns, F.col("text").cast("string").alias("__text"))
+    held = free_name(columns, "text")
+    narrow = docs.select(*columns, F.col("text").cast("string").alias(held))
     schema = T.StructType([*docs.select(*columns).schema.fields, T.StructField("score", T.DoubleType())])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in tb.slices(batches, "__text"):
-            yield pa.RecordBatch.from_arrays([*part.columns[: len(columns)], pa.array(score_texts(part.column("__text"), machine))], schema=arrow)
+        for part in tb.slices(batches, held):
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(columns)], pa.array(score_texts(part.column(held), machine))], schema=arrow)
 
     return map_arrow(narrow, run, schema)

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from grainwise.llm import textblocks as tb
-from grainwise.llm.shipping import map_arrow
+from grainwise.llm.shipping import free_name, map_arrow
 from grainwise.session import scratch_path
 
 #: Byte classes: 0 lower, 1 upper, 2 digit, 3 blank, 4 line end, 5 sentence mark, 6 quote or bracket, 7 dash or slash,
@@ -90,14 +90,14 @@ def base_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     solid_before = np.concatenate([[0], np.cumsum(solid)])
     full = solid_before[le] > solid_before[ls]
     ls, le, lt = ls[full], le[full], lt[full]
-    out["n_dup_lines"] = tb.per_text(lt[_repeats(tb.hash_segments(data, ls, le), lt)], n)
-    out["n_repeat_words"] = tb.per_text(text[in_repeated_windows(tb.hash_segments(data, starts, ends), text)], n)
+    out["n_dup_lines"] = tb.per_text(lt[_repeats(tb.numbered(data, ls, le)[0], lt)], n)
+    out["n_repeat_words"] = tb.per_text(text[in_repeated_windows(tb.numbered(data, starts, ends)[0], text)], n)
     return out
 
 
-def _repeats(hashes: np.ndarray, text: np.ndarray, first_too: bool = False) -> np.ndarray:
-    """Which entries equal an earlier one of their text, or with ``first_too`` any other one."""
-    key = tb.mix(hashes ^ (text.astype(np.uint64) * np.uint64(0xA24BAED4963EE407)))
+def _repeats(names: np.ndarray, text: np.ndarray, first_too: bool = False) -> np.ndarray:
+    """Which entries equal an earlier one of their text, or with ``first_too`` any other one; names are small numbers."""
+    key = text * (int(names.max(initial=0)) + 1) + names
     order = np.argsort(key, kind="stable")
     same = key[order][1:] == key[order][:-1]
     flag = np.zeros(len(key), bool)
@@ -107,17 +107,28 @@ def _repeats(hashes: np.ndarray, text: np.ndarray, first_too: bool = False) -> n
     return flag
 
 
-def in_repeated_windows(hashes: np.ndarray, text: np.ndarray, size: int = 5) -> np.ndarray:
-    """Which words lie in a ``size``-word window that its text has twice or more, the first one included."""
-    m = len(hashes) - size + 1
+def _named(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Small numbers for pairs of small numbers; equal numbers mean equal pairs."""
+    return np.unique(a * (int(b.max(initial=0)) + 1) + b, return_inverse=True)[1]
+
+
+def in_repeated_windows(names: np.ndarray, text: np.ndarray, size: int = 5) -> np.ndarray:
+    """Which words lie in a ``size``-word window that its text has twice or more, the first one included.
+
+    ``names`` are small numbers, equal for equal words.
+    """
+    m = len(names) - size + 1
     if m <= 0:
-        return np.zeros(len(hashes), bool)
-    rolled = np.zeros(m, np.uint64)
-    for k in range(size):
-        rolled = tb.mix(rolled * np.uint64(0xFF51AFD7ED558CCD) + hashes[k : k + m])
+        return np.zeros(len(names), bool)
+    # Names of windows of 1, 2, 4, ... words; two that overlap name one of any size between.
+    window, width = names, 1
+    while width < size:
+        more = min(width, size - width)
+        window = _named(window[: len(window) - more], window[more:])
+        width += more
     inside = np.flatnonzero(text[:m] == text[size - 1 :])
-    found = inside[_repeats(rolled[inside], text[inside], first_too=True)]
-    step = np.zeros(len(hashes) + 1, np.int64)
+    found = inside[_repeats(window[inside], text[inside], first_too=True)]
+    step = np.zeros(len(names) + 1, np.int64)
     np.add.at(step, found, 1)
     np.add.at(step, found + size, -1)
     return np.cumsum(step)[:-1] > 0
@@ -259,13 +270,14 @@ def judge(docs: DataFrame, refs: References, columns: list[str], limits: Limits
     from pyspark.sql.pandas.types import to_arrow_schema
 
     names = [f.name for f in VERDICT]
-    narrow = docs.select(*columns, F.col("lang").alias("__lang"), F.col("text").cast("string").alias("__text"))
+    held, spoken = free_name(columns, "text"), free_name(columns, "lang")
+    narrow = docs.select(*columns, F.col("lang").alias(spoken), F.col("text").cast("string").alias(held))
     schema = T.StructType([*docs.select(*columns).schema.fields, *(T.StructField(prefix + f.name, f.dataType) for f in VERDICT)])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in tb.slices(batches, "__text"):
-            got = verdicts(part.column("__text"), part.column("__lang").to_pylist(), refs, limits)
+        for part in tb.slices(batches, held):
+            got = verdicts(part.column(held), part.column(spoken).to_pylist(), refs, limits)
             yield pa.RecordBatch.from_arrays([*part.columns[: len(columns)], *(pa.array(got[c]) for c in names)], schema=arrow)
 
     return map_arrow(narrow, run, schema)

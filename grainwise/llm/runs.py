@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from grainwise.llm import textblocks as tb
-from grainwise.llm.shipping import map_arrow
+from grainwise.llm.shipping import free_name, map_arrow
 from grainwise.llm.suffix_trees import SuffixTree
 
 #: Least length of a run, in words, and least length in periods.
@@ -157,9 +157,7 @@ def detected(docs: DataFrame, columns: list[str], text: str = "text", least: int
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    held = "text"
-    while held in columns:
-        held += "_"
+    held = free_name(columns, "text")
     narrow = docs.select(*columns, F.col(text).cast("string").alias(held))
     schema = T.StructType([*docs.select(*columns).schema.fields, T.StructField("runs", T.ArrayType(RUN, False)), T.StructField("collapsed", T.StringType())])
     arrow = to_arrow_schema(schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -30,6 +30,14 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def free_name(taken: Iterable[str], stem: str) -> str:
+    """``stem``, with underscores added until no name of ``taken`` equals it in any case."""
+    low = {c.lower() for c in taken}
+    while stem.lower() in low:
+        stem += "_"
+    return stem
+
+
 def map_arrow(df: DataFrame, fn: Callable, schema: T.StructType | str, owner: str = "") -> DataFrame:
     """``mapInArrow`` whose function may import this package; ``owner`` names what its worker may keep between tasks."""
     ship(df.sparkSession)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from grainwise.llm import textblocks as tb
-from grainwise.llm.shipping import map_arrow
+from grainwise.llm.shipping import free_name, map_arrow
 from grainwise.session import scratch_path
 
 BITS = 64
@@ -79,13 +79,14 @@ def fingerprints(docs: DataFrame, columns: list[str], name: str = "fp", shingle:
     """``columns`` of every row plus its fingerprint as a signed long."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    narrow = docs.select(*columns, F.col("text").cast("string").alias("__text"))
+    held = free_name(columns, "text")
+    narrow = docs.select(*columns, F.col("text").cast("string").alias(held))
     schema = T.StructType([*docs.select(*columns).schema.fields, T.StructField(name, T.LongType())])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in tb.slices(batches, "__text"):
-            fp = fingerprints_of(part.column("__text"), shingle)
+        for part in tb.slices(batches, held):
+            fp = fingerprints_of(part.column(held), shingle)
             yield pa.RecordBatch.from_arrays([*part.columns[: len(columns)], pa.array(fp.view(np.int64))], schema=arrow)
 
     return map_arrow(narrow, run, schema)

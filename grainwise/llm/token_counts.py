@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from grainwise.llm import caches, pretokens
 from grainwise.llm import textblocks as tb
 from grainwise.llm.caches import Generations
-from grainwise.llm.shipping import map_arrow
+from grainwise.llm.shipping import free_name, map_arrow
 
 #: Word counts of one generation of a worker's memory; results don't depend on it.
 KEPT_WORDS = 200_000
@@ -103,6 +103,17 @@ class MergeTransducer:
         self.valid: dict[tuple[int, int], bool] = {}
         self.counts = Generations(KEPT_WORDS)
 
+    def _restart(self, state: int) -> int:
+        """Forget all compiled transitions; the number of ``state`` afterwards."""
+        key = self.states[state]
+        kept = self.counts
+        self._reset()
+        self.counts = kept
+        if key not in self.number:
+            self.number[key] = len(self.states)
+            self.states.append(key)
+        return self.number[key]
+
     def _follow(self, node: int, byte: int) -> int:
         while True:
             nxt = self.child.get(node << 8 | byte)
@@ -177,18 +188,17 @@ class MergeTransducer:
 
     def count(self, word: bytes) -> int:
         state = total = 0
-        step = self.step
         for c in word:
-            got = step.get(state << 8 | c)
+            got = self.step.get(state << 8 | c)
             if got is None:
+                if len(self.step) >= KEPT_TRANSITIONS:  # compile afresh, from the state that is reached
+                    state = self._restart(state)
                 got = self._compile(state, c)
             state, gain = got
             total += gain
         return total
 
     def counts_of(self, words: list[bytes]) -> list[int]:
-        if len(self.step) > KEPT_TRANSITIONS:
-            self._reset()
         kept, out = self.counts, []
         for w in words:
             n = kept.get(w)
@@ -243,9 +253,8 @@ def count_tokens(text: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
         starts, ends, piece = pretokens.split(data, edges)
         keep = ~special[piece]
         starts, ends, piece = starts[keep], ends[keep], piece[keep]
-        _, first, which = np.unique(tb.hash_segments(data, starts, ends), return_index=True, return_inverse=True)
-        raw = data.tobytes()
-        counts = np.array(tool.counts_of([raw[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]), np.int64)
+        which, distinct = tb.numbered(data, starts, ends)
+        counts = np.array(tool.counts_of(distinct.to_pylist()), np.int64)
         np.add.at(total, owner[special], 1)
         if len(which):
             total += np.bincount(owner[piece], weights=counts[which], minlength=n).astype(np.int64)
@@ -257,13 +266,14 @@ def counted(docs: DataFrame, columns: list[str], path: str, limit: int = 1024) -
     from pyspark.sql import functions as F
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    narrow = docs.select(*columns, F.col("text").cast("string").alias("__text"))
+    held = free_name(columns, "text")
+    narrow = docs.select(*columns, F.col("text").cast("string").alias(held))
     schema = T.StructType([*docs.select(*columns).schema.fields, T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in tb.slices(batches, "__text"):
-            size, tokens = count_tokens(part.column("__text"), path)
+        for part in tb.slices(batches, held):
+            size, tokens = count_tokens(part.column(held), path)
             yield pa.RecordBatch.from_arrays([*part.columns[: len(columns)], pa.array(size), pa.array(tokens), pa.array(tokens > limit)], schema=arrow)
 
     return map_arrow(narrow, run, schema, OWNER)

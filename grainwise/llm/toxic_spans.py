@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from grainwise.llm import textblocks as tb
 from grainwise.llm.labelled import sample
-from grainwise.llm.shipping import map_arrow
+from grainwise.llm.shipping import free_name, map_arrow
 from grainwise.llm.simhash import roots
 
 #: Feature table size (2 ** BITS weights), byte prefixes used besides the whole word.
@@ -288,13 +288,14 @@ def scored(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
     """``columns`` of every row plus score and spans."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    narrow = docs.select(*columns, F.col("text").cast("string").alias("__text"))
+    held = free_name(columns, "text")
+    narrow = docs.select(*columns, F.col("text").cast("string").alias(held))
     schema = T.StructType([*docs.select(*columns).schema.fields, T.StructField("score", T.DoubleType()), T.StructField("spans", SPANS)])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in tb.slices(batches, "__text"):
-            score, spans = score_texts(part.column("__text"), model)
+        for part in tb.slices(batches, held):
+            score, spans = score_texts(part.column(held), model)
             yield pa.RecordBatch.from_arrays([*part.columns[: len(columns)], pa.array(score), pa.array(spans, arrow.field("spans").type)], schema=arrow)
 
     return map_arrow(narrow, run, schema)

@@ -10,8 +10,12 @@ one per identifier and joined to responses and revisits; one nested row comes ou
 to the response they refer to.
 
 Defined cases: null payload counts as empty; a null url leaves out the header and reads back as null; line ends inside a
-url are percent-encoded; rows that repeat key, url and payload have equal record identifiers and are one capture, rows
-that differ in any of them are captures of their own; a null key is always a response. Payloads may hold record ends or headers of their own.
+url are percent-encoded; every row is a capture of its own, also where key, url and payload repeat, as its place in the
+table is part of its identifier; rows with the key of the response are responses too; a null key is always a response.
+Payloads may hold record ends or headers of their own. A row is read several times: ``pages`` should be a stored table.
+
+Files are bounded by bytes: rows are written by size class, larger payloads fewer to a file, the largest alone. A single
+payload takes about four times its size in a task.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,8 +35,10 @@ from grainwise.session import scratch_path
 RECORD_END = "\r\n\r\n"
 #: Payloads below this size aren't worth a revisit record.
 MIN_REVISIT_BYTES = 1000
-#: Bounds the size of a file, which the reader takes as a whole.
-RECORDS_PER_FILE = 3000
+#: Payload bytes of a file, which the reader takes as a whole; a larger payload has a file of its own.
+FILE_BYTES = 64 << 20
+#: Largest payload of the first size class; each further class goes up to eight times as much.
+CLASS_BYTES, CLASS_STEP = 64 << 10, 8
 #: Bytes handed to the parser at once.
 INFLATE_BYTES = 1 << 20
 
@@ -56,25 +62,28 @@ def _record(kind: str | Column, headers: list[tuple[str, Column]], block: Column
     return F.concat(F.concat_ws("\r\n", F.lit("WARC/1.1"), *lines), F.lit(RECORD_END), block)
 
 
-def planned(pages: DataFrame, key: str, url: str, payload: str) -> DataFrame:
-    """key, url, payload, size, digest, and the key and url of the response that a row revisits (null key: it is a response)."""
+def planned(pages: DataFrame, key: str, url: str, payload: str) -> tuple[DataFrame, int]:
+    """key, url, payload, row, size, digest, and key, url and row of the response that a row revisits (null key: it is a response); the largest size."""
     spark = pages.sparkSession
-    rows = pages.select(F.col(key).alias("key"), F.regexp_replace(F.regexp_replace(F.col(url).cast("string"), "\r", "%0D"), "\n", "%0A").alias("url"), F.coalesce(F.col(payload).cast("string"), F.lit("")).alias("payload"))
+    rows = pages.select(F.col(key).alias("key"), F.regexp_replace(F.regexp_replace(F.col(url).cast("string"), "\r", "%0D"), "\n", "%0A").alias("url"), F.coalesce(F.col(payload).cast("string"), F.lit("")).alias("payload"), F.monotonically_increasing_id().alias("row"))
     rows = rows.select("*", F.octet_length("payload").cast("long").alias("size"), F.sha1("payload").alias("digest"))
     path = scratch_path(spark, "warc-copies")
-    copies = rows.filter(F.col("size") >= MIN_REVISIT_BYTES).groupBy("digest").agg(F.max(F.struct("key", "url")).alias("top"), F.count("*").alias("n"))
-    copies.filter("n > 1 and top.key is not null").select("digest", F.col("top.key").alias("original"), F.col("top.url").alias("original_url")).write.parquet(path)
+    sizes = Observation()
+    seen = rows.observe(sizes, F.max("size").alias("largest"))
+    copies = seen.filter(F.col("size") >= MIN_REVISIT_BYTES).groupBy("digest").agg(F.max(F.struct("key", "url", "row")).alias("top"), F.count("*").alias("n"))
+    copies.filter("n > 1 and top.key is not null").select("digest", F.col("top.key").alias("original"), F.col("top.url").alias("original_url"), F.col("top.row").alias("original_row")).write.parquet(path)
     # A stored table of known size: Spark broadcasts it below its threshold and sorts both sides beyond.
     joined = rows.join(spark.read.parquet(path), "digest", "left")
-    return joined.withColumn("original", F.when((F.col("size") >= MIN_REVISIT_BYTES) & (F.col("key") != F.col("original")), F.col("original")))
+    joined = joined.withColumn("original", F.when((F.col("size") >= MIN_REVISIT_BYTES) & (F.col("key") != F.col("original")), F.col("original")))
+    return joined, sizes.get.get("largest") or 0
 
 
 def write_archives(pages: DataFrame, path: str, key: str, url: str, payload: str, captured_at: str = "2024-01-01T00:00:00Z") -> None:
-    rows = planned(pages, key, url, payload)
-    # A response is named by key, url and payload; revisits know those of the response they refer to.
-    response_id = _urn(F.lit("response"), F.col("key"), F.col("url"), F.col("digest"))
-    original_id = _urn(F.lit("response"), F.col("original"), F.col("original_url"), F.col("digest"))
-    own_id = F.when(F.col("original").isNull(), response_id).otherwise(_urn(F.lit("revisit"), F.col("key"), F.col("url"), F.col("digest")))
+    rows, largest = planned(pages, key, url, payload)
+    # A response is named by key, url, payload and row; revisits know those of the response they refer to.
+    response_id = _urn(F.lit("response"), F.col("key"), F.col("url"), F.col("digest"), F.col("row"))
+    original_id = _urn(F.lit("response"), F.col("original"), F.col("original_url"), F.col("digest"), F.col("original_row"))
+    own_id = F.when(F.col("original").isNull(), response_id).otherwise(_urn(F.lit("revisit"), F.col("key"), F.col("url"), F.col("digest"), F.col("row")))
     date = F.lit(captured_at)
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit(RECORD_END))
     capture = _record(
@@ -101,8 +110,13 @@ def write_archives(pages: DataFrame, path: str, key: str, url: str, payload: str
         [("WARC-Record-ID", _urn(F.lit("metadata"), own_id)), *shared, ("Content-Type", F.lit("application/warc-fields"))],
         F.concat_ws("\r\n", F.concat(F.lit("key: "), F.col("key").cast("string")), F.concat(F.lit("original: "), F.col("original").cast("string")), F.lit("")),
     )
-    lines = rows.select(F.explode(F.array(capture, request, metadata)).alias("value"))
-    lines.write.option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    low, high = -1, CLASS_BYTES
+    while low < largest or low < 0:
+        some = rows if largest <= CLASS_BYTES else rows.filter((F.col("size") > low) & (F.col("size") <= high))
+        lines = some.select(F.explode(F.array(capture, request, metadata)).alias("value"))
+        per_file = 3 * max(1, FILE_BYTES // high)
+        lines.write.mode("append").option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+        low, high = high, high * CLASS_STEP
 
 
 def _inflated(content: pa.Scalar) -> Iterator[bytes]:

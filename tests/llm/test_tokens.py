@@ -68,6 +68,23 @@ def test_counts_survive_a_fresh_compilation(library, monkeypatch):
     assert tokens.tolist() == [len(e.ids) for e in library.encode_batch(texts()[10:60], add_special_tokens=False)]
 
 
+def test_words_are_told_apart_by_their_bytes(encoding, library):
+    bits = [bin(k).count("1") % 2 for k in range(2048)]  # polynomial hashes modulo powers of two collide on these
+    both = ["".join("eq"[b] for b in bits), "".join("qe"[b] for b in bits)]
+    for text, (ids, _) in zip(both, byte_bpe.encode_texts(pa.array(both), RANKS), strict=True):
+        assert ids.decode() == ",".join(map(str, encoding.encode_ordinary(text)))
+    assert token_counts.count_tokens(pa.array(both), JSON)[1].tolist() == [len(e.ids) for e in library.encode_batch(both, add_special_tokens=False)]
+
+
+def test_transitions_stay_bounded_inside_a_word(library, monkeypatch):
+    monkeypatch.setattr(token_counts, "KEPT_TRANSITIONS", 500)
+    random.seed(6)
+    word = "".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=20_000))
+    tool = token_counts.MergeTransducer(JSON)
+    assert tool.count(word.encode()) == len(library.encode(word, add_special_tokens=False).ids)
+    assert len(tool.step) <= 500
+
+
 def test_token_queries_on_odd_rows(spark, encoding):
     rows = [(1, None, "n"), (None, "", "n"), (2, "same text", "n"), (2, "same text", "n")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
