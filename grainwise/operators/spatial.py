@@ -1,4 +1,4 @@
-"""Spatial operators as equi-joins on grid cells: nearest site, point in polygon, zonal shares,
+"""Spatial operators as equi-joins on grid cells: nearest site, zonal shares,
 grid sampling and distance-weighted surfaces. No cross join, and no index is built by hand."""
 
 from __future__ import annotations
@@ -79,33 +79,6 @@ def nearest_neighbor(
     return out.select(F.col("_s").alias(src_id), F.col("_b.t").alias(tgt_id), F.col("_b.d").alias("distance"))
 
 
-def inside_ring(lon: Column, lat: Column, ring: Column) -> Column:
-    """Ray casting over the ring's edges as one array expression."""
-    n = F.size(ring)
-
-    def crossing(acc: Column, i: Column) -> Column:
-        a, b = F.get(ring, i), F.get(ring, F.pmod(i + 1, n))
-        spans = (a["lat"] > lat) != (b["lat"] > lat)
-        x = (b["lon"] - a["lon"]) * (lat - a["lat"]) / F.nullif(b["lat"] - a["lat"], F.lit(0.0)) + a["lon"]
-        return F.when(spans & (lon < x), acc + 1).otherwise(acc)
-
-    return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), crossing) % 2 == 1
-
-
-def point_in_polygon(points: DataFrame, polygons: DataFrame, point_id: str, zone: str, cell: float = 0.25) -> DataFrame:
-    """Left join of points to the polygon around them; the smallest zone id wins an overlap.
-
-    Polygons are listed once per cell of their bounding box, so the join is an equality on cells.
-    """
-    lats, lons = F.transform("ring", lambda p: p["lat"]), F.transform("ring", lambda p: p["lon"])
-    span = lambda v: F.sequence(_cell(F.array_min(v), cell), _cell(F.array_max(v), cell))
-    listed = polygons.select(F.col(zone).alias("_z"), "ring", F.explode(span(lats)).alias("_cy"), lons.alias("_lons"))
-    listed = listed.select("_z", "ring", "_cy", F.explode(span(F.col("_lons"))).alias("_cx"))
-    keyed = points.select(point_id, "lat", "lon").withColumns({"_cy": _cell(F.col("lat"), cell), "_cx": _cell(F.col("lon"), cell)})
-    hits = keyed.join(listed, ["_cy", "_cx"]).where(inside_ring(F.col("lon"), F.col("lat"), F.col("ring")))
-    return points.join(hits.groupBy(point_id).agg(F.min("_z").alias(zone)), point_id, "left")
-
-
 def zonal_fractions(pixels: DataFrame, zone: Sequence[str], code: str, groups: Mapping[str, Sequence[int]], nodata: Sequence[int] = (0,), digits: int = 4) -> DataFrame:
     """Share of every class group per zone; the total leaves out nodata pixels. Groups may overlap."""
     counts = pixels.where(~F.col(code).isin(*nodata)).groupBy(*zone, code).agg(F.count("*").alias("c"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from grainwise.operators import ordering, spatial
+from grainwise.operators import ordering, polygons, spatial
 from grainwise.plans.registry import query
 from grainwise.sources import views
 from grainwise.sources.tables import table
@@ -54,10 +54,31 @@ def neighbour_distance(spark, sf):
          AND p.lon < (e.x2 - e.x1) * (p.lat - e.y1) / (e.y2 - e.y1) + e.x1 GROUP BY 1, 2 HAVING count(*) % 2 = 1) h ON s.station = h.station) GROUP BY 1""",
 )
 def point_in_polygon(spark, sf):
-    out = spatial.point_in_polygon(views.station(spark, sf), views.zones(spark, sf), "station", "zone")
+    out = polygons.point_in_polygon(views.station(spark, sf), views.zones(spark, sf), "station", "zone")
     return out.select("station", F.col("zone").cast("double"))
 
 
+_M = f"{polygons.METRES!r}::DOUBLE"
+
+
+@query(
+    "nearest_polygon_fallback",
+    f"""WITH h AS (SELECT p.station, e.zone FROM v_station p JOIN v_zone_edges e ON (e.y1 > p.lat) <> (e.y2 > p.lat)
+           AND p.lon < (e.x2 - e.x1) * (p.lat - e.y1) / (e.y2 - e.y1) + e.x1 GROUP BY 1, 2 HAVING count(*) % 2 = 1),
+         w AS (SELECT s.station, lat, lon, min(h.zone) AS zone FROM v_station s LEFT JOIN h ON h.station = s.station GROUP BY 1, 2, 3),
+         c AS (SELECT w.station, e.zone, (x1 - lon) * cos(radians(lat)) * {_M} AS ax, (y1 - lat) * {_M} AS ay, (x2 - lon) * cos(radians(lat)) * {_M} AS bx, (y2 - lat) * {_M} AS by_
+               FROM w, v_zone_edges e WHERE w.zone IS NULL),
+         t AS (SELECT *, greatest(0, least(1, -(ax * (bx - ax) + ay * (by_ - ay)) / ((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)))) AS t FROM c),
+         d AS (SELECT station, zone, round(sqrt(power(ax + t * (bx - ax), 2) + power(ay + t * (by_ - ay), 2)), 6) AS d FROM t),
+         b AS (SELECT station, min(d) AS d, arg_min(zone, (d, zone)) AS zone FROM d WHERE d <= 500 GROUP BY 1)
+       SELECT w.station, CAST(coalesce(w.zone, b.zone) AS DOUBLE) AS zone, CASE WHEN w.zone IS NOT NULL THEN 'within' WHEN b.zone IS NOT NULL THEN 'nearest' ELSE 'none' END AS match_method,
+              CASE WHEN w.zone IS NOT NULL THEN 0 ELSE round(b.d, 3) END AS dist_m FROM w LEFT JOIN b ON b.station = w.station""",
+)
+def nearest_polygon_fallback(spark, sf):
+    out = polygons.nearest_polygon_fallback(views.station(spark, sf).select("station", "lat", "lon"), views.zones(spark, sf), "station", "zone", 500.0)
+    return out.select("station", F.col("zone").cast("double"), "match_method", F.round("dist_m", 3).alias("dist_m"))
+
+
 # Overlapping class groups of the demonstration raster.
 CLASS_GROUPS = {"corn": [1], "soybean": [5], "row_crops": [1, 5], "pasture": [7, 8], "other": [8, 9, 10]}
 _ZF = ", ".join(f"round(count(*) FILTER (WHERE code IN ({', '.join(map(str, v))})) / count(*), 4) AS pct_{k}" for k, v in CLASS_GROUPS.items())
