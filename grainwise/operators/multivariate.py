@@ -49,12 +49,48 @@ def vif(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     m = moments(df, columns)
     values = np.linalg.eigvalsh(m.corr)
     inflation = np.diag(np.linalg.pinv(m.corr))
-    condition = float(np.sqrt(values.max() / max(values.min(), 1e-300)))
+    condition = float(np.sqrt(values.max() / values.min())) if values.min() > 1e-9 else math.inf
     null = int((values < 1e-10 * values.max()).sum())
     rows = [(c, float(v), condition, null) for c, v in zip(columns, inflation, strict=True)]
     return df.sparkSession.createDataFrame(rows, "feature string, vif double, condition_number double, null_dimensions long")
 
 
+def null_space(df: DataFrame, columns: Sequence[str], tolerance: float = 1e-8) -> DataFrame:
+    """Columns that are sums of others, with the weights of their members on standardised values.
+
+    A rank-revealing factorisation of the correlation matrix in column order: a column whose residual variance, given the
+    independent ones before it, is below ``tolerance`` depends on them; members with a smaller weight aren't named.
+    Constant columns depend on nothing and are named alone.
+    """
+    m = moments(df, columns)
+    sd = np.sqrt(np.diag(m.cov))
+    rows, basis = [], []
+    for j, name in enumerate(columns):
+        if sd[j] <= tolerance * max(1.0, abs(m.mean[j])):
+            rows.append((name, None, None, 0.0))
+            continue
+        weights = np.linalg.solve(m.corr[np.ix_(basis, basis)], m.corr[basis, j]) if basis else np.zeros(0)
+        residual = float(1.0 - m.corr[basis, j] @ weights)
+        if residual > tolerance:
+            basis.append(j)
+            continue
+        rows += [(name, columns[i], float(w), max(residual, 0.0)) for i, w in zip(basis, weights, strict=True) if abs(w) > math.sqrt(tolerance)]
+    return df.sparkSession.createDataFrame(rows, "feature string, member string, weight double, residual double")
+
+
+def weakest_directions(df: DataFrame, columns: Sequence[str], k: int = 3, least: float = 0.05) -> DataFrame:
+    """The ``k`` smallest eigenvalues of the correlation matrix and the loadings of their vectors above ``least``.
+
+    Vectors have the sign that makes their largest loading positive.
+    """
+    values, vectors = np.linalg.eigh(moments(df, columns).corr)
+    rows = []
+    for d in range(min(k, len(columns))):
+        v = vectors[:, d] * np.sign(vectors[np.abs(vectors[:, d]).argmax(), d])
+        rows += [(d + 1, float(values[d]), c, float(x)) for c, x in zip(columns, v, strict=True) if abs(x) > least]
+    return df.sparkSession.createDataFrame(rows, "direction long, eigenvalue double, feature string, loading double")
+
+
 def pca_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Per component of the correlation matrix: explained share, running share, and the column with the largest loading."""
     m = moments(df, columns)

@@ -72,8 +72,8 @@ def ordered_counts(
     )
 
 
-def quantiles_from_counts(counts: DataFrame, value: str, probs: Mapping[str, float], by: Sequence[str] = ()) -> DataFrame:
-    """Linear-interpolated quantiles of each group of an ordered-counts table."""
+def quantiles_from_counts(counts: DataFrame, value: str, probs: Mapping[str, float], by: Sequence[str] = (), more: Sequence[Column] = ()) -> DataFrame:
+    """Linear-interpolated quantiles of each group of an ordered-counts table; ``more`` are further named aggregates."""
     covers = lambda k: (F.col("cum_before") <= k) & (k < F.col("cum_before") + F.col("cnt"))
     aggs, outs = [], []
     for name, p in probs.items():
@@ -82,7 +82,9 @@ def quantiles_from_counts(counts: DataFrame, value: str, probs: Mapping[str, flo
         aggs += [F.max(F.when(covers(F.floor(pos)), v)).alias(f"_lo_{name}"), F.max(F.when(covers(F.ceil(pos)), v)).alias(f"_hi_{name}")]
         frac = pos - F.floor(pos)
         outs.append((F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * frac).alias(name))
-    return counts.groupBy(*by).agg(F.max("n").alias("n"), *aggs).select(*by, "n", *outs)
+    table = counts.groupBy(*by).agg(F.max("n").alias("n"), *aggs, *more)
+    kept = [c for c in table.columns if c not in (*by, "n") and not c.startswith(("_lo_", "_hi_"))]
+    return table.select(*by, "n", *outs, *kept)
 
 
 def exact_quantiles(

@@ -7,14 +7,15 @@ shuffle by variable, so a column of a very long table never becomes one task.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from itertools import combinations_with_replacement
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from grainwise.functions.numeric import HASH_SPAN, cut, key_hash, season, smape_term
 from grainwise.operators import ordering
 from grainwise.operators.reshape import long_form
+from grainwise.session import scratch_path
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -38,20 +39,39 @@ def crosstab_share(df: DataFrame, a: str, b: str, top: int | None = None) -> Dat
     return cells.join(rows, a).select(a, b, "n", ratio(F.col("n"), F.col("_row")).alias("row_share"))
 
 
+#: Presence bits of one long.
+MASK_BITS = 62
+
+
 def co_measurement(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Rows where both columns of a pair are present, and their Jaccard similarity: one pass."""
-    pairs = list(combinations_with_replacement(columns, 2))
-    both = {p: F.count_if(F.col(p[0]).isNotNull() & F.col(p[1]).isNotNull()) for p in pairs}
-    agg = df.agg(*[e.alias(f"{a}|{b}") for (a, b), e in both.items()])
-    c = lambda a, b: F.col(f"`{a}|{b}`")
-    rows = [
-        F.struct(
-            F.lit(a).alias("a"), F.lit(b).alias("b"), c(a, b).alias("n_both"),
-            ratio(c(a, b), c(a, a) + c(b, b) - c(a, b)).alias("jaccard"),
-        )
-        for a, b in pairs if a != b
-    ]
-    return agg.select(F.inline(F.array(*rows)))
+    """Rows where both columns of a pair are present, and their Jaccard similarity.
+
+    A row becomes a mask of presence bits and masks are counted; pairs are then summed over the masks that hold both,
+    so that the work per row doesn't grow with the number of pairs.
+    """
+    columns = list(columns)
+    bits = [F.when(F.col(c).isNotNull(), F.lit(1 << i % MASK_BITS).cast("long")).otherwise(F.lit(0).cast("long")) for i, c in enumerate(columns)]
+    words = [sum(bits[k + 1 : k + MASK_BITS], bits[k]) for k in range(0, len(bits), MASK_BITS)]
+    names = [f"m{k}" for k in range(len(words))]
+    masks = df.select(*[w.alias(n) for w, n in zip(words, names, strict=True)]).groupBy(*names).agg(F.count("*").alias("n"))
+
+    def held_in(k: int, name: str) -> Column:
+        """Numbers of the columns whose bit is set in a word."""
+        bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), (i - k * MASK_BITS).cast("int"))
+        numbers = F.sequence(F.lit(k * MASK_BITS), F.lit(min(len(columns), (k + 1) * MASK_BITS) - 1))
+        return F.filter(numbers, lambda i: F.col(name).bitwiseAND(bit(i)) != 0)
+
+    held = F.concat(*[held_in(k, n) for k, n in enumerate(names)])
+    # The outer forms keep Spark from inferring a filter on the list, which it would compute on every row before counting.
+    present = masks.select("n", held.alias("held")).select("n", "held", F.explode_outer("held").alias("a"))
+    both = present.select("n", "a", F.explode_outer(F.filter("held", lambda i: i >= F.col("a"))).alias("b"))
+    # Every pair is there, if only with no row; what follows has one row per pair of columns.
+    every = [(0, i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    both = both.unionByName(df.sparkSession.createDataFrame(every, "n long, a int, b int")).where("b IS NOT NULL").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    own = F.when(F.col("a") == F.col("b"), F.col("n"))
+    table = both.select("*", F.max(own).over(W.partitionBy("a")).alias("n_a"), F.max(own).over(W.partitionBy("b")).alias("n_b")).where("a < b")
+    name = lambda i: F.element_at(F.array(*map(F.lit, columns)), F.col(i) + 1).alias(i)
+    return table.select(name("a"), name("b"), F.col("n").alias("n_both"), ratio(F.col("n"), F.col("n_a") + F.col("n_b") - F.col("n")).alias("jaccard"))
 
 
 def dataset_overview(df: DataFrame, entity: str, ts: str, key: Sequence[str]) -> DataFrame:
@@ -108,35 +128,42 @@ QUANTILES = {"p1": 0.01, "q1": 0.25, "med": 0.5, "q3": 0.75, "p99": 0.99}
 
 
 def describe_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Full numeric description of each column, from one table of ordered distinct values.
+    """Full numeric description of each column, from one stored table of ordered distinct values.
 
-    Skewness and kurtosis are the bias-corrected sample versions.
+    The input is read once, and the number of its rows is observed on the way. Moments are sums around the mean, weighted
+    by the counts. Skewness and kurtosis are the bias-corrected sample versions.
     """
-    long = long_form(df, columns)
-    counts = ordering.ordered_counts(long, "value", ["variable"])
-    q = ordering.quantiles_from_counts(counts, "value", QUANTILES, ["variable"])
-    moments = long.groupBy("variable").agg(
-        F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.min("value").alias("min"), F.max("value").alias("max"),
-        F.skewness("value").alias("_g1"), F.kurtosis("value").alias("_g2"),
-        F.count_if(F.col("value") == 0).alias("n_zero"), F.count_if(F.col("value") < 0).alias("n_negative"),
-    )
-    q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
-    fence = q.select("variable", (F.col("q1") - 1.5 * F.col("iqr")).alias("_lo"), (F.col("q3") + 1.5 * F.col("iqr")).alias("_hi"))
-    outside = (F.col("value") < F.col("_lo")) | (F.col("value") > F.col("_hi"))
-    tails = counts.join(F.broadcast(fence), "variable").groupBy("variable").agg(
-        F.sum(F.when(outside, F.col("cnt")).otherwise(0)).alias("n_outlier"), F.count("*").alias("n_unique")
+    spark = df.sparkSession
+    rows = Observation()
+    long = long_form(df.observe(rows, F.count(F.lit(1)).alias("n")), columns)
+    path = scratch_path(spark, "ordered")
+    ordering.ordered_counts(long, "value", ["variable"]).write.parquet(path)
+    counts = spark.read.parquet(path)
+    v, cnt = F.col("value").cast("double"), F.col("cnt")
+    when = lambda cond: F.sum(F.when(cond, cnt).otherwise(0))
+    more = [
+        ratio(F.sum(v * cnt), F.sum(cnt)).alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"), when(v == 0).alias("n_zero"),
+        when(v < 0).alias("n_negative"), F.count("*").alias("n_unique"),
+    ]
+    q = ordering.quantiles_from_counts(counts, "value", QUANTILES, ["variable"], more).withColumn("iqr", F.col("q3") - F.col("q1"))
+    # One row per described column: small, whatever the input.
+    centre = q.select("variable", "mean", (F.col("q1") - 1.5 * F.col("iqr")).alias("_lo"), (F.col("q3") + 1.5 * F.col("iqr")).alias("_hi"))
+    d = v - F.col("mean")
+    second = counts.join(F.broadcast(centre), "variable").groupBy("variable").agg(
+        when((v < F.col("_lo")) | (v > F.col("_hi"))).alias("n_outlier"), *[F.sum(cnt * F.pow(d, F.lit(float(k)))).alias(f"_m{k}") for k in (2, 3, 4)]
     )
-    n = F.col("n").cast("double")
-    total = df.agg(F.count("*")).scalar()
-    out = q.join(moments, "variable").join(tails, "variable")
+    n, m2, m3, m4 = F.col("n").cast("double"), F.col("_m2"), F.col("_m3"), F.col("_m4")
+    spread = F.nullif(m2, F.lit(0.0))
+    g1, g2 = F.sqrt(n) * m3 / F.pow(spread, F.lit(1.5)), n * m4 / (spread * spread) - 3
+    out = q.join(second, "variable").withColumn("sd", F.sqrt(F.try_divide(m2, n - 1)))
     return out.withColumns(
         {
-            "pct_present": 100 * ratio(F.col("n"), total),
+            "pct_present": 100 * ratio(F.col("n"), F.lit(rows.get["n"])),
             "cv": F.try_divide(F.col("sd"), F.abs("mean")),
-            "skew": F.when(n > 2, F.col("_g1") * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0.0))),
-            "kurt": F.when(n > 3, ((n + 1) * F.col("_g2") + 6) * (n - 1) / F.nullif((n - 2) * (n - 3), F.lit(0.0))),
+            "skew": F.when(n > 2, g1 * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0.0))),
+            "kurt": F.when(n > 3, ((n + 1) * g2 + 6) * (n - 1) / F.nullif((n - 2) * (n - 3), F.lit(0.0))),
         }
-    ).drop("_g1", "_g2")
+    ).drop("_m2", "_m3", "_m4")
 
 
 def value_pileups(df: DataFrame, columns: Sequence[str], k: int = 3) -> DataFrame:
@@ -203,14 +230,21 @@ def plausibility_report(df: DataFrame, bounds: Mapping[str, tuple[float | None,
     return df.agg(*aggs).select(F.inline(F.array(*rows)))
 
 
-def unit_consistency(df: DataFrame, parameter: str, unit: str, value: str) -> DataFrame:
-    """Per parameter: values, distinct units, a "unit (n)" listing and values without a unit."""
+def unit_consistency(df: DataFrame, parameter: str, unit: str, value: str, top: int = 20) -> DataFrame:
+    """Per parameter: values, distinct units, a "unit (n)" listing and values without a unit.
+
+    The listing holds the ``top`` most frequent spellings, and how many more there are.
+    """
     counts = df.where(F.col(value).isNotNull()).groupBy(parameter, F.nullif(F.trim(unit), F.lit("")).alias("u")).agg(F.count("*").alias("c"))
-    label = F.when(F.col("u").isNotNull(), F.concat(F.col("u"), F.lit(" ("), F.col("c").cast("string"), F.lit(")")))
-    return counts.groupBy(parameter).agg(
-        F.sum("c").alias("n"), F.count("u").alias("n_units"), F.array_join(F.array_sort(F.collect_list(label)), "; ").alias("units"),
-        F.sum(F.when(F.col("u").isNull(), F.col("c")).otherwise(0)).alias("n_without_unit"),
+    totals = counts.groupBy(parameter).agg(
+        F.sum("c").alias("n"), F.count("u").alias("n_units"), F.sum(F.when(F.col("u").isNull(), F.col("c")).otherwise(0)).alias("n_without_unit")
     )
+    frequent = ordering.top_k_per_group(counts.where("u IS NOT NULL"), [parameter], [F.desc("c"), F.col("u")], top)
+    label = F.concat(F.col("u"), F.lit(" ("), F.col("c").cast("string"), F.lit(")"))
+    listing = frequent.groupBy(parameter).agg(F.array_sort(F.collect_list(label)).alias("units"))
+    rest = F.when(F.col("n_units") > top, F.array(F.concat(F.lit("+"), (F.col("n_units") - top).cast("string"), F.lit(" more")))).otherwise(F.array())
+    units = F.array_join(F.concat(F.coalesce("units", F.array()), rest), "; ")
+    return totals.join(listing, parameter, "left").select(parameter, "n", "n_units", units.alias("units"), "n_without_unit")
 
 
 def categorical_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -241,10 +275,9 @@ def degenerate_screen(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def quality_flags(df: DataFrame, columns: Sequence[str], skew_limit: float = 10.0, pile_limit: float = 0.5, sparse_pct: float = 5.0) -> DataFrame:
     """One row per (column, flag): all null, constant, nearly empty, extreme skew, value pile-up."""
-    total = df.agg(F.count("*")).scalar()
-    agg = df.agg(*[F.count(c).alias(c) for c in columns])
-    present = agg.select(F.inline(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).alias("n_present")) for c in columns])))
-    present = present.withColumn("pct", 100 * ratio(F.col("n_present"), total))
+    agg = df.agg(F.count("*").alias("_rows"), *[F.count(c).alias(c) for c in columns])
+    present = agg.select(F.inline(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).alias("n_present"), F.col("_rows").alias("_rows")) for c in columns])))
+    present = present.withColumn("pct", 100 * ratio(F.col("n_present"), F.col("_rows"))).drop("_rows")
     screen = degenerate_screen(df, columns)
     skew = long_form(df, columns).groupBy("variable").agg(F.skewness("value").alias("_g1"), F.count("*").cast("double").alias("_n"))
     n = F.col("_n")

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from grainwise.functions.numeric import cyclical
 from grainwise.operators import association as a
-from grainwise.operators import contracts, ordering, seasonal, serving, spatial
+from grainwise.operators import contracts, ordering, permutation, seasonal, serving, spatial
 from grainwise.operators import modelling as m
 from grainwise.operators import multivariate as mv
 from grainwise.operators.evaluation import regression_metrics
@@ -112,7 +112,7 @@ def best_per_group(spark, sf):
     for name, column in (("type mean", "mean_value"), ("persistence", "prev_value")):
         report = regression_metrics(rows, "value", column, ["target"]).withColumns({"r2_log": F.lit(None).cast("double"), "model": F.lit(name)})
         sinks.replace_slice(report, path, "model")
-    return rounded(m.best_model_per_target(spark.read.parquet(path)), 6, "score")
+    return rounded(m.best_model_per_target(sinks.read_slices(spark, path)), 6, "score")
 
 
 @query(
@@ -141,13 +141,51 @@ def select_transform(spark, sf):
     return train.agg(F.lit(got["mae_raw"] is not None).alias("eligible"), F.lit(bool(got["mae_raw"] and got["mae_raw"] > 0 and got["mae_log"] > 0)).alias("both_errors_positive"), F.count("*").alias("n_train"))
 
 
-@query("block_permutation", "SELECT * FROM (VALUES ('order', true, true), ('part', true, true)) t(block, small_drop, has_spread)")
+BLOCKS = {"part": ["psize", "retail"], "order": ["qty", "total"], "season": ["doy"]}
+REPEATS, SEED = 5, 1000
+
+
+def _permuted_sql(x: str, seed: int) -> str:
+    """One pass through the network of operators/permutation.py; ``ga`` and ``gb`` are the sides of the grid."""
+    sql = f"SELECT rank, {x} // gb AS l, {x} % gb AS r, ga, gb, n"
+    for k, key in enumerate(permutation.round_keys(seed)):
+        mixed = lambda v, key=key: f"((({v} + {key}) * 2654435761 % 4294967296) // 512)"
+        new = f"(l + {mixed('r')}) % ga AS l, r" if k % 2 == 0 else f"l, (r + {mixed('l')}) % gb AS r"
+        sql = f"SELECT rank, {new}, ga, gb, n FROM ({sql}{' FROM {src}' if k == 0 else ''})"
+    return f"SELECT rank, l * gb + r AS x, ga, gb, n FROM ({sql})"
+
+
+def _walk_sql(repeat: int) -> str:
+    """Images of all numbers under the permutation of a repeat; a walk goes on while it is outside."""
+    first = _permuted_sql("rank", SEED + repeat).replace("{src}", "numbers")
+    again = _permuted_sql("x", SEED + repeat).replace("{src}", f"walk_{repeat} WHERE x >= n")
+    return f"walk_{repeat} AS ({first} UNION ALL {again}), image_{repeat} AS (SELECT {repeat} AS repeat, rank, x AS source FROM walk_{repeat} WHERE x < n)"
+
+
+_TEST = "test_ AS (SELECT *, row_number() OVER (ORDER BY l_orderkey * 8 + l_linenumber, price, retail, qty) - 1 AS rank, count(*) OVER () AS n FROM rows_ WHERE is_test)"
+_NUMBERS = "numbers AS (SELECT rank, n, CAST(ceil(sqrt(n)) AS BIGINT) AS ga, CAST(ceil(n / ceil(sqrt(n))) AS BIGINT) AS gb FROM test_)"
+_SHUFFLED = " UNION ALL ".join(
+    f"SELECT '{name}' AS block, repeat, y, {linear_prediction_sql([('s.' if c in columns else 't.') + c for c in FEATURES]).replace('m_s.', 'm_').replace('m_t.', 'm_').replace('s_s.', 's_').replace('s_t.', 's_')} AS p"
+    " FROM (SELECT *, price AS y FROM test_) t JOIN images i ON i.rank = t.rank JOIN test_ s ON s.rank = i.source, beta"
+    for name, columns in BLOCKS.items()
+)
+_R2_SQL = "1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*))"
+
+
+@query(
+    "block_permutation",
+    f"""WITH RECURSIVE {TRAINING_SQL}, {least_squares_sql('rows_', 'price', FEATURES)}, {_TEST}, {_NUMBERS}, {', '.join(_walk_sql(r) for r in range(REPEATS))},
+       images AS ({' UNION ALL '.join(f'SELECT * FROM image_{r}' for r in range(REPEATS))}), b AS (SELECT {_R2_SQL} AS r2 FROM (SELECT price AS y, {linear_prediction_sql(FEATURES)} AS p FROM test_, beta)),
+       d AS (SELECT block, repeat, (SELECT r2 FROM b) - ({_R2_SQL}) AS lost FROM ({_SHUFFLED}) GROUP BY 1, 2)
+       SELECT block, round(avg(lost), 6) AS r2_drop, round(stddev_pop(lost), 6) AS r2_drop_sd, count(*) AS repeats FROM d GROUP BY 1""",
+)
 def block_permutation(spark, sf):
-    """R2 lost when a block of features is shuffled whole; the given prices follow no feature, so little is lost."""
-    rows = training_rows(spark, sf, ["l_orderkey", "l_linenumber"]).withColumn("row_key", F.concat_ws("-", "l_orderkey", "l_linenumber"))
+    """R2 lost when a block of features is shuffled whole, over five keyed permutations."""
+    rows = training_rows(spark, sf, ["l_orderkey", "l_linenumber"])
+    rows = rows.withColumns({"row_at": F.col("l_orderkey") * 8 + F.col("l_linenumber"), "row_key": F.struct("l_orderkey", "l_linenumber", "price", "retail", "qty")})
     fitted = m.fit(rows.where("NOT is_test"), "price", FEATURES, "linear")
-    out = m.permutation_importance(fitted, rows.where("is_test"), "price", {"part": ["psize", "retail"], "order": ["qty", "total"]}, "row_key", repeats=2)
-    return out.select("block", (F.abs("r2_drop") < 0.1).alias("small_drop"), (F.col("r2_drop_sd") >= 0).alias("has_spread"))
+    out = permutation.permutation_importance(fitted, rows.where("is_test"), "price", BLOCKS, "row_key", "row_at", REPEATS, SEED)
+    return rounded(out, 6, "r2_drop", "r2_drop_sd")
 
 
 # --- multivariate ----------------------------------------------------------------------------
@@ -174,13 +212,45 @@ def inverse_sql(source: str, columns: list[str]) -> str:
 _N = range(len(FEATURES))
 
 
+def _squared_sql(p: int) -> str:
+    """The square of a p x p matrix held as a list of rows, one after the other."""
+    cell = " + ".join(f"m[(i // {p}) * {p} + {k + 1}] * m[{k * p} + i % {p} + 1]" for k in range(p))
+    return f"list_transform(range(0, {p * p}), lambda i: {cell})"
+
+
+def largest_eigenvalue_sql(name: str, source: str, p: int) -> str:
+    """A recursive CTE whose last row has the logarithm of the largest eigenvalue: a trace under repeated squaring."""
+    trace = " + ".join(f"m[{k * p + k + 1}]" for k in range(p))
+    start = f"SELECT 0 AS k, list_transform(m, lambda x: x / ({trace})) AS m, ln({trace}) AS lg FROM {source}"
+    again = f"SELECT k + 1, list_transform(m, lambda x: x / ({trace})), lg + ln({trace}) / power(2, k + 1) FROM (SELECT k, lg, {_squared_sql(p)} AS m FROM {name} WHERE k < 40)"
+    return f"{name} AS ({start} UNION ALL {again})"
+
+
+_P = len(FEATURES)
+_CORR = "corr_ AS (SELECT [" + ", ".join(f"corr({x}, {y})" for x in FEATURES for y in FEATURES) + "] AS m FROM v_features)"
+_INVERSE = "back_ AS (SELECT [" + ", ".join(f"v_{i}_{j} * sqrt(s_{i} * s_{j})" for i in _N for j in _N) + "] AS m FROM inv, s)"
+
+
 @query(
     "vif",
-    f"WITH {inverse_sql('v_features', FEATURES)}, s AS (SELECT {', '.join(f'var_pop({c}) AS s_{i}' for i, c in enumerate(FEATURES))} FROM v_features) "
-    + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(v_{i}_{i} * s_{i}, 5) AS vif, 0::BIGINT AS null_dimensions FROM inv, s" for i, c in enumerate(FEATURES)),
+    f"WITH RECURSIVE {inverse_sql('v_features', FEATURES)}, s AS (SELECT {', '.join(f'var_pop({c}) AS s_{i}' for i, c in enumerate(FEATURES))} FROM v_features), {_CORR}, {_INVERSE}, "
+    + f"{largest_eigenvalue_sql('top_', 'corr_', _P)}, {largest_eigenvalue_sql('low_', 'back_', _P)}, "
+    + "c AS (SELECT round(exp(((SELECT lg FROM top_ WHERE k = 40) + (SELECT lg FROM low_ WHERE k = 40)) / 2), 5) AS condition_number) "
+    + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(v_{i}_{i} * s_{i}, 5) AS vif, condition_number, 0::BIGINT AS null_dimensions FROM inv, s, c" for i, c in enumerate(FEATURES)),
 )
 def vif(spark, sf):
-    return rounded(mv.vif(views.features(spark, sf), FEATURES), 5, "vif").select("feature", "vif", "null_dimensions")
+    return rounded(mv.vif(views.features(spark, sf), FEATURES), 5, "vif", "condition_number").select("feature", "vif", "condition_number", "null_dimensions")
+
+
+@query(
+    "null_space",
+    """SELECT 'planted' AS feature, t.member, round(t.w, 5) AS weight FROM (SELECT stddev_pop(qty) / stddev_pop(qty - 3 * psize) AS a, -3 * stddev_pop(psize) / stddev_pop(qty - 3 * psize) AS b FROM v_features) s,
+         LATERAL (VALUES ('qty', a), ('psize', b)) t(member, w)""",
+)
+def null_space(spark, sf):
+    """A planted combination of two features among the others: named with its members."""
+    rows = views.features(spark, sf).withColumn("planted", F.col("qty") - 3 * F.col("psize"))
+    return rounded(mv.null_space(rows, [*FEATURES, "planted"]), 5, "weight").select("feature", "member", "weight")
 
 
 @query("pca_summary")

@@ -125,7 +125,7 @@ def replace_slice(spark, sf):
     sinks.replace_slice(panel, path, "commodity")
     changed = panel.where("commodity = 'R'").withColumn("value", F.col("value") * 2)
     sinks.replace_slice(changed, path, "commodity")
-    return spark.read.parquet(path).groupBy("commodity").agg(
+    return sinks.read_slices(spark, path).groupBy("commodity").agg(
         F.count("*").alias("n"), F.sum("value").cast("long").alias("total")
     )
 

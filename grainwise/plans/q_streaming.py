@@ -65,6 +65,4 @@ def stream_latest(spark, sf):
     path = scratch_path(spark, "latest")
     for _ in _arrivals(spark, sf, path + "-in", repeats=True):
         st.latest_state(_read(spark, sf, path + "-in"), ["user_id"], ["ts", "event_id"], ["value"], path, path + "-ck")
-    versions = spark.read.parquet(path)
-    newest = versions.agg(F.max("v")).first()[0]
-    return versions.where(F.col("v") == newest).select("user_id", "event_id", "value")
+    return st.read_state(spark, path).select("user_id", "event_id", "value")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from grainwise.operators.ordering import last_row
+from grainwise.sources.files import children, committed, drop
 
 
 def read_files(spark: SparkSession, path: str, schema, pattern: str = "*.parquet") -> DataFrame:
@@ -37,21 +38,56 @@ def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append
     return q
 
 
-def latest_state(stream: DataFrame, by: Sequence[str], order: Sequence[str], columns: Sequence[str], path: str, checkpoint: str) -> StreamingQuery:
-    """Keep one latest row per key: each batch is reduced first, then merged with the stored state.
+def latest_state(
+    stream: DataFrame, by: Sequence[str], order: Sequence[str], columns: Sequence[str], path: str, checkpoint: str, buckets: int = 64
+) -> StreamingQuery:
+    """Keep one latest row per key, in hash buckets; a batch reads and rewrites only the buckets that it touches.
 
-    Each batch writes a new version folder named by its id; re-running a batch after a failure
-    rewrites the same version from the same predecessor, so the result does not change.
+    A manifest per batch names the version of each bucket; writing it commits the batch. A batch that runs again starts
+    from the manifest before its own and so changes nothing. Versions that neither of the last two manifests names are
+    deleted.
     """
+    keep = list(dict.fromkeys([*order, *columns]))
 
     def merge(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        keep = list(dict.fromkeys([*order, *columns]))
-        new = last_row(batch, by, order, keep)
-        if epoch > 0:
-            new = last_row(new.unionByName(spark.read.parquet(f"{path}/v={epoch - 1}")), by, order, keep)
-        new.write.mode("overwrite").parquet(f"{path}/v={epoch}")
+        arrived = f"{path}/arrived"
+        own = F.pmod(F.xxhash64(*by), F.lit(buckets)).cast("int").alias("bucket")
+        last_row(batch, by, order, keep).select(own, *by, *keep).write.mode("overwrite").parquet(arrived)
+        new = spark.read.parquet(arrived)
+        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most ``buckets``
+        before = [v for v in committed(spark, f"{path}/manifest") if v < epoch]
+        base = _manifest(spark, path, before[-1]) if before else {}
+        old = [f"{path}/data/v={base[b]}/bucket={b}" for b in touched if b in base]
+        if old:
+            new = new.unionByName(spark.read.option("basePath", f"{path}/data").parquet(*old).drop("v").select(new.columns))
+        rows = last_row(new.withColumn("bucket", F.col("bucket").cast("int")), ["bucket", *by], order, keep)
+        rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/data/v={epoch}")
+        named = base | dict.fromkeys(touched, epoch)
+        entries = spark.createDataFrame(sorted(named.items()), "bucket int, version long").coalesce(1)
+        entries.write.mode("overwrite").parquet(f"{path}/manifest/v={epoch}")
+        for v in before[:-1]:
+            drop(spark, f"{path}/manifest/v={v}")
+        used = {*base.items(), *named.items()}
+        for version in children(spark, f"{path}/data"):
+            v = int(version[2:])
+            stays = [b for b in range(buckets) if (b, v) in used]
+            if not stays and v < epoch:
+                drop(spark, f"{path}/data/{version}")
+            for name in children(spark, f"{path}/data/{version}") if stays else []:
+                if name.startswith("bucket=") and int(name[7:]) not in stays:
+                    drop(spark, f"{path}/data/{version}/{name}")
 
     q = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return q
+
+
+def _manifest(spark: SparkSession, path: str, version: int) -> dict[int, int]:
+    return {r["bucket"]: r["version"] for r in spark.read.parquet(f"{path}/manifest/v={version}").collect()}
+
+
+def read_state(spark: SparkSession, path: str) -> DataFrame:
+    """The latest committed rows of :func:`latest_state`."""
+    named = _manifest(spark, path, committed(spark, f"{path}/manifest")[-1])
+    return spark.read.option("basePath", f"{path}/data").parquet(*[f"{path}/data/v={v}/bucket={b}" for b, v in sorted(named.items())]).drop("v", "bucket")
