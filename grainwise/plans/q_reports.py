@@ -7,9 +7,9 @@ import datetime
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from grainwise.functions.numeric import cyclical
+from grainwise.functions.numeric import cyclical, normal_quantile_sql
 from grainwise.operators import association as a
-from grainwise.operators import contracts, ordering, permutation, seasonal, serving, spatial
+from grainwise.operators import contracts, ordering, permutation, seasonal, serving, spatial, spatial_corr
 from grainwise.operators import modelling as m
 from grainwise.operators import multivariate as mv
 from grainwise.operators.evaluation import regression_metrics
@@ -324,6 +324,29 @@ def temporal_autocorr(spark, sf):
     return rounded(seasonal.temporal_autocorr(ev, "user_id", "ts", "value", LAG_EDGES), 6, "correlation")
 
 
+# Distance bins in km.
+DIST_EDGES = [0, 5, 10, 20, 40, 80, 160, 320, 640]
+_NEAR = "2 * 6371.0088 * asin(sqrt(least(power(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * power(sin(radians(b.lon - a.lon) / 2), 2), 1)))"
+
+
+@query(
+    "spatial_autocorr",
+    f"""WITH p AS (SELECT event_id, ((rank() OVER (PARTITION BY event_type ORDER BY value) + (count(*) OVER (PARTITION BY event_type, value) - 1) / 2.0::DOUBLE) - 0.5) / count(*) OVER (PARTITION BY event_type) AS p FROM events),
+       e AS (SELECT event_id, event_type AS target, CAST(ts AS DATE) AS day, user_id, lat, lon, {normal_quantile_sql('p')} AS z FROM events JOIN p USING (event_id) JOIN v_station ON station = user_id),
+       m AS (SELECT a.target, CASE WHEN a.user_id = b.user_id THEN -1 ELSE {' + '.join(f'({_NEAR} >= {e})::INT' for e in DIST_EDGES[1:-1])} END AS bin, a.z AS x, b.z AS y
+             FROM e a JOIN e b ON a.target = b.target AND a.day = b.day AND a.event_id < b.event_id),
+       s AS (SELECT target, bin, x, y FROM m UNION ALL SELECT target, bin, y, x FROM m)
+       SELECT target, CAST(bin AS BIGINT) AS bin, count(*) // 2 AS n_pairs, round(corr(x, y), 6) AS correlation FROM s GROUP BY 1, 2 HAVING count(*) >= 300""",
+)
+def spatial_autocorr(spark, sf):
+    """Normal scores of same-day events by the distance of their stations; bin -1: one station."""
+    ev = table(spark, sf, "events").select("event_id", F.col("event_type").alias("target"), F.to_date("ts").alias("day"), F.col("user_id").alias("station"), "value")
+    scored = ordering.normal_scores(ev, "value", ["target"])
+    placed = scored.join(views.station(spark, sf).select("station", "lat", "lon"), "station")
+    out = spatial_corr.spatial_autocorr(placed, ["target"], "day", "station", "z", DIST_EDGES)
+    return rounded(out, 6, "correlation").select("target", F.col("bin").cast("long").alias("bin"), "n_pairs", "correlation")
+
+
 _NODE = "SELECT gx, gy, 40.4::DOUBLE + gy * 0.2::DOUBLE AS lat, -96.6::DOUBLE + gx * 0.2::DOUBLE AS lon FROM (SELECT unnest(range(0, 33)) AS gx), (SELECT unnest(range(0, 17)) AS gy)"
 
 

@@ -38,6 +38,10 @@ def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append
     return q
 
 
+#: Names of the partition folders of the state; no column of it may have them.
+VERSION, BUCKET = "state_version", "state_bucket"
+
+
 def latest_state(
     stream: DataFrame, by: Sequence[str], order: Sequence[str], columns: Sequence[str], path: str, checkpoint: str, buckets: int = 64
 ) -> StreamingQuery:
@@ -52,17 +56,17 @@ def latest_state(
     def merge(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         arrived = f"{path}/arrived"
-        own = F.pmod(F.xxhash64(*by), F.lit(buckets)).cast("int").alias("bucket")
+        own = F.pmod(F.xxhash64(*by), F.lit(buckets)).cast("int").alias(BUCKET)
         last_row(batch, by, order, keep).select(own, *by, *keep).write.mode("overwrite").parquet(arrived)
         new = spark.read.parquet(arrived)
-        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most ``buckets``
+        touched = [r[BUCKET] for r in new.select(BUCKET).distinct().collect()]  # at most ``buckets``
         before = [v for v in committed(spark, f"{path}/manifest") if v < epoch]
         base = _manifest(spark, path, before[-1]) if before else {}
-        old = [f"{path}/data/v={base[b]}/bucket={b}" for b in touched if b in base]
+        old = [f"{path}/data/{VERSION}={base[b]}/{BUCKET}={b}" for b in touched if b in base]
         if old:
-            new = new.unionByName(spark.read.option("basePath", f"{path}/data").parquet(*old).drop("v").select(new.columns))
-        rows = last_row(new.withColumn("bucket", F.col("bucket").cast("int")), ["bucket", *by], order, keep)
-        rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/data/v={epoch}")
+            new = new.unionByName(spark.read.option("basePath", f"{path}/data").parquet(*old).select(new.columns))
+        rows = last_row(new.withColumn(BUCKET, F.col(BUCKET).cast("int")), [BUCKET, *by], order, keep)
+        rows.repartition(BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{path}/data/{VERSION}={epoch}")
         named = base | dict.fromkeys(touched, epoch)
         entries = spark.createDataFrame(sorted(named.items()), "bucket int, version long").coalesce(1)
         entries.write.mode("overwrite").parquet(f"{path}/manifest/v={epoch}")
@@ -70,12 +74,12 @@ def latest_state(
             drop(spark, f"{path}/manifest/v={v}")
         used = {*base.items(), *named.items()}
         for version in children(spark, f"{path}/data"):
-            v = int(version[2:])
+            v = int(version.partition("=")[2])
             stays = [b for b in range(buckets) if (b, v) in used]
             if not stays and v < epoch:
                 drop(spark, f"{path}/data/{version}")
             for name in children(spark, f"{path}/data/{version}") if stays else []:
-                if name.startswith("bucket=") and int(name[7:]) not in stays:
+                if name.startswith(BUCKET) and int(name.partition("=")[2]) not in stays:
                     drop(spark, f"{path}/data/{version}/{name}")
 
     q = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -90,4 +94,4 @@ def _manifest(spark: SparkSession, path: str, version: int) -> dict[int, int]:
 def read_state(spark: SparkSession, path: str) -> DataFrame:
     """The latest committed rows of :func:`latest_state`."""
     named = _manifest(spark, path, committed(spark, f"{path}/manifest")[-1])
-    return spark.read.option("basePath", f"{path}/data").parquet(*[f"{path}/data/v={v}/bucket={b}" for b, v in sorted(named.items())]).drop("v", "bucket")
+    return spark.read.option("basePath", f"{path}/data").parquet(*[f"{path}/data/{VERSION}={v}/{BUCKET}={b}" for b, v in sorted(named.items())]).drop(VERSION, BUCKET)
