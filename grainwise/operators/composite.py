@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from grainwise.functions.numeric import curve_axis, cut, interpolate, piecewise
@@ -16,7 +17,7 @@ from grainwise.operators import ordering
 from grainwise.operators.association import spearman
 from grainwise.operators.profile import ratio
 from grainwise.operators.reshape import long_form
-from grainwise.session import cut_lineage, keep_methods_compilable
+from grainwise.session import cut_lineage
 
 # Parameter -> (scale, anchors of value -> sub-index).
 CURVES: dict[str, tuple[str, list[tuple[float, float]]]] = {
@@ -171,8 +172,11 @@ def aggregate_index(df: DataFrame, weights: Mapping[str, float] = WEIGHTS, lam:
 
 
 def score(df: DataFrame) -> DataFrame:
-    """Raw parameters to the adopted index: projections only, no shuffle."""
-    keep_methods_compilable(df.sparkSession)
+    """Raw parameters to the adopted index: projections only, no shuffle.
+
+    The projections are wide: a session that scores many rows should set ``spark.sql.codegen.hugeMethodLimit`` to 8000, as
+    :func:`grainwise.session.local_session` does, so that no generated method exceeds what the JVM compiles.
+    """
     return aggregate_index(eligibility(group_max(subindex_all(df))))
 
 
@@ -182,13 +186,11 @@ def rule_scan(df: DataFrame, station: str, min_groups: Sequence[int], min_weight
     Rows collapse to (station, groups, coverage) counts first; the rule grid multiplies only that.
     """
     base = df.groupBy(station, "n_groups", "weight_coverage").agg(F.count("*").alias("c"))
-    total = df.agg(F.count("*")).scalar()
     rules = F.array(*[F.struct(F.lit(g).cast("long").alias("min_groups"), F.lit(float(w)).alias("min_weight")) for g in min_groups for w in min_weights])
     kept = base.select("*", F.inline(rules)).withColumn("ok", (F.col("n_groups") >= F.col("min_groups")) & (F.col("weight_coverage") >= F.col("min_weight")))
-    per = kept.groupBy("min_groups", "min_weight", station).agg(F.sum(F.when(F.col("ok"), F.col("c")).otherwise(0)).alias("c"))
-    return per.groupBy("min_groups", "min_weight").agg(F.sum("c").alias("rows"), F.count_if(F.col("c") > 0).alias("stations")).withColumn(
-        "rows_pct", 100 * ratio(F.col("rows"), total)
-    )
+    per = kept.groupBy("min_groups", "min_weight", station).agg(F.sum(F.when(F.col("ok"), F.col("c")).otherwise(0)).alias("c"), F.sum("c").alias("every"))
+    rules = per.groupBy("min_groups", "min_weight").agg(F.sum("c").alias("rows"), F.count_if(F.col("c") > 0).alias("stations"), F.sum("every").alias("every"))
+    return rules.withColumn("rows_pct", 100 * ratio(F.col("rows"), F.col("every"))).drop("every")
 
 
 def compare_schemes(long: DataFrame, label: str) -> DataFrame:
@@ -313,4 +315,5 @@ def index_driver(df: DataFrame, groups: Sequence[str] = tuple(GROUPS)) -> DataFr
 def index_bands(df: DataFrame, value: str) -> DataFrame:
     band = cut(value, BAND_EDGES, BAND_LABELS, include_lowest=True)
     counts = df.where(F.col(value).isNotNull()).groupBy(band.alias("band")).agg(F.count("*").alias("samples"))
-    return counts.withColumn("pct", 100 * ratio(F.col("samples"), df.agg(F.count(value)).scalar()))
+    # One row per band: the window over all of them is small.
+    return counts.withColumn("pct", 100 * ratio(F.col("samples"), F.sum("samples").over(W.partitionBy(F.lit(0)))))

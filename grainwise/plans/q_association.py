@@ -64,6 +64,24 @@ def between_within_corr(spark, sf):
     return rounded(out, 6, "overall", "between", "within").select(*BY, "n", "n_clusters", "overall", "between", "within", "cluster_invariant", "sign_flip")
 
 
+FEATURE_BLOCKS = {"qty": "order", "total": "order", "psize": "part", "retail": "part", "doy": "season"}
+_BLOCK = "CASE feature " + " ".join(f"WHEN '{f}' THEN '{b}'" for f, b in FEATURE_BLOCKS.items()) + " END"
+
+
+@query(
+    "block_strength",
+    RANKED.replace("FROM v_pairs", "FROM (SELECT * FROM v_pairs QUALIFY count(*) OVER (PARTITION BY target, feature, cluster) >= 5)") + f""",
+      g AS (SELECT *, avg(rx) OVER w AS mx, avg(ry) OVER w AS my FROM r WINDOW w AS (PARTITION BY target, feature, cluster)),
+      b AS (SELECT target, feature, corr(mx, my) AS between_rho FROM (SELECT DISTINCT target, feature, cluster, mx, my FROM g) GROUP BY 1, 2),
+      d AS (SELECT target, feature, corr(rx, ry) AS overall, corr(rx - mx, ry - my) AS within FROM g GROUP BY 1, 2)
+      SELECT {_BLOCK} AS block, round(avg(abs(overall)), 6) AS overall, round(avg(abs(between_rho)), 6) AS "between", round(avg(abs(within)), 6) AS within FROM d JOIN b USING (target, feature) GROUP BY 1""",
+)
+def block_strength(spark, sf):
+    """How strongly the features of each block go with the targets, between and within clusters."""
+    out = a.block_strength(a.between_within_corr(stored_pairs(spark, sf), BY, "cluster", "x", "y"), FEATURE_BLOCKS)
+    return rounded(out, 6, "overall", "between", "within")
+
+
 CATS = [("l_returnflag", "l_linestatus"), ("l_returnflag", "l_linenumber"), ("l_linestatus", "l_linenumber")]
 
 
@@ -187,6 +205,24 @@ def classify_shape(spark, sf):
     return rounded(a.classify_shape(profile, a.robust_scale(t, "y", ["grp"]), ["grp"], ["grp"]), 6, "median_range_over_scale")
 
 
+@query(
+    "effect_size_rank",
+    f"""WITH {PROFILE_SQL}, sc AS (SELECT grp, CASE WHEN quantile_cont(y, 0.75) > quantile_cont(y, 0.25) THEN quantile_cont(y, 0.75) - quantile_cont(y, 0.25) WHEN quantile_cont(y, 0.9) > quantile_cont(y, 0.1) THEN quantile_cont(y, 0.9) - quantile_cont(y, 0.1)
+         ELSE nullif(stddev_samp(y), 0) END AS scale FROM t GROUP BY 1), ef AS (SELECT grp, (max(med) - min(med)) / any_value(scale) AS effect FROM pr JOIN sc USING (grp) GROUP BY 1),
+       rk AS (SELECT grp, rank() OVER (PARTITION BY grp ORDER BY x) + (count(*) OVER (PARTITION BY grp, x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (PARTITION BY grp ORDER BY y) + (count(*) OVER (PARTITION BY grp, y) - 1) / 2.0::DOUBLE AS ry FROM t),
+       rho AS (SELECT grp, abs(corr(rx, ry)) AS abs_rho FROM rk GROUP BY 1)
+       SELECT grp, round(effect, 6) AS median_range_over_scale, round(abs_rho, 6) AS abs_rho, round(percent_rank() OVER (ORDER BY effect), 6) AS effect_pct, round(percent_rank() OVER (ORDER BY abs_rho), 6) AS rho_pct,
+         round(percent_rank() OVER (ORDER BY effect) - percent_rank() OVER (ORDER BY abs_rho), 6) AS rank_gap FROM ef JOIN rho USING (grp)""",
+)
+def effect_size_rank(spark, sf):
+    """Magnitude and consistency of the response in each group, ranked side by side."""
+    t = table(spark, sf, "lineitem").select(F.lit("all").alias("target"), F.col("l_returnflag").alias("grp"), F.col("l_extendedprice").alias("x"), F.col("l_quantity").alias("y"))
+    profile = cut_lineage(a.binned_profile(t, ["grp"], "x", "y"))
+    shapes = a.classify_shape(profile, a.robust_scale(t, "y", ["grp"]), ["grp"], ["grp"]).withColumn("target", F.lit("all"))
+    out = a.effect_size_rank(shapes, a.spearman(t, "x", "y", ["grp"]), ["grp"], ["target"])
+    return rounded(out, 6, "median_range_over_scale", "abs_rho", "effect_pct", "rho_pct", "rank_gap").select("grp", "median_range_over_scale", "abs_rho", "effect_pct", "rho_pct", "rank_gap")
+
+
 @query(
     "conditional_spread",
     f"""WITH {PROFILE_SQL.replace("pr AS (SELECT", "pr0 AS (SELECT")}, pr AS (SELECT *, q3 - q1 AS iqr FROM pr0), tr AS ({bin_trend_sql('iqr')})

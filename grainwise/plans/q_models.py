@@ -40,11 +40,13 @@ def prepare_frame(spark, sf):
 
 @query(
     "median_impute",
-    """SELECT sample_id, replicate, station, round(coalesce(nitrite, (SELECT median(nitrite) FROM v_chemistry)), 6) AS nitrite, (nitrite IS NULL)::INT AS nitrite_missing FROM v_chemistry""",
+    f"""WITH m AS (SELECT {', '.join(f'median({c}) AS m_{c}' for c in views.CHEMISTRY)} FROM v_chemistry)
+       SELECT sample_id, replicate, station, {', '.join(f'round(coalesce({c}, m_{c}), 6) AS {c}, ({c} IS NULL)::INT AS {c}_missing' for c in views.CHEMISTRY)} FROM v_chemistry, m""",
 )
 def median_impute(spark, sf):
-    df = views.chemistry(spark, sf).select("sample_id", "replicate", "station", "nitrite")
-    return rounded(m.median_impute(df, df, ["nitrite"], flags=True), 6, "nitrite")
+    columns = list(views.CHEMISTRY)
+    df = views.chemistry(spark, sf).select("sample_id", "replicate", "station", *columns)
+    return rounded(m.median_impute(df, df, columns, flags=True), 6, *columns)
 
 
 @query(

@@ -67,12 +67,12 @@ def score_batch(spark, sf):
     "calendar_trend",
     f"""WITH {SERVING_SQL}, d AS (SELECT CAST(unnest(generate_series(DATE '2024-04-14', DATE '2024-07-20', INTERVAL 1 DAY)) AS DATE) AS day), x AS (SELECT day, stations.*, {_WAVES.format(t='day')} FROM stations, d),
        p AS (SELECT day, count(v) AS n, avg(v) AS mean, min(v) AS low, max(v) AS high FROM (SELECT day, {linear_prediction_sql(MODEL_FEATURES)} AS v FROM x, beta) GROUP BY 1), s AS (SELECT min(mean) AS lo, max(mean) AS hi FROM p)
-       SELECT strftime(day, '%Y-%m-%d') AS day, n, round(mean, 4) AS mean, round(low, 4) AS low, round(high, 4) AS high FROM p""",
+       SELECT strftime(day, '%Y-%m-%d') AS day, n, round(mean, 4) AS mean, round(low, 4) AS low, round(high, 4) AS high,
+         CASE WHEN hi <= lo THEN 2 WHEN (mean - lo) / (hi - lo) < 0.2 THEN 0 WHEN (mean - lo) / (hi - lo) < 0.4 THEN 1 WHEN (mean - lo) / (hi - lo) < 0.6 THEN 2 WHEN (mean - lo) / (hi - lo) < 0.8 THEN 3 ELSE 4 END AS level FROM p, s""",
 )
 def calendar_trend(spark, sf):
     out = serving.calendar_trend(station_table(spark, sf), "station", STATION_FEATURES, linear_model(spark, sf), DAY)
-    # Levels of a constant series hang on the last digit; a test covers them.
-    return rounded(out.withColumn("day", F.date_format("day", "yyyy-MM-dd")), 4, "mean", "low", "high").select("day", "n", "mean", "low", "high")
+    return rounded(out.withColumn("day", F.date_format("day", "yyyy-MM-dd")), 4, "mean", "low", "high").select("day", "n", "mean", "low", "high", "level")
 
 
 # --- modelling reports -----------------------------------------------------------------------

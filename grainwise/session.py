@@ -23,18 +23,10 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkS
     )
 
 
-# Bytecode limit above which the JVM leaves a method interpreted.
+# Bytecode limit above which the JVM leaves a method interpreted; Spark then splits wide projections instead of fusing them.
 JIT_METHOD_LIMIT = "8000"
 
 
-def keep_methods_compilable(spark: SparkSession) -> None:
-    """Let Spark split very wide projections instead of fusing them into one method.
-
-    A fused method over the JVM's size limit is never compiled and runs about ten times slower.
-    """
-    spark.conf.set("spark.sql.codegen.hugeMethodLimit", JIT_METHOD_LIMIT)
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
