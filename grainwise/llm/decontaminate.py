@@ -1,7 +1,9 @@
 """Benchmark decontamination by template canonicalisation (operator 10), in DataFrame operations only.
 
-1. Canonical words: numbers, units behind numbers and names (capitalised, not shouted, inside a sentence) become typed
-   placeholders, other words are lowered; punctuation goes.
+1. Canonical words: numbers (digits, and English number words from two on), units behind numbers and names (capitalised,
+   not shouted, inside a sentence) become typed placeholders, other words are lowered; punctuation goes. A capitalised word
+   elsewhere, as at the start of a sentence, may be a name or not: windows with such words are hashed in both forms, on
+   both sides, and the word is a slot like a name.
 2. Windows of ``WINDOW`` canonical words are hashed and joined to those of the benchmark. Benchmark windows with fewer
    than ``MIN_LITERAL`` literal words aren't indexed: lists of names or numbers would all look alike. Items with such
    windows, or shorter than one, are also looked up verbatim, see ``verbatim``. The first window is
@@ -37,26 +39,45 @@ RUN_WORDS = 13
 UNITS = ("%", "€", "£", "mm", "cm", "dm", "km", "m", "mg", "kg", "g", "t", "ml", "cl", "l", "ms", "s", "min", "h", "hours", "hour", "minutes", "minute", "seconds", "days", "day", "weeks", "months", "years", "miles", "mile", "feet", "inches", "yards", "pounds", "ounces", "dollars", "euros", "cents", "percent", "degrees", "litres", "liters", "metres", "meters", "grams", "watts", "volts", "mph", "kmh")
 
 _NAME = r"(?<=[\p{L}\p{N},;:\)] )\p{Lu}\p{Ll}[\p{L}\p{M}]*"
-_NUMBER = r"(?<![\p{L}\p{N}])(\p{N}+)(?:[.,:/](\p{N}+))?(?:[.,:/](\p{N}+))?(?:[.,:/]\p{N}+)*"
+#: A capitalised word that isn't a name by its place; names are replaced before.
+_INITIAL = r"(?<![\p{L}\p{M}\p{N}@])\p{Lu}\p{Ll}[\p{L}\p{M}]*"
+#: English number words; "one" is a pronoun too often.
+NUMBER_WORDS = ("two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety", "hundred", "thousand", "million", "dozen")
+_NUMBER = rf"(?<![\p{{L}}\p{{N}}])(\p{{N}}+|(?=[defhmnst])(?:{'|'.join(NUMBER_WORDS)})(?!\p{{L}}))(?:[.,:/](\p{{N}}+))?(?:[.,:/](\p{{N}}+))?(?:[.,:/]\p{{N}}+)*"
 _MEASURE = rf"{_NUMBER} ?({'|'.join(UNITS)})(?!\p{{L}})"
 _SPLIT = r"[^\p{L}\p{M}\p{N}@]+"
 
 
-def _words(text: Column, name: str, number: str, unit: str) -> Column:
+def _words(text: Column, name: str, initial: str, number: str, unit: str) -> Column:
     """Words of ``text`` with its names, numbers and units replaced; a replaced number isn't one again, as a letter precedes it."""
-    text = F.regexp_replace(F.translate(text, "@", " "), _NAME, name)
+    text = F.regexp_replace(F.regexp_replace(F.translate(text, "@", " "), _NAME, name), _INITIAL, initial)
     text = F.regexp_replace(F.regexp_replace(text, _MEASURE, f"{number} {unit} "), _NUMBER, f"{number} ")
     return F.array_remove(F.split(F.lower(text), _SPLIT), "")
 
 
+def marked(text: Column) -> Column:
+    """Array of canonical words: @p, @n, @u, @i and a word that may be a name, or a lowered word."""
+    return _words(text, "@p", "@i$0", "@n", "@u")
+
+
+def plain(words: Column) -> Column:
+    """``marked`` words with those that may be names taken for plain ones."""
+    return F.transform(words, lambda w: F.when(F.startswith(w, F.lit("@i")), F.substring(w, 3, 1 << 20)).otherwise(w))
+
+
+def typed(words: Column) -> Column:
+    """``marked`` words with those that may be names taken for names."""
+    return F.transform(words, lambda w: F.when(F.startswith(w, F.lit("@i")), F.lit("@p")).otherwise(w))
+
+
 def canonical(text: Column) -> Column:
     """Array of canonical words: @p, @n, @u or a lowered word."""
-    return _words(text, "@p", "@n", "@u")
+    return plain(marked(text))
 
 
 def annotated(text: Column) -> Column:
-    """As ``canonical``, word by word, with the value behind each placeholder: @pname, @n3x5x, @ukg."""
-    return _words(text, "@p$0", "@n$1x$2x$3", "@u$4")
+    """As ``marked``, word by word, with the value behind each placeholder: @pname, @iname, @n3x5x, @ukg."""
+    return _words(text, "@p$0", "@i$0", "@n$1x$2x$3", "@u$4")
 
 
 def windows(words: Column) -> Column:
@@ -92,13 +113,15 @@ def benchmark_index(benchmark: DataFrame) -> DataFrame:
     """item (a row number within the benchmark's items), item_id, words, hash and position of each indexed window, stored."""
     spark = benchmark.sparkSession
     path = scratch_path(spark, "benchmark-windows")
-    rows = benchmark.select("item_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct().withColumn("words", canonical(F.col("text")))
+    rows = benchmark.select("item_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct().withColumn("marked", marked(F.col("text")))
+    rows = rows.withColumns({"words": plain(F.col("marked")), "typed": typed(F.col("marked"))})
     inside = F.slice(canonical(F.concat(F.lit("a "), F.ltrim("text"))), 2, WINDOW)  # the first words as they are behind a word
-    literal = lambda i: F.aggregate(F.slice("words", (i + 1).cast("int"), F.lit(WINDOW)), F.lit(0), lambda n, w: n + F.when(F.startswith(w, F.lit("@")), 0).otherwise(1))
-    rows = rows.withColumn("inside", inside).withColumn("hashes", windows(F.col("words"))).withColumn("first", F.get(windows(F.col("inside")), F.lit(0)))
-    each = rows.select("item_id", F.xxhash64("text").alias("item_key"), "words", "first", F.posexplode("hashes").alias("item_pos", "hash")).filter(literal(F.col("item_pos")) >= MIN_LITERAL)
-    both = F.when(F.col("item_pos") == 0, F.array_distinct(F.array("hash", "first"))).otherwise(F.array("hash"))
-    each.select("item_id", "item_key", "item_pos", F.explode(both).alias("hash")).write.parquet(path)
+    literal = lambda words, i: F.size(F.filter(F.slice(words, (i + 1).cast("int"), F.lit(WINDOW)), lambda w: ~F.startswith(w, F.lit("@"))))
+    rows = rows.withColumns({"inside": inside, "hashes": windows(F.col("words")), "other": windows(F.col("typed"))}).withColumn("first", F.get(windows(F.col("inside")), F.lit(0)))
+    each = rows.select("item_id", F.xxhash64("text").alias("item_key"), "words", "typed", "other", "first", F.posexplode("hashes").alias("item_pos", "hash")).filter(literal("words", F.col("item_pos")) >= MIN_LITERAL)
+    second = F.when(literal("typed", F.col("item_pos")) >= MIN_LITERAL, F.get("other", "item_pos"))
+    forms = F.array_distinct(F.array_compact(F.array("hash", second, F.when(F.col("item_pos") == 0, F.col("first")))))
+    each.select("item_id", "item_key", "item_pos", F.explode(forms).alias("hash")).write.parquet(path)
     return spark.read.parquet(path)
 
 
@@ -147,8 +170,15 @@ def _least() -> Column:
 def candidates(docs: DataFrame, index: DataFrame) -> DataFrame:
     """doc_id, text_key, item_id, item_key, indexed and least windows, and the windows found at each offset."""
     text = F.col("text").cast("string")
-    words = docs.filter(text.isNotNull()).select(*_row_key(), canonical(text).alias("words"))
-    doc_windows = words.select("doc_id", "text_key", F.posexplode(windows(F.col("words"))).alias("pos", "hash"))
+    words = docs.filter(text.isNotNull()).select(*_row_key(), marked(text).alias("marked"))
+    # The second form only where a window holds a word that may be a name: some places around each of them.
+    near = F.filter(F.transform("marked", lambda w, i: F.when(F.startswith(w, F.lit("@i")), i)), lambda i: i.isNotNull())
+    words = words.select("doc_id", "text_key", plain(F.col("marked")).alias("words"), typed(F.col("marked")).alias("typed"), near.alias("near"))
+    last = F.size("words") - WINDOW
+    around = F.array_distinct(F.flatten(F.transform("near", lambda i: F.filter(F.sequence(F.greatest(i - (WINDOW - 1), F.lit(0)), i), lambda p: p <= last))))
+    first_form = F.transform(windows(F.col("words")), lambda h, i: F.struct(i.alias("pos"), h.alias("hash")))
+    second_form = F.transform(around, lambda p: F.struct(p.alias("pos"), F.xxhash64(*(F.get("typed", p + k) for k in range(WINDOW))).alias("hash")))
+    doc_windows = words.select("doc_id", "text_key", F.inline(F.concat(first_form, second_form)))
     hits = doc_windows.join(index, "hash").select("doc_id", "text_key", "item_id", "item_key", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"))
     keys = ["doc_id", "text_key", "item_id", "item_key"]
     # Per window first: a passage repeated within a document counts once per window.
@@ -169,7 +199,10 @@ def _together(offsets: Column) -> Column:
 def _slots(shift: Column, places: Column) -> Column:
     """The distinct pairs of values behind the placeholders at ``places`` of the item and ``shift`` further in the document."""
     pairs = F.transform(places, lambda i: F.struct(F.get("item_words", i.cast("int")).alias("item"), F.get("doc_words", (i + shift).cast("int")).alias("doc")))
-    return F.array_distinct(F.filter(pairs, lambda p: F.startswith(p["item"], F.lit("@"))))
+    # A word that may be a name has the value of a name, and so has whatever stands in its place.
+    named = lambda w: F.when(F.startswith(w, F.lit("@i")), F.concat(F.lit("@p"), F.substring(w, 3, 1 << 20))).when(~F.startswith(w, F.lit("@")), F.concat(F.lit("@p"), w)).otherwise(w)
+    slots = F.filter(pairs, lambda p: F.startswith(p["item"], F.lit("@")))
+    return F.array_distinct(F.transform(slots, lambda p: F.struct(named(p["item"]).alias("item"), named(p["doc"]).alias("doc"))))
 
 
 def _consistent(slots: Column) -> Column:

@@ -222,7 +222,31 @@ def test_canonical_and_annotated_words_align(spark):
     df = spark.createDataFrame(rows, "text string").select(decontaminate.canonical(F.col("text")).alias("c"), decontaminate.annotated(F.col("text")).alias("a"))
     for c, a in df.collect():
         assert len(c) == len(a)
-        assert all(y == x or (x.startswith("@") and y.startswith(x[:2])) or x == "@u" for x, y in zip(c, a, strict=True))
+        assert all(y == x or y == "@i" + x or (x.startswith("@") and y.startswith(x[:2])) or x == "@u" for x, y in zip(c, a, strict=True))
+
+
+def test_new_values_of_an_item_are_found(spark):
+    """Copies with other names, numbers, number words and units, at any place of a document, against look-alikes."""
+    rng = random.Random(12)
+    people, things, units = ["Tom", "Ann", "Zoë", "Omar", "Li", "Björn"], ["apples", "pears", "stones", "letters"], ["kg", "miles", "km", "hours"]
+    counts = [str(k) for k in range(2, 60)] + ["two", "five", "seven", "twelve", "twenty"]
+    templates = [
+        "{p} has {n} apples and {m} pears.",
+        "{p} walked {n} {u} before lunch. {p} then walked {m} {u} back home with a friend.",
+        "A farmer called {p} sold {n} eggs on the market and kept {m} of them in a basket.",
+        "How many trips does {p} need to carry {n} {u} of sand if each trip takes {m} bags?",
+        "There are {n} loaves on the first table and {m} loaves on the second table.",
+        "{q} and {p} share {n} marbles. {q} gives {p} {m} marbles back after school.",
+    ]
+    fill = lambda t: t.format(p=(names := rng.sample(people, 2))[0], q=names[1], n=rng.choice(counts), m=rng.choice(counts), u=rng.choice(units))
+    bench = [(k, fill(t)) for k, t in enumerate(templates)]
+    prose = lambda: " ".join(rng.choice(["the", "old", "river", "ran", "Past", "a", "mill.", "Nobody", "spoke", "of", "it", rng.choice(things)]) for _ in range(rng.randint(5, 40)))
+    docs = [(100 * k + c, f"{prose()}. {fill(t)} {prose()}" if c % 2 else fill(t)) for k, t in enumerate(templates) for c in range(20)]
+    clean = [(5000 + k, prose()) for k in range(40)] + [(6000, "Ann has many apples and Tom has no pears."), (6001, "There are loaves on the table."), (6002, "Nobody and Tom share a house. Ann gives lessons after school.")]
+    found = decontaminate.leaks(spark.createDataFrame(docs + clean, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"))
+    got = {(r.doc_id, r.item_id) for r in found.collect()}
+    want = {(i, i // 100) for i, _ in docs}
+    assert len(got & want) >= 0.9 * len(want) and not {i for i, _ in got} & {i for i, _ in clean}
 
 
 def test_archives_round_trip(spark):
