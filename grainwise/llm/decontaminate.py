@@ -153,7 +153,7 @@ def verbatim(docs: DataFrame, index: DataFrame) -> DataFrame | None:
     words = docs.filter(text.isNotNull()).select(*_row_key(), plain_words(text).alias("plain"), (F.split(text, _LINE) if 1 in sizes else F.array().cast("array<string>")).alias("lines"))
     single = F.transform(F.filter(F.transform("lines", plain_words), lambda w: F.size(w) == 1), lambda w: F.xxhash64(F.lit(1), F.get(w, F.lit(0))))
     placed = lambda hashes: F.transform(hashes, lambda h, i: F.struct(i.alias("pos"), h.alias("hash")))
-    each = words.select("doc_id", "text_key", F.inline(F.concat(*(placed(single if k == 1 else _plain_windows(F.col("plain"), k)) for k in sizes))))
+    each = words.select("doc_id", "text_key", F.inline_outer(F.concat(*(placed(single if k == 1 else _plain_windows(F.col("plain"), k)) for k in sizes))))
     keys = ["doc_id", "text_key", "item_id", "item_key", "indexed"]
     hits = each.join(index, "hash").select(*keys, "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"))
     per_shift = hits.groupBy(*keys, "shift").agg(F.sort_array(F.collect_set("item_pos")).alias("found"))
@@ -178,7 +178,8 @@ def candidates(docs: DataFrame, index: DataFrame) -> DataFrame:
     around = F.array_distinct(F.flatten(F.transform("near", lambda i: F.filter(F.sequence(F.greatest(i - (WINDOW - 1), F.lit(0)), i), lambda p: p <= last))))
     first_form = F.transform(windows(F.col("words")), lambda h, i: F.struct(i.alias("pos"), h.alias("hash")))
     second_form = F.transform(around, lambda p: F.struct(p.alias("pos"), F.xxhash64(*(F.get("typed", p + k) for k in range(WINDOW))).alias("hash")))
-    doc_windows = words.select("doc_id", "text_key", F.inline(F.concat(first_form, second_form)))
+    # Outer, as Spark would otherwise infer a filter on the list and compute it a second time, on every row of the scan.
+    doc_windows = words.select("doc_id", "text_key", F.inline_outer(F.concat(first_form, second_form)))
     hits = doc_windows.join(index, "hash").select("doc_id", "text_key", "item_id", "item_key", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"))
     keys = ["doc_id", "text_key", "item_id", "item_key"]
     # Per window first: a passage repeated within a document counts once per window.
