@@ -65,9 +65,14 @@ def plain(words: Column) -> Column:
     return F.transform(words, lambda w: F.when(F.startswith(w, F.lit("@i")), F.substring(w, 3, 1 << 20)).otherwise(w))
 
 
+def _typed(word: Column) -> Column:
+    """A ``marked`` word; a name if it may be one."""
+    return F.when(F.startswith(word, F.lit("@i")), F.lit("@p")).otherwise(word)
+
+
 def typed(words: Column) -> Column:
     """``marked`` words with those that may be names taken for names."""
-    return F.transform(words, lambda w: F.when(F.startswith(w, F.lit("@i")), F.lit("@p")).otherwise(w))
+    return F.transform(words, _typed)
 
 
 def canonical(text: Column) -> Column:
@@ -173,11 +178,11 @@ def candidates(docs: DataFrame, index: DataFrame) -> DataFrame:
     words = docs.filter(text.isNotNull()).select(*_row_key(), marked(text).alias("marked"))
     # The second form only where a window holds a word that may be a name: some places around each of them.
     near = F.filter(F.transform("marked", lambda w, i: F.when(F.startswith(w, F.lit("@i")), i)), lambda i: i.isNotNull())
-    words = words.select("doc_id", "text_key", plain(F.col("marked")).alias("words"), typed(F.col("marked")).alias("typed"), near.alias("near"))
+    words = words.select("doc_id", "text_key", "marked", plain(F.col("marked")).alias("words"), near.alias("near"))
     last = F.size("words") - WINDOW
     around = F.array_distinct(F.flatten(F.transform("near", lambda i: F.filter(F.sequence(F.greatest(i - (WINDOW - 1), F.lit(0)), i), lambda p: p <= last))))
     first_form = F.transform(windows(F.col("words")), lambda h, i: F.struct(i.alias("pos"), h.alias("hash")))
-    second_form = F.transform(around, lambda p: F.struct(p.alias("pos"), F.xxhash64(*(F.get("typed", p + k) for k in range(WINDOW))).alias("hash")))
+    second_form = F.transform(around, lambda p: F.struct(p.alias("pos"), F.xxhash64(*(_typed(F.get("marked", p + k)) for k in range(WINDOW))).alias("hash")))
     # Outer, as Spark would otherwise infer a filter on the list and compute it a second time, on every row of the scan.
     doc_windows = words.select("doc_id", "text_key", F.inline_outer(F.concat(first_form, second_form)))
     hits = doc_windows.join(index, "hash").select("doc_id", "text_key", "item_id", "item_key", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"))
