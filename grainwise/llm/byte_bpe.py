@@ -36,9 +36,9 @@ from grainwise.llm.caches import Generations
 from grainwise.llm.shipping import free_name, map_arrow
 
 #: Texts worked on at once: larger slices give the recursive query more words a call.
-ENCODE_BYTES = 4 << 20
+ENCODE_BYTES = 3 << 20
 #: Words of one generation of a worker's memory; results don't depend on it.
-KEPT_WORDS = 250_000
+KEPT_WORDS = 200_000
 #: Words of one recursive query.
 QUERY_WORDS = 20_000
 LONG_WORD = 48
