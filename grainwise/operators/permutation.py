@@ -13,6 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grainwise.functions.numeric import key_hash
 from grainwise.operators import ordering
 from grainwise.operators.evaluation import regression_metrics
 from grainwise.operators.modelling import Fitted
@@ -63,6 +64,16 @@ def permuted_number(number: Column, n: int, seed: int) -> Column:
     return F.aggregate(walk, step(x), lambda acc, _: F.when(acc < n, acc).otherwise(step(acc)))
 
 
+def permuted(df: DataFrame, row: str, columns: Sequence[str], seed: int) -> DataFrame:
+    """Shuffle ``columns`` together by the seed's permutation; ``row`` is a unique key, numbered in the order of its hash."""
+    ranks = ordering.unique_ranks(df.select(row, key_hash(F.col(row), 0).alias("_h")), row, "_h")
+    numbered = cut_lineage(df.join(ranks.select(row, F.col("rank").alias("_rank")), row))
+    n = numbered.count()
+    source = numbered.select(F.col("_rank").alias("_from"), *columns)
+    placed = numbered.drop(*columns).withColumn("_from", permuted_number(F.col("_rank"), n, seed))
+    return placed.join(source, "_from").drop("_from", "_rank")
+
+
 def permutation_importance(
     model: Fitted, test: DataFrame, target: str, blocks: Mapping[str, Sequence[str]], row: str, order: str, repeats: int = 5, seed: int = 1000
 ) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from grainwise.operators import modelling, ordering, spatial
+from grainwise.operators import modelling, ordering, permutation, spatial
 
 
 def test_groups_with_text_keys(spark):
@@ -17,7 +17,7 @@ def test_groups_with_text_keys(spark):
 
 def test_ranks_are_unique_beyond_32_bits(spark):
     df = spark.createDataFrame([(k + (j << 31), k) for k in range(4) for j in range(3)], "row long, x int")
-    mixed = modelling.permuted(df, "row", ["x"], seed=5)
+    mixed = permutation.permuted(df, "row", ["x"], seed=5)
     assert mixed.count() == 12
     assert sorted(r.x for r in mixed.collect()) == sorted(r.x for r in df.collect())
     ranks = ordering.group_ranks(df, "row").collect()
