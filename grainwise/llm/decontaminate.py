@@ -60,9 +60,14 @@ def marked(text: Column) -> Column:
     return _words(text, "@p", "@i$0", "@n", "@u")
 
 
+def _plain(word: Column) -> Column:
+    """A ``marked`` word; a plain one if it may be a name."""
+    return F.when(F.startswith(word, F.lit("@i")), F.substring(word, 3, 1 << 20)).otherwise(word)
+
+
 def plain(words: Column) -> Column:
     """``marked`` words with those that may be names taken for plain ones."""
-    return F.transform(words, lambda w: F.when(F.startswith(w, F.lit("@i")), F.substring(w, 3, 1 << 20)).otherwise(w))
+    return F.transform(words, _plain)
 
 
 def _typed(word: Column) -> Column:
@@ -85,12 +90,21 @@ def annotated(text: Column) -> Column:
     return _words(text, "@p$0", "@i$0", "@n$1x$2x$3", "@u$4")
 
 
-def windows(words: Column) -> Column:
-    """Array of window hashes; element i covers the words from i on. ``words`` should be a column made in a projection
-    below, as an expression would be evaluated again for every element."""
-    at = lambda i, k: F.get(words, (i + k).cast("int"))
-    last = F.size(words) - WINDOW
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*(at(i, k) for k in range(WINDOW))))).otherwise(F.array().cast("array<bigint>"))
+def word_hashes(words: Column) -> Column:
+    """Array of a hash for each word."""
+    return F.transform(words, lambda w: F.xxhash64(w))  # noqa: PLW0108
+
+
+def _window(hashes: Column, start: Column) -> Column:
+    """Hash of the window of words that begins at ``start``; ``hashes`` are those of the words."""
+    return F.xxhash64(*(F.get(hashes, (start + k).cast("int")) for k in range(WINDOW)))
+
+
+def windows(hashes: Column) -> Column:
+    """Array of window hashes; element i covers the words from i on. ``hashes`` are those of the words, a column made in a
+    projection below, as an expression would be evaluated again for every element."""
+    last = F.size(hashes) - WINDOW
+    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: _window(hashes, i))).otherwise(F.array().cast("array<bigint>"))
 
 
 _EDGE = r"[\p{P}&&[^-%/*#&@]]*"
@@ -122,7 +136,8 @@ def benchmark_index(benchmark: DataFrame) -> DataFrame:
     rows = rows.withColumns({"words": plain(F.col("marked")), "typed": typed(F.col("marked"))})
     inside = F.slice(canonical(F.concat(F.lit("a "), F.ltrim("text"))), 2, WINDOW)  # the first words as they are behind a word
     literal = lambda words, i: F.size(F.filter(F.slice(words, (i + 1).cast("int"), F.lit(WINDOW)), lambda w: ~F.startswith(w, F.lit("@"))))
-    rows = rows.withColumns({"inside": inside, "hashes": windows(F.col("words")), "other": windows(F.col("typed"))}).withColumn("first", F.get(windows(F.col("inside")), F.lit(0)))
+    rows = rows.withColumns({"inside": word_hashes(inside), "plain_hashes": word_hashes(F.col("words")), "typed_hashes": word_hashes(F.col("typed"))})
+    rows = rows.withColumns({"hashes": windows(F.col("plain_hashes")), "other": windows(F.col("typed_hashes")), "first": F.get(windows(F.col("inside")), F.lit(0))})
     each = rows.select("item_id", F.xxhash64("text").alias("item_key"), "words", "typed", "other", "first", F.posexplode("hashes").alias("item_pos", "hash")).filter(literal("words", F.col("item_pos")) >= MIN_LITERAL)
     second = F.when(literal("typed", F.col("item_pos")) >= MIN_LITERAL, F.get("other", "item_pos"))
     forms = F.array_distinct(F.array_compact(F.array("hash", second, F.when(F.col("item_pos") == 0, F.col("first")))))
@@ -176,15 +191,15 @@ def candidates(docs: DataFrame, index: DataFrame) -> DataFrame:
     """doc_id, text_key, item_id, item_key, indexed and least windows, and the windows found at each offset."""
     text = F.col("text").cast("string")
     words = docs.filter(text.isNotNull()).select(*_row_key(), marked(text).alias("marked"))
-    # The second form only where a window holds a word that may be a name: some places around each of them.
-    near = F.filter(F.transform("marked", lambda w, i: F.when(F.startswith(w, F.lit("@i")), i)), lambda i: i.isNotNull())
-    words = words.select("doc_id", "text_key", "marked", plain(F.col("marked")).alias("words"), near.alias("near"))
-    last = F.size("words") - WINDOW
-    around = F.array_distinct(F.flatten(F.transform("near", lambda i: F.filter(F.sequence(F.greatest(i - (WINDOW - 1), F.lit(0)), i), lambda p: p <= last))))
-    first_form = F.transform(windows(F.col("words")), lambda h, i: F.struct(i.alias("pos"), h.alias("hash")))
-    second_form = F.transform(around, lambda p: F.struct(p.alias("pos"), F.xxhash64(*(_typed(F.get("marked", p + k)) for k in range(WINDOW))).alias("hash")))
+    words = words.select("doc_id", "text_key", F.transform("marked", lambda w: F.xxhash64(_plain(w))).alias("words"), F.transform("marked", lambda w: F.xxhash64(_typed(w))).alias("typed"))
+    # A row per place: hashes of columns are generated code, which those inside a function over an array are not.
     # Outer, as Spark would otherwise infer a filter on the list and compute it a second time, on every row of the scan.
-    doc_windows = words.select("doc_id", "text_key", F.inline_outer(F.concat(first_form, second_form)))
+    last = F.size("words") - WINDOW
+    places = words.select("*", F.explode_outer(F.when(last >= 0, F.sequence(F.lit(0), last))).alias("pos"))
+    forms = places.select("doc_id", "text_key", "pos", _window(F.col("words"), F.col("pos")).alias("first"), _window(F.col("typed"), F.col("pos")).alias("second"))
+    # The second form only where it is another one: the window holds a word that may be a name.
+    either = F.when(F.col("first") == F.col("second"), F.array("first")).otherwise(F.array("first", "second"))
+    doc_windows = forms.filter(F.col("pos").isNotNull()).select("doc_id", "text_key", "pos", F.explode(either).alias("hash"))
     hits = doc_windows.join(index, "hash").select("doc_id", "text_key", "item_id", "item_key", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"))
     keys = ["doc_id", "text_key", "item_id", "item_key"]
     # Per window first: a passage repeated within a document counts once per window.
