@@ -38,14 +38,15 @@ RUN_WORDS = 13
 #: Units that turn into a placeholder behind a number.
 UNITS = ("%", "€", "£", "mm", "cm", "dm", "km", "m", "mg", "kg", "g", "t", "ml", "cl", "l", "ms", "s", "min", "h", "hours", "hour", "minutes", "minute", "seconds", "days", "day", "weeks", "months", "years", "miles", "mile", "feet", "inches", "yards", "pounds", "ounces", "dollars", "euros", "cents", "percent", "degrees", "litres", "liters", "metres", "meters", "grams", "watts", "volts", "mph", "kmh")
 
-_NAME = r"(?<=[\p{L}\p{N},;:\)] )\p{Lu}\p{Ll}[\p{L}\p{M}]*"
+# Each pattern asks for its first characters before it looks behind, which most places fail at once.
+_NAME = r"(?=\p{Lu}\p{Ll})(?<=[\p{L}\p{N},;:\)] )\p{Lu}\p{Ll}[\p{L}\p{M}]*"
 #: A capitalised word that isn't a name by its place; names are replaced before.
-_INITIAL = r"(?<![\p{L}\p{M}\p{N}@])\p{Lu}\p{Ll}[\p{L}\p{M}]*"
+_INITIAL = r"(?=\p{Lu}\p{Ll})(?<![\p{L}\p{M}\p{N}@])\p{Lu}\p{Ll}[\p{L}\p{M}]*"
 #: English number words; "one" is a pronoun too often.
 NUMBER_WORDS = ("two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety", "hundred", "thousand", "million", "dozen")
-_NUMBER = rf"(?<![\p{{L}}\p{{N}}])(\p{{N}}+|(?=[defhmnst])(?:{'|'.join(NUMBER_WORDS)})(?!\p{{L}}))(?:[.,:/](\p{{N}}+))?(?:[.,:/](\p{{N}}+))?(?:[.,:/]\p{{N}}+)*"
+_NUMBER = rf"(?=[defhmnst\p{{N}}])(?<![\p{{L}}\p{{N}}])(\p{{N}}+|(?=[defhmnst])(?:{'|'.join(NUMBER_WORDS)})(?!\p{{L}}))(?:[.,:/](\p{{N}}+))?(?:[.,:/](\p{{N}}+))?(?:[.,:/]\p{{N}}+)*"
 _MEASURE = rf"{_NUMBER} ?({'|'.join(UNITS)})(?!\p{{L}})"
-_SPLIT = r"[^\p{L}\p{M}\p{N}@]+"
+_SPLIT = r"[^a-z\p{L}\p{M}\p{N}@]+"
 
 
 def _words(text: Column, name: str, initial: str, number: str, unit: str) -> Column:
