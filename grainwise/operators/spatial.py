@@ -1,82 +1,20 @@
 """Spatial operators as equi-joins on grid cells: nearest site, zonal shares,
-grid sampling and distance-weighted surfaces. No cross join, and no index is built by hand."""
+grid sampling and distance-weighted surfaces. No cross join."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainwise.functions.numeric import EARTH_KM, haversine_km, planar_degrees, radian_euclidean_km
-from grainwise.operators import ordering
+from grainwise.operators import nearest, ordering
 from grainwise.operators.profile import ratio
-from grainwise.session import cut_lineage
 
-METRICS = {"haversine": haversine_km, "radian_euclidean": radian_euclidean_km, "planar": planar_degrees}
-# Cell sizes in degrees, fine to coarse, all parts of a full turn; the last one covers the globe in one block of cells.
-LEVELS = (0.25, 1.0, 4.0, 15.0, 60.0, 360.0)
 
-
-def _cell(c: Column, size: float) -> Column:
-    return F.floor(c / F.lit(size)).cast("long")
-
-
-def _reach(metric: str, lat: Column, size: float) -> Column:
-    """Lower bound of the distance from a point to anything outside its 3 x 3 block of cells."""
-    if metric != "haversine":
-        km = F.lit(size) if metric == "planar" else F.radians(F.lit(size)) * F.lit(6371.0)
-        return km
-    if size >= 90:
-        return F.lit(0.0)
-    east = F.asin(F.sin(F.radians(F.lit(size))) * F.cos(F.radians(F.least(F.abs(lat) + size, F.lit(90.0)))))
-    return F.lit(EARTH_KM) * F.least(F.radians(F.lit(size)), east)
-
-
-def nearest_neighbor(
-    src: DataFrame, tgt: DataFrame, src_id: str, tgt_id: str, metric: str = "haversine", levels: Sequence[float] = LEVELS,
-    exclude_self: bool = False, digits: int = 9,
-) -> DataFrame:
-    """Nearest target of every source point: (src_id, tgt_id, distance); ties go to the smallest id.
-
-    Level by level, a point meets only the targets of its 3 x 3 block of cells. It is settled as
-    soon as its best candidate is closer than anything outside the block can be; only points that
-    are not settled go on to larger cells. Candidates are folded by a partial ``min`` before the
-    shuffle, so neither side of a dense cell is ever collected.
-    """
-    dist = METRICS[metric]
-    every = src.select(F.col(src_id).alias("_s"), F.col("lat").alias("_la"), F.col("lon").alias("_lo"))
-    pts = every.where("_la IS NOT NULL AND _lo IS NOT NULL")
-    # On the sphere, cells wrap at +-180 degrees.
-    turn = lambda c, size: F.pmod(c, F.lit(round(360 / size)).cast("long")) if metric == "haversine" else c
-    sites = tgt.where("lat IS NOT NULL AND lon IS NOT NULL")
-    if not exclude_self:
-        sites = sites.groupBy("lat", "lon").agg(F.min(tgt_id).alias(tgt_id))
-    settled, open_points = None, pts
-    for i, size in enumerate(levels):
-        last = i == len(levels) - 1
-        near = F.array(*[F.lit(d).cast("long") for d in (-1, 0, 1)])
-        probe = open_points.withColumn("_dx", F.explode(near)).withColumn("_dy", F.explode(near))
-        probe = probe.select("_s", "_la", "_lo", (_cell(F.col("_la"), size) + F.col("_dy")).alias("_cy"), turn(_cell(F.col("_lo"), size) + F.col("_dx"), size).alias("_cx"))
-        if size >= 120:  # fewer than three cells around
-            probe = probe.distinct()
-        cells = sites.select(F.col(tgt_id).alias("_t"), F.col("lat").alias("_ta"), F.col("lon").alias("_to"), _cell(F.col("lat"), size).alias("_cy"), turn(_cell(F.col("lon"), size), size).alias("_cx"))
-        met = probe.join(cells, ["_cy", "_cx"])
-        if exclude_self:
-            met = met.where("_s <> _t")
-        d = F.round(dist(F.col("_la"), F.col("_lo"), F.col("_ta"), F.col("_to")), digits)
-        best = met.groupBy("_s", "_la", "_lo").agg(F.min(F.struct(d.alias("d"), F.col("_t").alias("t"))).alias("_b"))
-        ok = F.lit(True) if last else F.coalesce(F.col("_b.d") < _reach(metric, F.col("_la"), size), F.lit(False))
-        # each level is written once to the shared folder: the next one starts from its open points
-        level = cut_lineage(open_points.join(best.select("_s", "_b"), "_s", "left").withColumn("_done", ok))
-        done = level.where("_done AND _b IS NOT NULL").select("_s", "_b")
-        settled = done if settled is None else settled.unionByName(done)
-        open_points = level.where("NOT _done").select("_s", "_la", "_lo")
-        if not open_points.take(1):
-            break
-    # Points without coordinates, or without any target, stay with NULL.
-    out = every.select("_s").join(settled, "_s", "left")
-    return out.select(F.col("_s").alias(src_id), F.col("_b.t").alias(tgt_id), F.col("_b.d").alias("distance"))
+def nearest_neighbor(src: DataFrame, tgt: DataFrame, src_id: str, tgt_id: str, metric: str = "haversine", exclude_self: bool = False, digits: int = 9) -> DataFrame:
+    """Nearest target of every source point: (src_id, tgt_id, distance); see :func:`grainwise.operators.nearest.k_nearest`."""
+    return nearest.k_nearest(src, tgt, src_id, tgt_id, 1, metric, exclude_self, digits=digits).drop("rank")
 
 
 def zonal_fractions(pixels: DataFrame, zone: Sequence[str], code: str, groups: Mapping[str, Sequence[int]], nodata: Sequence[int] = (0,), digits: int = 4) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from grainwise.operators import ordering, polygons, spatial
+from grainwise.operators import nearest, ordering, polygons, spatial
 from grainwise.plans.registry import query
 from grainwise.sources import views
 from grainwise.sources.tables import table
@@ -36,6 +36,16 @@ def nearest_planar(spark, sf):
     return _shape(spatial.nearest_neighbor(views.station(spark, sf), views.gauge(spark, sf), "station", "gauge", metric="planar"), "gauge")
 
 
+@query(
+    "nearest_three",
+    f"""SELECT station, gauge_id AS nearest, round(d, 5) AS distance, rn AS rank FROM (SELECT s.station, g.gauge AS gauge_id, {HAV} AS d,
+      row_number() OVER (PARTITION BY s.station ORDER BY round({HAV}, 9), g.gauge) AS rn FROM v_station s JOIN v_gauge g ON true) WHERE rn <= 3""",
+)
+def nearest_three(spark, sf):
+    out = nearest.k_nearest(views.station(spark, sf), views.gauge(spark, sf), "station", "gauge", 3)
+    return out.select("station", F.col("gauge").alias("nearest"), F.round("distance", 5).alias("distance"), "rank")
+
+
 @query(
     "neighbour_distance",
     f"""SELECT count(*) AS n, round(median(d), 5) AS median_km, round(quantile_cont(d, 0.25), 5) AS p25_km, round(quantile_cont(d, 0.75), 5) AS p75_km FROM
