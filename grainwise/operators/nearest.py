@@ -21,7 +21,7 @@ METRICS = {"haversine": haversine_km, "radian_euclidean": radian_euclidean_km, "
 
 #: Sites of a cell that isn't split any further.
 LEAF = 16
-#: Cells of this size, in degrees, aren't split: distinct sites in one are some centimetres apart.
+#: Cells of this size, in degrees, aren't split: distinct sites in one are within some ten centimetres.
 FINEST = 4.0**-10
 #: The top level has at most 2 x 2 cells and a level 16 times those above, so these levels have at most 16,384 rows.
 SMALL_LEVELS = 4
@@ -129,7 +129,8 @@ def k_nearest(
     A point with fewer than k targets has fewer rows; one without coordinates (NULL or NaN), or without any target, has one
     row of NULLs. ``exclude_self`` leaves out the target with the point's own id. Repeated rows of ``src`` are answered each
     (under ``exclude_self`` once), targets without coordinates are nobody's neighbours. Points of equal coordinates descend
-    as one, and of the targets at one place only the k first ids take part.
+    as one, and of the targets at one place only as many first ids take part as can be
+    among the nearest.
     """
     want = k + 1 if exclude_self else k
     sites = _located(tgt).select(F.col(tgt_id).alias("t"), F.col("lat").cast("double").alias("ta"), F.col("lon").cast("double").alias("to")).distinct()
