@@ -9,7 +9,7 @@ from grainwise.operators import association as a
 from grainwise.operators import ordering
 from grainwise.plans.q_profile import rounded
 from grainwise.plans.registry import query
-from grainwise.session import cut_lineage
+from grainwise.session import cut_lineage, stored
 from grainwise.sources import views
 from grainwise.sources.tables import table
 
@@ -24,8 +24,9 @@ def pairwise_pearson(spark, sf):
 
 
 def stored_pairs(spark, sf):
-    """The long pair table, written once: the rank statistics read it several times."""
-    return cut_lineage(views.pairs(spark, sf))
+    """The pairs of views.pairs over the wide rows, written once: the rank statistics read them several times."""
+    rows = stored(views.features(spark, sf).select("cluster", *views.TARGETS, *views.FEATURES), "features")
+    return a.ColumnPairs(rows, tuple(BY), {(t, f): (f, t) for t in views.TARGETS for f in views.FEATURES})
 
 
 @query("pairwise_spearman", RANKED + " SELECT target, feature, count(*) AS n, round(corr(rx, ry), 6) AS rho FROM r GROUP BY 1, 2")
@@ -132,7 +133,7 @@ COLS = ["qty", "psize", "retail", "total", "doy", "price"]
 )
 def strong_pairs(spark, sf):
     blocks = {c: "part" if c in ("psize", "retail") else "order" for c in COLS}
-    return rounded(a.strong_pairs(cut_lineage(views.features(spark, sf)), COLS, blocks, 0.005), 6, "rho")
+    return rounded(a.strong_pairs(stored(views.features(spark, sf).select(*COLS), "features"), COLS, blocks, 0.005), 6, "rho")
 
 
 @query(
@@ -282,6 +283,6 @@ def cluster_bootstrap(spark, sf):
       c AS (SELECT f AS feature, f AS other FROM n UNION SELECT c.feature, e.b FROM c JOIN e ON c.other = e.a) SELECT feature, min(other) AS block FROM c GROUP BY 1""",
 )
 def feature_blocks(spark, sf):
-    rho = cut_lineage(a.spearman(a.column_pairs(cut_lineage(views.features(spark, sf)), COLS), "x", "y", ["a", "b"]))
+    rho = cut_lineage(a.spearman(a.column_pairs(stored(views.features(spark, sf).select(*COLS), "features"), COLS), "x", "y", ["a", "b"]))
     nodes = rho.select(F.col("a").alias("feature")).unionByName(rho.select(F.col("b").alias("feature"))).distinct()
     return a.feature_blocks(rho.where(F.abs("rho") >= 0.35), nodes)
