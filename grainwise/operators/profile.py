@@ -323,8 +323,14 @@ def sensor_classification(df: DataFrame, station: str, value: str, trace: float)
 
 
 def variance_decomposition(df: DataFrame, group: str, columns: Sequence[str], static_share: float = 0.95) -> DataFrame:
-    """Between-group share of each column's variance, from per-group sums (two small shuffles)."""
-    cell = long_form(df.where(F.col(group).isNotNull()), columns, [group]).groupBy("variable", group, "value").agg(F.count("*").alias("c"))
+    """Between-group share of each column's variance, from per-group sums.
+
+    The wide rows go to their group before they become long: a row and its cells nearly all differ, so that combining them
+    ahead of the shuffle holds much and saves nothing.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.where(F.col(group).isNotNull()).select(group, *columns).repartition(parts, group)
+    cell = long_form(rows, columns, [group]).groupBy("variable", group, "value").agg(F.count("*").alias("c"))
     c, v = F.col("c").cast("double"), F.col("value")
     per = cell.groupBy("variable", group).agg(F.sum("c").alias("n"), F.sum(c * v).alias("s"), F.sum(c * v * v).alias("q"), F.count("*").alias("u"))
     out = per.groupBy("variable").agg(
