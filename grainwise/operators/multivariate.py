@@ -10,6 +10,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grainwise.session import stored
+
 
 @dataclass
 class Moments:
@@ -116,6 +118,7 @@ Z_999 = 3.090232306167813
 
 def mahalanobis(df: DataFrame, columns: Sequence[str], z: float = Z_999) -> DataFrame:
     """Adds ``d2`` (squared distance to the mean; NULL for incomplete rows) and ``is_outlier``."""
+    df = stored(df, "rows")  # read by both aggregations of the moments and once more for the result
     m = moments(df, columns)
     inverse = np.linalg.pinv(m.cov)
     centred = [F.col(c).cast("double") - F.lit(float(mu)) for c, mu in zip(columns, m.mean, strict=True)]

@@ -266,7 +266,7 @@ _D2 = " + ".join(f"v_{i}_{j} * ({FEATURES[i]} - m_{i}) * ({FEATURES[j]} - m_{j})
     f"WITH {inverse_sql('v_features', FEATURES)} SELECT l_orderkey, l_linenumber, round({_D2}, 4) AS d2, ({_D2}) > {mv.chi_square_limit(len(FEATURES), mv.Z_999)!r} AS is_outlier FROM v_features, inv",
 )
 def mahalanobis(spark, sf):
-    out = mv.mahalanobis(views.features(spark, sf), FEATURES)
+    out = mv.mahalanobis(views.features(spark, sf).select("l_orderkey", "l_linenumber", *FEATURES), FEATURES)
     return rounded(out, 4, "d2").select("l_orderkey", "l_linenumber", "d2", "is_outlier")
 
 
