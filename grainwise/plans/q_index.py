@@ -12,23 +12,21 @@ from grainwise.operators import ordering
 from grainwise.plans.q_profile import rounded
 from grainwise.plans.registry import query
 from grainwise.plans.sqlviews import weighted_mean_sql
-from grainwise.session import scratch_path
+from grainwise.session import stored
 from grainwise.sources import views
 from grainwise.sources.tables import table
 
 
-def scored(spark, sf):
-    """The scored samples, stored once as Parquet in the shared folder: reports read only the columns they use.
+def scored(spark, sf, *only):
+    """The scored samples, stored once as Parquet in the shared folder: all columns, or ``only`` those a report uses.
 
     A report that inlined the curves would compile them again in each of its stages, which takes longer than the store.
     """
     cols = ["station", "sample_id", "replicate", "ts", "covariate", "water_temp", "n_groups", "weight_coverage", "eligible", *FOUR, "worst"]
-    groups = [f"{k}_{g}" for k in ("g", "has") for g in ci.GROUPS]
-    path = scratch_path(spark, "index")
-    ci.score(views.chemistry(spark, sf)).select(*cols, *groups).write.parquet(path)
-    return spark.read.parquet(path)
+    return stored(ci.score(views.chemistry(spark, sf)).select(*(only or (*cols, *GROUP_COLUMNS))), "index")
 
 
+GROUP_COLUMNS = [f"{k}_{g}" for k in ("g", "has") for g in ci.GROUPS]
 FOUR = ["weighted_mean", "mean_max_blend", "harmonic", "weighted_harmonic"]
 
 
@@ -122,7 +120,7 @@ LAMBDAS = [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]
 
 @query("lambda_scan", scheme_sql('"lambda"', {f"{x:.1f}": f"({1.0 - x!r}::DOUBLE * weighted_mean + {x!r}::DOUBLE * worst)" for x in LAMBDAS}))
 def lambda_scan(spark, sf):
-    out = ci.lambda_scan(scored(spark, sf), LAMBDAS)
+    out = ci.lambda_scan(scored(spark, sf, "eligible", "weighted_mean", "worst", "mean_max_blend"), LAMBDAS)
     return rounded(rounded(out, 5, "median", "median_abs_change", "rho"), 4, "pct_over")
 
 
@@ -131,7 +129,7 @@ SCHEMES = {**ci.NAMED_SCHEMES, **ci.jittered_schemes(30, seed=5)}
 
 @query("weight_sensitivity", scheme_sql("scheme", {k: f"(0.6 * {weighted_mean_sql(w)} + 0.4 * worst)" for k, w in SCHEMES.items()}))
 def weight_sensitivity(spark, sf):
-    out = ci.weight_sensitivity(scored(spark, sf), SCHEMES)
+    out = ci.weight_sensitivity(scored(spark, sf, "eligible", "worst", "mean_max_blend", *GROUP_COLUMNS), SCHEMES)
     return rounded(rounded(out, 5, "median", "median_abs_change", "rho"), 4, "pct_over")
 
 
@@ -180,7 +178,7 @@ GATES = [4, 10, 20, 40]
         SELECT min_n, count(*) AS n, round(corr(a, c), 6) AS rho FROM r GROUP BY 1""",
 )
 def index_benchmark(spark, sf):
-    rows = scored(spark, sf).where("eligible")
+    rows = scored(spark, sf, "eligible", "station", "mean_max_blend", *[f"g_{g}" for g in ci.GROUPS]).where("eligible")
     station = ordering.exact_quantiles(rows, "mean_max_blend", {"index": 0.5}, ["station"])
     ccme = ci.ccme_index(rows, "station", [f"g_{g}" for g in ci.GROUPS])
     return rounded(ci.index_benchmark(station, ccme, "station", "index", "n", GATES), 6, "rho")
@@ -195,7 +193,7 @@ def index_benchmark(spark, sf):
 )
 def decile_profile(spark, sf):
     """Index by decile of a covariate that lies in the sample's own row."""
-    rows = scored(spark, sf).where("eligible").select(F.col("covariate").alias("x"), "mean_max_blend")
+    rows = scored(spark, sf, "eligible", "covariate", "mean_max_blend").where("eligible").select(F.col("covariate").alias("x"), "mean_max_blend")
     edges = ordering.exact_quantiles(rows, "x", {f"e{i}": i / 10 for i in range(11)}).select(F.array_distinct(F.array(*[f"e{i}" for i in range(11)]))).first()[0]
     binned = rows.withColumn("bin", assoc.right_closed_bin(F.col("x"), F.lit(edges)))
     return rounded(ci.profile_by(binned, "bin", "mean_max_blend"), 5, "q1", "median", "q3")
@@ -207,7 +205,7 @@ def decile_profile(spark, sf):
          round(quantile_cont(mean_max_blend, 0.75), 5) AS q3 FROM v_index WHERE eligible GROUP BY 1""",
 )
 def fortnight_profile(spark, sf):
-    rows = scored(spark, sf).where("eligible").select(num.fortnight("ts").alias("fortnight"), "mean_max_blend")
+    rows = scored(spark, sf, "eligible", "ts", "mean_max_blend").where("eligible").select(num.fortnight("ts").alias("fortnight"), "mean_max_blend")
     return rounded(ci.profile_by(rows, "fortnight", "mean_max_blend"), 5, "q1", "median", "q3")
 
 
