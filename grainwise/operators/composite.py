@@ -6,7 +6,7 @@ summaries pre-aggregate before they look at order.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -76,14 +76,19 @@ NAMED_SCHEMES: dict[str, dict[str, float]] = {
 }
 
 
+def _apart(x: Column, fn: Callable[[Column], Column]) -> Column:
+    return F.transform(F.array(x), lambda v: fn(v))[0]
+
+
 def subindex_all(df: DataFrame, curves: Mapping = CURVES) -> DataFrame:
     """Add ``q_<parameter>`` for every curve.
 
     The axis of each curve is its own projection: it is computed once, and the curve itself runs on
-    non-null doubles, which keeps twenty curves small enough for one generated method.
+    non-null doubles. The curve is a lambda over that axis: twenty curves and what a report adds to them,
+    fused into one generated method, pass the size up to which the JVM compiles a method.
     """
     axes = df.withColumns({f"_x_{p}": curve_axis(p, scale == "log") for p, (scale, _) in curves.items()})
-    q = {f"q_{p}": F.when(F.col(p).isNotNull(), piecewise(F.col(f"_x_{p}"), anchors, scale == "log")) for p, (scale, anchors) in curves.items()}
+    q = {f"q_{p}": F.when(F.col(p).isNotNull(), _apart(F.col(f"_x_{p}"), lambda x, a=anchors, log=scale == "log": piecewise(x, a, log))) for p, (scale, anchors) in curves.items()}
     return axes.withColumns(q).drop(*[f"_x_{p}" for p in curves])
 
 
