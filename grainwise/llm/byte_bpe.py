@@ -36,7 +36,7 @@ from grainwise.llm.caches import Generations
 from grainwise.llm.shipping import free_name, map_arrow
 
 #: Texts worked on at once: larger slices give the recursive query more words a call.
-ENCODE_BYTES = 3 << 20
+ENCODE_BYTES = 2 << 20
 #: Words of one generation of a worker's memory; results don't depend on it.
 KEPT_WORDS = 200_000
 #: Words of one recursive query.
@@ -195,10 +195,10 @@ class DuckBpe:
             ids = self.encode([distinct[i] for i in new])
             for i, got, text in zip(new, ids, self.decode(ids), strict=True):
                 w = distinct[i]
-                found[i] = (got, w if text == w else text)  # one object where equal, to save memory
+                found[i] = got if text == w else (got, text)  # the ids alone where equal, to save memory
                 if len(w) <= LONG_WORD:
                     self.kept.put(w, found[i])
-        return found
+        return [f if isinstance(f, tuple) else (f, w) for f, w in zip(found, distinct, strict=True)]
 
 
 _tools: dict[str, DuckBpe] = {}

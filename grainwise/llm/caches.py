@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable
 
 
@@ -15,8 +18,21 @@ def hold(owner: str, release: Callable[[], None]) -> None:
 
 def claim(owner: str) -> None:
     """Called when a task of ``owner`` starts: what other operators' tasks left in this worker goes."""
-    for name in [n for n in _held if n != owner]:
+    others = [n for n in _held if n != owner]
+    for name in others:
         _held.pop(name)()
+    if others:
+        give_back()
+
+
+def give_back() -> None:
+    """Return what this worker has freed to the system: its allocators would keep it for themselves."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a system without glibc
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 class Generations:
