@@ -6,6 +6,7 @@ summaries pre-aggregate before they look at order.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -13,11 +14,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from grainwise.functions.numeric import curve_axis, cut, interpolate, piecewise
-from grainwise.operators import ordering
+from grainwise.operators import ordering, wide_ranks
 from grainwise.operators.association import spearman
 from grainwise.operators.profile import ratio
 from grainwise.operators.reshape import long_form
-from grainwise.session import cut_lineage
+from grainwise.session import cut_lineage, stored
 
 # Parameter -> (scale, anchors of value -> sub-index).
 CURVES: dict[str, tuple[str, list[tuple[float, float]]]] = {
@@ -235,15 +236,45 @@ def jittered_schemes(n: int, seed: int, spread: float = 0.5) -> dict[str, dict[s
     return out
 
 
+def _blends(weights: Sequence[Sequence[float]], groups: Sequence[str], lam: float) -> Callable:
+    """The blend of a batch of rows under the i-th scheme: the steps of ``weighted_mean`` and ``blend``, on arrays."""
+
+    def blended(t, i):
+        num, den = 0.0, 0.0
+        for g, w in zip(groups, weights[i]):
+            num, den = num + t[f"v_{g}"] * w, den + t[f"p_{g}"] * w
+        return (1.0 - lam) * (num / den) + lam * t["worst"]
+
+    return blended
+
+
 def weight_sensitivity(df: DataFrame, schemes: Mapping[str, Mapping[str, float]]) -> DataFrame:
-    """The blend under other weight schemes, against the adopted one."""
-    grid = config_rows([{"scheme": k, **{f"_w_{g}": float(w[g]) for g in WEIGHTS}} for k, w in schemes.items()])
+    """The blend under other weight schemes, against the adopted one.
+
+    Rows are stored once with the rank of the adopted blend; a scheme's blend is computed where it is read.
+    """
+    spark = df.sparkSession
     value = [F.coalesce(F.col(f"g_{g}"), F.lit(0.0)).alias(f"v_{g}") for g in WEIGHTS]
-    share = [_present(g).cast("double").alias(f"p_{g}") for g in WEIGHTS]
-    rows = df.where("eligible").select("worst", F.col("mean_max_blend").alias("b"), *value, *share).select("*", grid)
-    num = sum((F.col(f"v_{g}") * F.col(f"_w_{g}") for g in WEIGHTS), F.lit(0.0))
-    den = sum((F.col(f"p_{g}") * F.col(f"_w_{g}") for g in WEIGHTS), F.lit(0.0))
-    return compare_schemes(rows.select("scheme", blend(num / den, F.col("worst")).alias("v"), "b"), "scheme")
+    base = [*value, *[f"has_{g}" for g in WEIGHTS], "worst", F.col("mean_max_blend").alias("b")]
+    rows = df.where(F.col("eligible") & F.col("worst").isNotNull() & F.col("mean_max_blend").isNotNull()).select(*base)
+    counts = ordering.ordered_counts(rows, "b")
+    rank = F.col("cum_before") + (F.col("cnt") + 1) / 2 - (F.col("n") + 1) / 2
+    ranks = stored(counts.select("b", rank.alias("_rank"), "cnt"), "ranks")
+    own = ranks.agg(F.sum("cnt").alias("n"), F.sum(F.col("cnt") * F.col("_rank") * F.col("_rank")).alias("squares")).first()
+    n = own["n"] or 0
+    if not n:
+        return spark.createDataFrame([], "scheme string, n long, median double, pct_over double, median_abs_change double, rho double")
+    edges = ordering.value_edges(ranks, "b")
+    rows = stored(rows.join(ranks.drop("cnt"), "b"), "ranked")
+    rows = rows.select("b", "_rank", "worst", *[f"v_{g}" for g in WEIGHTS], *[F.col(f"has_{g}").cast("double").alias(f"p_{g}") for g in WEIGHTS])
+    wide_ranks.free_shuffles(spark)
+    series = _blends([[float(w[g]) for g in WEIGHTS] for w in schemes.values()], list(WEIGHTS), BLEND)
+    middle = wide_ranks.medians(rows, series, len(schemes), "b", n)
+    out = []
+    for i, (name, (over, squares, crossed)) in enumerate(zip(schemes, wide_ranks.rank_sums(rows, series, len(schemes), "_rank", n, edges, CRITERION))):
+        rho = crossed / math.sqrt(squares * own["squares"]) if squares > 0 and own["squares"] > 0 else None
+        out.append((name, n, middle[i], 100 * over / n, middle[len(schemes) + i], rho))
+    return spark.createDataFrame(out, "scheme string, n long, median double, pct_over double, median_abs_change double, rho double")
 
 
 def add_component(df: DataFrame, name: str, parameter: str, curve: tuple, weight: float) -> DataFrame:
